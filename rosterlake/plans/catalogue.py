@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from rosterlake.plans import places, supply, text
+
+QUERIES: dict = {**supply.QUERIES, **places.QUERIES, **text.QUERIES}
+ORACLES: dict[str, str] = {**supply.ORACLES, **places.ORACLES, **text.ORACLES}
 FLAGSHIP = "m10_compute_core"
