@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.llm import language_id, license_scan, media_ts, mixing, near_dedup, piece_codec, sharding, token_records, vector_search
+from rosterlake.llm import language_id, license_scan, lm_score, media_ts, mixing, near_dedup, piece_codec, sharding, token_records, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_language_id": language_id.op2_language_id,
     "op3_sentencepiece": piece_codec.op3_sentencepiece,
     "op4_token_records": token_records.op4_token_records,
