@@ -72,7 +72,7 @@ def not_empty(x: Column) -> Column:
 
 
 def split_trimmed(x: Column, by: str = ",") -> Column:
-    return F.filter(F.transform(F.split(x, by), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(x, by), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def address(full: Column, street: Column, number: Column, city: Column) -> Column:
@@ -91,3 +91,35 @@ def composite_key(x: Column) -> Column:
     lat, lon = F.get(p, 1).try_cast("double"), F.get(p, 2).try_cast("double")
     sound = (F.size(p) == 3) & lat.isNotNull() & lon.isNotNull()
     return F.when(sound, F.struct(F.trim(F.get(p, 0)).alias("name"), lat.alias("lat"), lon.alias("lon")))
+
+
+#: Fixed value: address types too coarse to place a facility.
+COARSE = ("city", "suburb", "administrative", "county", "state", "region", "postcode", "town", "village", "municipality")
+
+
+def geocode_key(addr: Column) -> Column:
+    """Cache key of an address: 24 hex digits of its trimmed text's sha256; null for an empty one."""
+    return F.substring(F.sha2(not_empty(F.trim(addr)), 256), 1, 24)
+
+
+def geocode_confidence(addr: Column, kind: Column, lat: Column, lon: Column) -> Column:
+    """unknown without address or point, low for coarse types, else medium."""
+    ok = not_empty(F.trim(addr)).isNotNull() & lat.try_cast("double").isNotNull() & lon.try_cast("double").isNotNull()
+    return F.when(~F.coalesce(ok, F.lit(False)), "unknown").when(F.lower(kind).isin(*COARSE), "low").otherwise("medium")
+
+
+def rupiah(x: Column) -> Column:
+    """'Rp 1.234.567'; null stays null."""
+    return F.concat(F.lit("Rp "), F.translate(F.format_number(x, 0), ",", "."))
+
+
+def embedded_json(html: Column) -> Column:
+    """JSON texts inside script push blocks, without their leading number; others are skipped."""
+    blocks = F.regexp_extract_all(html, F.lit(r'push\(\[1,"((?:[^"\\]|\\.)*)"\]\)'), 1)
+    plain = F.transform(blocks, lambda b: F.regexp_replace(F.replace(F.replace(b, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")), r"^[0-9a-f]+:", ""))
+    return F.filter(plain, lambda b: F.try_parse_json(b).isNotNull() & b.rlike(r"^\s*[\[{]"))
+
+
+def specialist_ids(ids: Column, names: Column) -> Column:
+    """Ids whose speciality name speaks of the skin; the two arrays go together."""
+    return F.transform(F.filter(F.arrays_zip(ids.alias("i"), names.alias("n")), lambda z: F.lower(z["n"]).rlike("dermat|kulit")), lambda z: z["i"])

@@ -75,7 +75,7 @@ def time_ranges(x: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
     none = F.lit(None)
     low = F.array(_session(none, none, "low"))
-    parts = F.filter(F.transform(F.split(t, r"(?i)\b(?:dan|and)\b"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, r"(?i)\b(?:dan|and)\b"), lambda p: F.trim(p)), lambda p: p != "")
     ranges = F.regexp_extract_all(t, F.lit(_RANGE), 0)
     each_one = F.forall(parts, lambda p: F.size(F.regexp_extract_all(p, F.lit(_RANGE), 0)) == 1)
     start = F.concat(F.lpad(F.regexp_extract(t, _OPEN, 1), 2, "0"), F.lit(":"), F.regexp_extract(t, _OPEN, 2))
@@ -92,3 +92,18 @@ def time_ranges(x: Column) -> Column:
 def capped(confidence: Column, most: str = "medium") -> Column:
     """Confidence of sources whose times are derived is never above most."""
     return F.when(confidence == "high", most).otherwise(confidence)
+
+
+def local_day(ts: Column) -> Column:
+    """A UTC time's date at UTC+7 as DD-MM-YYYY."""
+    return F.date_format(ts + F.expr("INTERVAL 7 HOURS"), "dd-MM-yyyy")
+
+
+def week_time(monday: Column, day: Column, minute: Column) -> Column:
+    """The local time of (day, minute) in the week of a Monday."""
+    return F.to_timestamp_ntz(F.date_add(monday, day.cast("int")).cast("string")) + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))
+
+
+def next_monday(day: Column) -> Column:
+    """The first Monday after a date."""
+    return F.next_day(day, "Mon")

@@ -93,7 +93,7 @@ def enumerate_plans(sessions: DataFrame, schools: DataFrame, limits: Limits) ->
     chosen = masks(sessions, limits.sessions)
     if chosen.count() * schools.count() > MOST_PLANS:
         raise ValueError(f"more than {MOST_PLANS} plans")
-    taken = chosen.join(F.broadcast(sessions), F.shiftright(F.col("mask"), F.col("slot").cast("int")).bitwiseAND(F.lit(1)) == 1)
+    taken = chosen.join(F.broadcast(sessions), F.expr("shiftright(mask, cast(slot AS int)) & 1 = 1"))
     after = F.lead("start").over(Window.partitionBy("mask", "day").orderBy("start", "end"))
     facts = taken.withColumn("clash", F.col("end") > after).groupBy("mask").agg(
         F.countDistinct("day").alias("days"), (F.sum(F.col("end") - F.col("start")) / F.lit(60.0)).alias("hours"), F.coalesce(F.bool_or("clash"), F.lit(False)).alias("overlap"),
@@ -103,7 +103,7 @@ def enumerate_plans(sessions: DataFrame, schools: DataFrame, limits: Limits) ->
     budget = F.lit(limits.budget)
     reason = (
         F.when(~F.col("level_ok"), "level").when(budget.isNotNull() & F.col("first_year").isNull(), "budget unknown").when(budget.isNotNull() & (F.col("first_year") > budget), "over budget")
-        .when(F.col("km") > limits.school_km, "too far").when(F.col("days") > limits.days, "days").when(F.col("hours") > limits.hours, "hours").when("overlap", "overlap")
+        .when(F.col("km") > limits.school_km, "too far").when(F.col("days") > limits.days, "days").when(F.col("hours") > limits.hours, "hours").when(F.col("overlap"), "overlap")
     )
     return plans.withColumn("reason", reason)
 
@@ -118,7 +118,7 @@ def commute(plans: DataFrame, sessions: DataFrame, travel: DataFrame, limits: Li
     travel: origin, destination, minutes. A leg without a row, a leg above the cap, a late arrival or
     a day outside the limits drops the plan: travel times are never made up.
     """
-    taken = plans.select("mask").distinct().join(F.broadcast(sessions), F.shiftright(F.col("mask"), F.col("slot").cast("int")).bitwiseAND(F.lit(1)) == 1)
+    taken = plans.select("mask").distinct().join(F.broadcast(sessions), F.expr("shiftright(mask, cast(slot AS int)) & 1 = 1"))
     day = Window.partitionBy("mask", "day").orderBy("start", "end", "slot")
     legs = taken.withColumns({"origin": F.coalesce(F.lag("facility").over(day), F.lit(-1).cast("long")), "left_at": F.lag("end").over(day), "last": F.lead("slot").over(day).isNull()})
     there = legs.select("mask", "day", "origin", F.col("facility").alias("destination"), "left_at", F.col("start").alias("due"))

@@ -108,21 +108,22 @@ def scores(measured: DataFrame, peers: str, w: Weights = Weights()) -> DataFrame
         F.when(zero, 1.0).otherwise(F.coalesce("weekend_gap", F.lit(0.0))).alias("raw_weekend"),
     )
     names = ("count", "hours", "prime", "weekend")
-    # a peer universe is one ranking; ranks come from counts per distinct value, not from sorting all rows in one task
-    ranked = raw
-    for n in names:
-        ranked = ranked.join(percentile(raw, f"raw_{n}", f"norm_{n}"), f"raw_{n}")
+    # ranks come from counts per distinct value of each component, not from sorting all rows in one task
+    long = raw.select("facility", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"raw_{n}").alias("value")) for n in names])).alias("c")).select("facility", "c.name", "c.value")
+    placed = long.join(percentile(long, "value", "norm", ("name",)), ["name", "value"])
+    norms = placed.groupBy("facility").agg(*[F.max(F.when(F.col("name") == n, F.col("norm"))).alias(f"norm_{n}") for n in names])
+    ranked = raw.join(norms, "facility")
     score = rounded(sum((F.lit(getattr(w, n)) * F.col(f"norm_{n}") for n in names), F.lit(0.0)), 4)
     done = ranked.select("facility", *[f"raw_{n}" for n in names], *[f"norm_{n}" for n in names], score.alias("score"))
     return rows.select("facility", "reason").join(done, "facility", "left")
 
 
-def percentile(rows: DataFrame, value: str, into: str) -> DataFrame:
-    """value, into: the share of rows at or below each distinct value, to four places."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.select(value, rounded(F.sum("n").over(upto) / F.sum("n").over(total), 4).alias(into))
+def percentile(rows: DataFrame, value: str, into: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, value, into: the share of rows at or below each distinct value, to four places."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    frame = Window.partitionBy(*by).orderBy(value)
+    upto, total = frame.rowsBetween(Window.unboundedPreceding, 0), frame.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return counts.select(*by, value, rounded(F.sum("n").over(upto) / F.sum("n").over(total), 4).alias(into))
 
 
 def quality_label() -> Column:

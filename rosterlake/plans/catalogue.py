@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rosterlake.plans import places, supply, text
+from rosterlake.plans import places, small, supply, text
 
-QUERIES: dict = {**supply.QUERIES, **places.QUERIES, **text.QUERIES}
-ORACLES: dict[str, str] = {**supply.ORACLES, **places.ORACLES, **text.ORACLES}
+QUERIES: dict = {**supply.QUERIES, **places.QUERIES, **text.QUERIES, **small.QUERIES}
+ORACLES: dict[str, str] = {**supply.ORACLES, **places.ORACLES, **text.ORACLES, **small.ORACLES}
 FLAGSHIP = "m10_compute_core"
