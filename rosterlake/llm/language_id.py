@@ -2,7 +2,7 @@
 
 The classifier is trained in numpy by stochastic gradient descent on a bounded sample of labelled
 rows: at most ``per_label`` documents of each label (default 800), the ones with the smallest hash
-of their id. One fifth of them is set aside to fit the softmax temperature and the rejection
+of id and text. One fifth of them is set aside to fit the softmax temperature and the rejection
 threshold. Prediction reads every whole text; since the model is linear, a word adds the same
 vector wherever it stands, so each distinct word is hashed once per worker.
 
@@ -16,37 +16,57 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rosterlake.llm._common import Grown, held_out, load, ship
+from rosterlake.llm._common import held_out, load, ship, words
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
-CACHE = 250_000
+CACHE = 500_000
+AT_ONCE = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
+_POWERS = np.array([1, 0x01000193, 0x0193_2D4F, 0x9E3779B1], np.uint32)
 
 
-def subwords(word: str) -> list[int]:
-    """Hash buckets of a word's marked character n-grams and of the word itself."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in ORDERS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in [*grams, f"={word}"]]
+def subwords(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of all words one after the other, and their number by word.
 
-
-def _doc_words(text: str) -> list[str]:
-    return text.lower().split()
+    A word's subwords are the n-grams of its bytes between two marks, and the word itself.
+    """
+    joined = np.frombuffer(b"<" + b"><".join(some) + b">", np.uint8).astype(np.uint32)
+    length = np.fromiter(map(len, some), np.int64, len(some)) + 2
+    end = np.repeat(np.cumsum(length), length)
+    word = np.repeat(np.arange(len(some)), length)
+    at = np.arange(len(joined))
+    buckets, owner = [np.fromiter(map(zlib.crc32, some), np.uint32, len(some))], [np.arange(len(some))]
+    with np.errstate(over="ignore"):
+        for n in ORDERS:
+            start = at[: len(at) - n + 1]
+            start = start[start + n <= end[start]]
+            h = np.full(len(start), n, np.uint32)
+            for j in range(n):
+                h = h * _POWERS[1] + joined[start + j] * _POWERS[j]
+            h ^= h >> np.uint32(15)
+            h *= _POWERS[3]
+            buckets.append(h >> np.uint32(8))
+            owner.append(word[start])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(buckets)[order] % np.uint32(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(some))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) to (label, buckets, weights): the averaged bag of each whole text."""
     for b in batches:
         ids, weights = [], []
-        for text in b.column(1).to_pylist():
-            flat = np.array([f for w in _doc_words(text or "") for f in subwords(w)], np.int32)
-            own, n = np.unique(flat, return_counts=True)
+        for text in b.column(1).cast(pa.binary()).to_pylist():
+            w = words(text)
+            own, n = np.unique(subwords(w)[0] if w else np.empty(0, np.int64), return_counts=True)
             ids.append(own.astype(np.int32))
             weights.append((n / max(1, n.sum())).astype(np.float32))
         yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["label", "ids", "weights"])
@@ -104,9 +124,11 @@ def train(labels: list[str], bags: list[tuple[np.ndarray, np.ndarray]], y: np.nd
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800) -> Model | None:
     """A model from the labelled rows of docs, or None when there is none."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).filter("label IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("label").orderBy("h", F.xxhash64("text"))
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label)
+    rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).filter("label IS NOT NULL AND text IS NOT NULL")
+    # the per_label-th hash of each label, from hashes alone; texts are read once it is known
+    first = Window.partitionBy("label").orderBy("h")
+    cuts = rows.select("label", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label).groupBy("label").agg(F.max("h").alias("cut"))
+    sample = rows.join(F.broadcast(cuts), "label").filter("h <= cut").dropDuplicates(["label", "h"])
     bags = sample.select("label", "text").mapInArrow(_features, "label string, ids array<int>, weights array<float>").toArrow()
     if not bags.num_rows:
         return None
@@ -117,36 +139,53 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return train(labels, [pairs[k] for k in order], np.array([labels.index(names[k]) for k in order]))
 
 
-class _Scorer:
-    """Sums of bucket logits and counts per distinct word, kept for up to CACHE words."""
+class _Scorer(dict):
+    """Numbers of words, and sums of bucket logits and counts by number, for up to CACHE words."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.at = model, Grown((len(model.labels) + 1,), np.float32), {}
-
-    def __call__(self, text: str) -> tuple[str, float, bool]:
-        if not _LETTER.search(text):
-            return "und", 0.0, False
-        if len(self.at) > CACHE:
-            self.at.clear()
-            self.rows.cut(0)
-        at, add = self.at, self._add
-        index = np.fromiter((at[w] if w in at else add(w) for w in _doc_words(text)), np.int64)
-        total = self.rows.data[index].sum(0, dtype=np.float64)
-        p = self.model.probabilities(total[:-1] / max(1.0, total[-1]))
-        best = int(p.argmax())
-        return self.model.labels[best], float(p[best]), bool(p[best] >= self.model.threshold)
-
-    def _add(self, word: str) -> int:
-        ids = subwords(word)
-        row = np.append(self.model.table[ids].sum(0), len(ids))
-        self.at[word] = self.rows.append(row)
-        return self.at[word]
+        super().__init__()
+        self.model, self.new = model, []
+        self.rows = np.zeros((1024, len(model.labels) + 1), np.float32)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def _numbers(self, some: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        before = len(self)
+        out = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
+        if self.new:
+            if len(self) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((len(self) + CACHE // 4, self.rows.shape[1]), np.float32)])
+            buckets, n = subwords(self.new)
+            starts = np.cumsum(n) - n
+            self.rows[before : len(self), :-1] = np.add.reduceat(self.model.table[buckets], starts)
+            self.rows[before : len(self), -1] = n
+            self.new = []
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(label, score, accepted) of each text."""
+        readable = [t if t is not None and _LETTER.search(t) else "" for t in texts]
+        split = [words(t.encode()) for t in readable]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        total = np.zeros((len(split), self.rows.shape[1]))
+        some = np.flatnonzero(counts)
+        if len(some):
+            number = self._numbers(list(chain.from_iterable(split)))
+            total[some] = np.add.reduceat(self.rows[number], (np.cumsum(counts) - counts)[some], dtype=np.float64)
+        p = self.model.probabilities(total[:, :-1] / np.maximum(1, total[:, -1:]))
+        best = p.argmax(1)
+        return [(self.model.labels[k], float(q[k]), bool(q[k] >= self.model.threshold)) if t else ("und", 0.0, False) for t, q, k in zip(readable, p, best, strict=True)]
 
 
 def _scorer(model: Model | None):
     """The model's scorer in this worker process, so that later tasks find known words."""
     if model is None:
-        return lambda _: ("und", 0.0, False)
+        return lambda texts: [("und", 0.0, False)] * len(texts)
     if model.scorer is None:
         model.scorer = _Scorer(model)
     return model.scorer
@@ -164,12 +203,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(sent.value)
-        for b in batches:
-            got = [scorer(t) if t is not None else ("und", 0.0, False) for t in b.column(b.num_columns - 1).to_pylist()]
-            new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], *into])
-
-    from pyspark.sql import types as T
+        for whole in batches:
+            texts = whole.column(whole.num_columns - 1).to_pylist()
+            ends = np.cumsum([len(t or "") for t in texts])
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE)))
+                b, got = whole.slice(lo, hi - lo), scorer(texts[lo:hi])
+                new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], *into])
+                lo = hi
 
     frame = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"))
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType()), T.StructField(into[2], T.BooleanType())])

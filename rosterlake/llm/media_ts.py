@@ -189,12 +189,19 @@ def feature(s: Stream) -> str:
     return f"units={len(s.units)};packets={s.packets};ms={last};random_access={sum(r for *_, r in s.units)};gaps={s.gaps};timeline={zlib.crc32(line):08x}"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few streams are in memory at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes and the media column, written to the shared folder and read back."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             raw = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([mux(padded(t)) for t in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -213,7 +220,7 @@ def demux(media: DataFrame, column: str = "media") -> DataFrame:
     kinds = pa.list_(pa.struct([("pts", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             raw = b.column(b.num_columns - 1).to_pylist()
             got = [parse(m) for m in raw]
             new = [

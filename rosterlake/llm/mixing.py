@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm._common import load
+from rosterlake.llm._common import load, stored
 
 BUCKET = 512
 BROADCAST_LEAVES = 50_000
@@ -101,7 +101,8 @@ def mix(docs: DataFrame, levels: Sequence, weights: Mapping[Path, float], budget
     spark = docs.sparkSession
     path = F.struct(*[F.coalesce(c.cast("string"), F.lit("null")).alias(f"l{i}") for i, c in enumerate(levels)])
     tie = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("x"))
-    lean = docs.select(path.alias("leaf"), "doc_id", tie.alias("tie"), tokens().alias("n"))
+    # ids, places and token counts without texts, read several times below
+    lean = stored(docs.select(path.alias("leaf"), "doc_id", tie.alias("tie"), tokens().alias("n")), "mixing")
     leaves = lean.groupBy("leaf").agg(F.sum("n").alias("supply"), F.count("*").alias("rows")).collect()
     supply = {tuple(r["leaf"]): r["supply"] for r in leaves}
     total = sum(supply.values())

@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op7_exact_topk": vector_search.ORACLE,
+    "op10_near_dedup": near_dedup.ORACLE,
 }
