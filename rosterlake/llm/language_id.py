@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from rosterlake.llm._common import held_out, load, ship, words
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
+SLICE_BITS = 12
 CACHE = 500_000
 AT_ONCE = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -125,9 +126,14 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     """A model from the labelled rows of docs, or None when there is none."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).filter("label IS NOT NULL AND text IS NOT NULL")
-    # the per_label-th hash of each label, from hashes alone; texts are read once it is known
-    first = Window.partitionBy("label").orderBy("h")
-    cuts = rows.select("label", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label).groupBy("label").agg(F.max("h").alias("cut"))
+    # the per_label-th hash of each label, from hashes alone; texts are read once it is known. Counts by
+    # slices of the hash say which slice it lies in, so only the hashes up to there are ranked
+    hashes = rows.select("label", "h", F.shiftright("h", 64 - SLICE_BITS).alias("slice")).distinct()
+    before = Window.partitionBy("label").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    upto = hashes.groupBy("label", "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    edge = upto.filter(F.col("before") < per_label).groupBy("label").agg(F.max("slice").alias("edge"))
+    low = hashes.join(F.broadcast(edge), "label").filter("slice <= edge")
+    cuts = low.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("n") <= per_label).groupBy("label").agg(F.max("h").alias("cut"))
     sample = rows.join(F.broadcast(cuts), "label").filter("h <= cut").dropDuplicates(["label", "h"])
     bags = sample.select("label", "text").mapInArrow(_features, "label string, ids array<int>, weights array<float>").toArrow()
     if not bags.num_rows:
