@@ -77,6 +77,17 @@ def test_lm_edge_cases(spark, odd, tmp_path):
     assert lm_score.op1_lm_score(spark, f"{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("doc_id", ["NULL", "0", "1", "2"])
+def test_attention_trains_on_every_document(spark, doc_id):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    size = lm_score.units_of(path, pattern).size
+    model = lm_score.Model(np.arange(size) % lm_score.NODES)
+    model.set_priors(np.ones(size), np.ones((lm_score.NODES + 1, lm_score.NODES)))
+    one = spark.sql(f"SELECT CAST({doc_id} AS BIGINT) AS doc_id, CAST('one lone text' AS BINARY) AS text")
+    assert not model.wh.any()
+    assert lm_score.fit(one, model, path, pattern).wh.any()
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     m = lm_score.Model(rng.permutation(np.arange(2000) % lm_score.NODES))
