@@ -88,6 +88,20 @@ def test_attention_trains_on_every_document(spark, doc_id):
     assert lm_score.fit(one, model, path, pattern).wh.any()
 
 
+def test_score_does_not_depend_on_which_words_travel(spark, texts):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(d, d % 7 == 2, (t or "").encode()) for d, t in texts] + [(-1, True, b"neverseen " * 3 + b"y" * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text binary").cache()
+    corpus = lm_score.learn(docs.filter("NOT held_out").select("doc_id", "text"), path, pattern)
+    every = {r["doc_id"]: r for r in lm_score.score(docs, corpus, path, pattern).collect()}
+    assert corpus.heavy.num_rows == corpus.v - 1
+    corpus.heavy, corpus.model.scorer = corpus.heavy.slice(0, 5), None
+    for r in lm_score.score(docs, corpus, path, pattern).collect():
+        want = every[r["doc_id"]]
+        assert r["score"] == pytest.approx(want["score"], rel=1e-4) and math.isfinite(r["score"])
+        assert (r["n_known"], r["base_score"]) == (want["n_known"], pytest.approx(want["base_score"], rel=1e-9))
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     m = lm_score.Model(rng.permutation(np.arange(2000) % lm_score.NODES))
