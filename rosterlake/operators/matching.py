@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +83,13 @@ def candidate_pairs(facilities: DataFrame, floor: float = REVIEW, km: float = NE
     return both.filter(similarity.ceiling(F.col("n"), F.col("b_n")) >= floor).withColumn("score", similarity.conservative(F.col("n"), F.col("b_n"))).filter(F.col("score") >= floor).select(F.col("ordinal").alias("a"), F.col("b_ordinal").alias("b"), "score")
 
 
-def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float = DUPLICATE, km: float = NEAR_KM, rounds: int = 30) -> DataFrame:
+def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float = DUPLICATE, km: float = NEAR_KM) -> DataFrame:
     """ordinal, kept ordinal it merged into (itself if kept), review ordinal (a kept one just below).
 
     In input order each facility joins the best kept one at or above the threshold, else it is kept;
-    a best score from floor on is a review note. Only candidate pairs matter, so the pass runs per
-    connected component of them; components are small groups of alike names nearby.
+    a best score from floor on is a review note. Only candidate pairs matter: each round decides the
+    facilities whose smaller candidates are all decided, until none is open. The smallest open one
+    always is, so the rounds end by themselves.
     """
     spark = facilities.sparkSession
 
@@ -96,33 +98,20 @@ def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float
         return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
 
     pairs = cut(candidate_pairs(facilities, floor, km))
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node"))
-    for _ in range(rounds):
-        least = both.join(label, both.b == label.node).groupBy("a").agg(F.min("comp").alias("m"))
-        after = label.join(least, label.node == least.a).select("node", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("moved"))
-        after = cut(after)
-        moved = after.filter("moved").limit(1).count()
-        label = after.select("node", "comp")
-        if not moved:
-            break
-    edges = pairs.join(label, pairs.b == label.node).select("comp", "a", "b", "score")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        before: dict[int, list[tuple[float, int]]] = {}
-        for a, b, s in zip(pdf["a"], pdf["b"], pdf["score"], strict=True):
-            before.setdefault(b, []).append((s, a))
-        kept, out = set(), []
-        for n in sorted(set(pdf["a"]) | set(pdf["b"])):
-            best = max(((s, -a) for s, a in before.get(n, []) if a in kept), default=(0.0, 0))
-            if best[0] >= threshold:
-                out.append((n, -best[1], None))
-            else:
-                kept.add(n)
-                out.append((n, n, -best[1] if best[0] >= floor else None))
-        return pd.DataFrame(out, columns=["ordinal", "into", "review"]).astype({"review": "Int64"})
-
-    settled = edges.groupBy("comp").applyInPandas(settle, "ordinal long, into long, review long")
+    # a line per open facility and smaller candidate, and one without candidate; kept is null while the candidate is open
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    work = pairs.select(F.col("b").alias("node"), "a", "score", F.lit(None).cast("boolean").alias("kept")).unionByName(ends.withColumn("kept", F.lit(False)), allowMissingColumns=True)
+    rounds = []
+    while not rounds or work.limit(1).count():
+        told = work.groupBy("node").agg(F.bool_or(F.col("kept").isNull()).alias("waits"), F.max(F.when(F.col("kept"), F.struct("score", (-F.col("a")).alias("minus")))).alias("best"))
+        merges = F.coalesce(F.col("best.score") >= threshold, F.lit(False))
+        ready = told.filter("NOT waits").select(F.col("node").alias("ordinal"), F.when(merges, -F.col("best.minus")).otherwise(F.col("node")).alias("into"), F.when(~merges, -F.col("best.minus")).alias("review"))
+        ready = cut(ready)
+        rounds.append(ready)
+        left = work.join(ready.select(F.col("ordinal").alias("node")), "node", "left_anti")
+        news = ready.select(F.col("ordinal").alias("a"), (F.col("into") == F.col("ordinal")).alias("news"))
+        work = cut(left.join(news, "a", "left").select("node", "a", "score", F.coalesce("kept", "news").alias("kept")))
+    settled = reduce(DataFrame.unionByName, rounds)
     alone = facilities.select("ordinal").join(settled.select("ordinal"), "ordinal", "left_anti").select("ordinal", F.col("ordinal").alias("into"), F.lit(None).cast("long").alias("review"))
     return settled.unionByName(alone)
 

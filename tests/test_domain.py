@@ -154,6 +154,21 @@ def test_greedy_dedup_against_one_pass(spark):
     assert {r["ordinal"]: r["into"] for r in matching.greedy_dedup(df).collect()} == want
 
 
+def test_greedy_dedup_of_a_long_chain(spark):
+    # 1.1 km apart, alike: hop i meets i-1 and i+1 only; the order of input is zigzag along the chain
+    n = 80
+    rows = [((i * 7) % n, "mitra keluarga", -6.8 + i / 100, 106.8) for i in range(n)]
+    at = {o: i for i, (o, *_) in enumerate(rows)}
+    kept, want = set(), {}
+    for o in sorted(at):
+        beside = [p for p in kept if abs(at[p] - at[o]) == 1]
+        want[o] = min(beside, default=o)
+        if not beside:
+            kept.add(o)
+    got = matching.greedy_dedup(spark.createDataFrame(rows, "ordinal long, name string, lat double, lon double")).collect()
+    assert len(got) == n and {r["ordinal"]: r["into"] for r in got} == want
+
+
 def test_curated_errors(spark):
     row = lambda name, lat: (name, *["x"] * 5, lat, 106.8, *["x"] * 6, None)
     ok = spark.createDataFrame([row("A", -6.2), row("B", -6.2)], payloads.CURATED)
