@@ -514,6 +514,17 @@ def test_drop_near_duplicates(spark, odd):
     assert near_dedup.drop_near_duplicates(odd.filter("false")).count() == 0
 
 
+def test_a_link_estimated_far_too_low_is_confirmed(spark):
+    fields = lambda w: np.unpackbits(near_dedup.signature(near_dedup.shingle_set(" ".join(w).encode(), 1))[1].view(np.uint8)).reshape(-1, near_dedup.B)
+    for i in range(100_000):
+        same = [f"w{i}x{j}" for j in range(8)]
+        pair = [*same, f"a{i}"], [*same, f"b{i}"]
+        if 40 <= (fields(pair[0]) != fields(pair[1])).any(1).sum() <= 48:
+            break
+    got = near_dedup.groups(spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(pair)], "doc_id long, text string"), 1, 80).collect()
+    assert [r["component_id"] for r in got] == [0, 0]
+
+
 def test_estimate(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
