@@ -3,13 +3,13 @@
 The model protobuf is read directly (wire format): pieces with scores and types, the kind of model,
 byte fallback, and the normaliser's rules. From these a tokenizers pipeline is rebuilt: the compiled
 character map as normaliser, the metaspace marker for spaces, unigram scores as they are, or for a
-BPE model the merges that the scores imply, and byte fallback. Batches are encoded multithreaded by
-the library where the process allows it; on executors each task uses its one core.
+BPE model the merges that the scores imply, and byte fallback. Chunks are encoded one by one; the
+library's multithreaded batches are not used.
 
 Where no piece has the marker behind another character, texts are cut at single spaces between
 non-space characters, and each distinct chunk is encoded once. As it is first met, its ids are
 compared with the sentencepiece library's (parity) and decoded again (round trip), so the two flags
-of a document cover its whole text.
+of a document cover all its chunks; whole texts are not compared.
 
 Edge cases: null and empty text have no ids and pass both checks; a character outside the pieces
 becomes byte pieces, or the unknown id where the model has no byte fallback (then the round trip is
