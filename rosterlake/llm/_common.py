@@ -7,8 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,12 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _SHIPPED: set[str] = set()
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """A table; with spread, one of fewer splits than cores is dealt out over them (a layout for small
+    files in few row groups; larger tables keep their splits)."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,10 +40,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a private one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a private one only on a local master without one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="rosterlake-")
@@ -75,18 +84,11 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class Grown:
-    """A float table that grows row by row (amortised doubling)."""
-
-    def __init__(self, shape: tuple[int, ...], dtype, room: int = 1024):
-        self.data, self.n = np.zeros((room, *shape), dtype), 0
-
-    def append(self, row) -> int:
-        if self.n == len(self.data):
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        self.data[self.n] = row
-        self.n += 1
-        return self.n - 1
-
-    def cut(self, n: int) -> None:
-        self.n = n
+def parts(b: pa.RecordBatch, column: int, bytes_at_once: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of a text or binary column, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + bytes_at_once, side="right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi

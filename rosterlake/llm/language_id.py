@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.llm._common import held_out, load, ship, words
+from rosterlake.llm._common import held_out, load, parts, ship, words
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 SLICE_BITS = 12
 CACHE = 500_000
 AT_ONCE = 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_NEARLY = re.compile(r"[^\W\d_]")
 _POWERS = np.array([1, 0x01000193, 0x0193_2D4F, 0x9E3779B1], np.uint32)
 
 
@@ -73,6 +73,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["label", "ids", "weights"])
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (numerals such as one half are none)."""
+    return any(m.group().isalpha() for m in _NEARLY.finditer(text))
+
+
 class Model:
     """labels, logits per bucket, temperature and the score below which a prediction is rejected."""
 
@@ -175,7 +180,7 @@ class _Scorer(dict):
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(label, score, accepted) of each text."""
-        readable = [t if t is not None and _LETTER.search(t) else "" for t in texts]
+        readable = [t if t is not None and has_letter(t) else "" for t in texts]
         split = [words(t.encode()) for t in readable]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         total = np.zeros((len(split), self.rows.shape[1]))
@@ -210,15 +215,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(sent.value)
         for whole in batches:
-            texts = whole.column(whole.num_columns - 1).to_pylist()
-            ends = np.cumsum([len(t or "") for t in texts])
-            lo = 0
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE)))
-                b, got = whole.slice(lo, hi - lo), scorer(texts[lo:hi])
+            for b in parts(whole, whole.num_columns - 1, AT_ONCE):
+                got = scorer(b.column(b.num_columns - 1).to_pylist())
                 new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], *into])
-                lo = hi
 
     frame = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"))
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType()), T.StructField(into[2], T.BooleanType())])
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents", spread=True)
     out = held_out("doc_id", 4)
     model = fit(docs.filter(~out & F.col("lang").isNotNull()))
     lean = docs.select("doc_id", out.alias("held_out"), "text")
