@@ -17,13 +17,14 @@ similarity 0.8 is lost by the bands and both estimates together with probability
 Edge cases: null or empty text, or text of white space only, has an empty set, links with nothing
 and is its own component; fewer words than a shingle make one shingle of the whole sequence;
 repeated rows and repeated ids fall together by their text; a null id takes part, and a component
-is named by its smallest id that is not null; an empty table gives an empty result.
+is named by its smallest id that is not null (null where all are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._common import discard, load, ship, stored, words
+from rosterlake.llm._common import discard, load, parts, ship, stored, words
 from rosterlake.llm.components import components
 
 HASHES, ROWS, B = 128, 4, 4
@@ -43,7 +44,7 @@ FINE, FINE_MARGIN = 2048, 0.075
 BEST = 2
 CACHE = 250_000
 _U = np.uint64
-NODE = "doc_id long, rk long, node binary, n_shingles long, bands array<long>, bits array<long>"
+NODE = "doc_id long, rk binary, node binary, n_shingles long, bands array<long>, bits array<long>"
 
 
 def _odd_numbers(n: int, seed: int) -> np.ndarray:
@@ -138,14 +139,32 @@ def fine_estimate(x, y):
 
 
 def _row_key(key: str, text: str):
-    return F.xxhash64(F.col(key), F.col(text), F.crc32(F.coalesce(F.col(text), F.lit(""))))
+    """128 bits that name a row by its id and text."""
+    said = F.coalesce(F.concat(F.lit("+"), F.col(text)), F.lit("-"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), said).cast("binary")))
+
+
+def named(doc_id, node):
+    """A node's name: its smallest id (nulls last) before its hash, so that names sort by id."""
+    order = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.concat(F.when(doc_id.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), order)), F.hex(node)))
+
+
+def id_of(name):
+    """The id in a name; null where it has none."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number.cast("long"))
+
+
+def node_of(name):
+    return F.substring(name, 10, 16)
 
 
 def nodes(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """One row per document: id, row key, node, set size, band keys and bits (null where the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(parts(b, 2) for b in batches):
             node, size, bands, bits = [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(t, k)
@@ -160,43 +179,49 @@ def nodes(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(node, set) of the wanted (doc_id, node), from their texts."""
+    """(node, name, set) of the wanted (doc_id, node), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, sets = [], []
-            for want, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        for b in chain.from_iterable(parts(b, 2) for b in batches):
+            node, name, sets = [], [], []
+            for want, told, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if xxhash.xxh3_128_digest(b" ".join(words(t))) == want:  # an id may stand at several texts
                     node.append(want)
+                    name.append(told)
                     sets.append(shingle_set(t, k).tobytes())
-            yield pa.record_batch([pa.array(node, pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
+            yield pa.record_batch([pa.array(node, pa.binary()), pa.array(name, pa.binary()), pa.array(sets, pa.binary())], ["node", "name", "set"])
 
     texts = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL")
-    hit = texts.join(wanted.select("doc_id", "node"), F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "t")
-    return hit.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"])
+    asked = wanted.select("doc_id", "node", named(F.col("doc_id"), F.col("node")).alias("name"))
+    hit = texts.join(asked, F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "name", "t")
+    return hit.mapInArrow(run, "node binary, name binary, set binary").dropDuplicates(["node"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold, by their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate((p, q))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    left = sets.select(F.col("node").alias("a"), F.col("name").alias("n"), F.col("set").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("name").alias("m"), F.col("set").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select(F.col("n").alias("a"), F.col("m").alias("b"), "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rk, n_shingles, component_id of every row of docs."""
+    """doc_id, rk (row key), n_shingles, component_id, root of every row of docs.
+
+    Links and components use names that start with a node's smallest id, so a component's root tells
+    its smallest id and no table is ever dealt by root. root is null where a row has no shingle.
+    """
     ship(docs.sparkSession)
     rows = stored(nodes(docs, k, key, text), "nodes")
     full = rows.filter("node IS NOT NULL")
@@ -219,7 +244,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     best = judged.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("e", "b")), asc=False), 1, BEST).alias("l")).select("a", F.explode("l").alias("x")).select("a", F.col("x.b").alias("b"))
     sets = stored(_sets(docs, taking, k, key, text), "sets")
     links = stored(confirm(best, sets, percent), "links")
-    first = stored(components(links), "first")
+    first = stored(components(links).select(node_of(F.col("node")).alias("node"), node_of(F.col("root")).alias("root")), "first")
 
     # what is left: buckets that hold several components
     labelled = member.select("node", "band", "key").join(first.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -235,24 +260,27 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     lead = (F.col("p.root") != F.col("p.most")) & (F.col("p.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.most")) | (F.col("p.node") < F.col("q.node")))
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & lead & near & shared).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     more = confirm(rest, sets, percent)
-    final = components(links.union(more))
-    named = full.select("node", "doc_id").join(final, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = final.join(named, "root").select("node", "component_id").union(one.join(final, "node", "left_anti").select("node", F.col("doc_id").alias("component_id")))
-    joined = full.select("doc_id", "rk", "node", "n_shingles").join(label, "node").select("doc_id", "rk", "n_shingles", "component_id")
-    done = stored(joined.union(rows.filter("node IS NULL").select("doc_id", "rk", "n_shingles", F.col("doc_id").alias("component_id"))), "groups")
-    for df in (rows, one, member, taking, sets, links, first, fine, left):
+    final = stored(components(links.union(more)), "final")
+    label = final.select(node_of(F.col("node")).alias("node"), F.col("root"))
+    label = label.union(one.join(label, "node", "left_anti").select("node", named(F.col("doc_id"), F.col("node"))))
+    joined = full.select("doc_id", "rk", "node", "n_shingles").join(label, "node").select("doc_id", "rk", "n_shingles", id_of(F.col("root")).alias("component_id"), "root")
+    done = stored(joined.union(rows.filter("node IS NULL").select("doc_id", "rk", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary"))), "groups")
+    for df in (rows, one, member, taking, sets, links, first, fine, left, final):
         discard(df)
     return done
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each group: the row of the smallest id, once."""
-    kept = groups(docs, k, percent, key, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("__rk")).distinct()
+    """docs without all but one document of each group: the row of the smallest id that is not null,
+    then of the smallest row key; rows equal in id and text stay once. Rows without words all stay."""
+    found = groups(docs, k, percent, key, text)
+    best = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("m")).select(F.col("m.rk").alias("__rk"))
+    kept = best.union(found.filter("root IS NULL").select("rk").distinct())
     return docs.withColumn("__rk", _row_key(key, text)).join(kept, "__rk").dropDuplicates(["__rk"]).drop("__rk")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(load(spark, sf_dir, "documents"), k=4, percent=80)
+    found = groups(load(spark, sf_dir, "documents", spread=True), k=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
