@@ -8,9 +8,9 @@ then whole tokens by largest remainder) over one row per leaf, the size of the w
 
 A leaf with budget B and supply S takes B div S whole epochs and the prefix of the next one whose
 tokens add up to B mod S at most. The order of an epoch is the 60-bit number at the head of
-md5(seed|epoch|doc_id), then doc_id, then the text's hash. The prefix is found from sums over
-buckets of that order, about BUCKET rows each, and one bucket per leaf is read closely, so no leaf
-is ever sorted or summed in one task, and texts are never shuffled.
+md5(seed|epoch|doc_id), then doc_id, then the text's hash. The prefix is found from sums over slices
+of that order, 2**BITS a level, down to slices of about BUCKET rows, one of which per leaf is read
+closely; so no leaf is ever sorted or summed in one task, and texts are never shuffled.
 
 Edge cases: null path columns form a child called ``null``; null and empty texts have no tokens and
 belong to every prefix their place falls in; rows equal in everything are taken together; weights
@@ -26,9 +26,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm._common import load, stored
+from rosterlake.llm._common import discard, load, stored
 
-BUCKET = 512
+BUCKET, BITS = 512, 8
 BROADCAST_LEAVES = 50_000
 Path = tuple[str, ...]
 
@@ -63,24 +63,28 @@ def whole(shares: Mapping, total: int) -> dict:
 
 def allocate(supply: Mapping[Path, int], weights: Mapping[Path, float], budget: int, epochs: int) -> dict[Path, int]:
     """Tokens for each leaf. weights has the weight of any node by its path; 1 where it has none."""
-
-    def share(prefix: Path, amount: Fraction) -> dict[Path, Fraction]:
-        leaves = {p: n for p, n in supply.items() if p[: len(prefix)] == prefix}
-        if prefix in supply:
-            return {prefix: amount}
-        caps: dict[str, int] = {}
-        for p, n in leaves.items():
-            caps[p[len(prefix)]] = caps.get(p[len(prefix)], 0) + n * epochs
-        w = {k: Fraction(str(weights.get((*prefix, k), 1))) for k in caps}
-        out: dict[Path, Fraction] = {}
-        for k, v in water_fill(amount, caps, w).items():
-            out |= share((*prefix, k), v)
-        return out
-
     if not supply:
         return {}
-    given = whole(share((), Fraction(budget)), budget)
-    return {p: min(n, supply[p] * epochs) for p, n in given.items()}
+    # every node's supply and children, once from the leaves up
+    caps: dict[Path, int] = {}
+    below: dict[Path, list[str]] = {}
+    for p, n in supply.items():
+        for depth in range(len(p) + 1):
+            node = p[:depth]
+            if depth and node not in caps:
+                below.setdefault(node[:-1], []).append(node[-1])
+            caps[node] = caps.get(node, 0) + n * epochs
+    given: dict[Path, Fraction] = {}
+    open_: list[tuple[Path, Fraction]] = [((), Fraction(budget))]
+    while open_:
+        node, amount = open_.pop()
+        if node in supply:
+            given[node] = amount
+            continue
+        kids = sorted(below[node])
+        shares = water_fill(amount, {k: caps[*node, k] for k in kids}, {k: Fraction(str(weights.get((*node, k), 1))) for k in kids})
+        open_ += [((*node, k), v) for k, v in shares.items()]
+    return {p: min(n, supply[p] * epochs) for p, n in whole(given, budget).items()}
 
 
 def tokens(text: str = "text"):
@@ -107,30 +111,37 @@ def mix(docs: DataFrame, levels: Sequence, weights: Mapping[Path, float], budget
     supply = {tuple(r["leaf"]): r["supply"] for r in leaves}
     total = sum(supply.values())
     given = allocate(supply, weights, int(budget * total) if isinstance(budget, float) else budget, epochs)
-    plan = []
+    plan, most = [], 1
     for r in leaves:
         p, s = tuple(r["leaf"]), r["supply"]
         full, rest = divmod(given[p], s) if s else (0, 0)
-        plan.append((p, int(full), int(rest), max(1, r["rows"] // bucket)))
-    shape = f"leaf struct<{', '.join(f'l{i}: string' for i in range(len(levels)))}>, full int, rest long, buckets long"
+        plan.append((p, int(full), int(rest)))
+        most = max(most, r["rows"] if rest else 1)
+    shape = f"leaf struct<{', '.join(f'l{i}: string' for i in range(len(levels)))}>, full int, rest long"
     told = spark.createDataFrame(plan, shape)
     near = F.broadcast if len(plan) <= BROADCAST_LEAVES else (lambda d: d)
 
-    # the last, partial epoch: buckets of its order, the one where the budget ends, and the cut in it
-    last = lean.join(near(told.filter("rest > 0")), "leaf").withColumn("h", _order(seed, F.col("full"))).withColumn("b", F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("buckets")))
-    sums = last.groupBy("leaf", "rest", "b").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("leaf").orderBy("b")
-    edge = sums.withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
-    # the first bucket that does not fit as a whole
-    ends = edge.filter("end > rest").groupBy("leaf").agg(F.min(F.struct("b", "begin")).alias("at"))
-    close = last.join(ends, "leaf").filter(F.col("b") == F.col("at.b"))
-    inside = Window.partitionBy("leaf").orderBy("h", "tie").rangeBetween(Window.unboundedPreceding, 0)
-    fits = close.withColumn("cum", F.sum("n").over(inside) + F.col("at.begin")).filter("cum <= rest").groupBy("leaf").agg(F.max(F.struct("h", "tie")).alias("cut"))
-    cuts = told.join(ends, "leaf", "left").join(fits, "leaf", "left").select("leaf", "full", "rest", "buckets", F.col("at.b").alias("edge"), "cut")
-
-    marked = docs.withColumns({"__leaf": path, "__tie": tie}).join(near(cuts.select(F.col("leaf").alias("__leaf"), F.col("full").alias("__full"), F.col("rest").alias("__rest"), F.col("buckets").alias("__buckets"), F.col("edge").alias("__edge"), F.col("cut").alias("__cut"))), "__leaf")
+    # the last, partial epoch: its order's leading bits, a level at a time, down to the slice in which
+    # each leaf's budget ends; a leaf gives at most 2**BITS sums a level
+    last = lean.join(near(told.filter("rest > 0")), "leaf").withColumn("h", _order(seed, F.col("full")))
+    ends, depth = None, 0
+    while depth == 0 or (most >> BITS * depth > bucket and BITS * (depth + 1) <= 60):
+        inside = last.withColumn("begin", F.lit(0).cast("long")) if ends is None else last.join(near(ends), "leaf").filter(F.shiftright("h", 60 - BITS * depth) == F.col("slice"))
+        depth += 1
+        sums = inside.groupBy("leaf", "rest", "begin", F.shiftright("h", 60 - BITS * depth).alias("b")).agg(F.sum("n").alias("n"))
+        edge = sums.withColumn("end", F.col("begin") + F.sum("n").over(Window.partitionBy("leaf").orderBy("b")))
+        # the first slice that does not fit as a whole
+        found = edge.filter("end > rest").groupBy("leaf").agg(F.min(F.struct("b", (F.col("end") - F.col("n")).alias("begin"))).alias("at"))
+        ends = stored(found.select("leaf", F.col("at.b").alias("slice"), F.col("at.begin").alias("begin")), "ends")
+    close = last.join(near(ends), "leaf").filter(F.shiftright("h", 60 - BITS * depth) == F.col("slice"))
+    running = Window.partitionBy("leaf").orderBy("h", "tie").rangeBetween(Window.unboundedPreceding, 0)
+    fits = close.withColumn("cum", F.sum("n").over(running) + F.col("begin")).filter("cum <= rest").groupBy("leaf").agg(F.max(F.struct("h", "tie")).alias("cut"))
+    cuts = stored(told.join(ends.select("leaf", "slice"), "leaf", "left").join(fits, "leaf", "left").select("leaf", "full", "rest", F.col("slice").alias("edge"), "cut"), "cuts")
+    discard(lean)
+
+    marked = docs.withColumns({"__leaf": path, "__tie": tie}).join(near(cuts.select(*[F.col(c).alias(f"__{c}") for c in cuts.columns])), "__leaf")
     h = _order(seed, F.col("__full"))
-    b = F.floor(h / F.lit(float(1 << 60)) * F.col("__buckets"))
+    b = F.shiftright(h, 60 - BITS * depth)
     partial = (F.col("__rest") > 0) & (F.col("__edge").isNull() | (b < F.col("__edge")) | ((b == F.col("__edge")) & (F.struct(h.alias("h"), F.col("__tie").alias("tie")) <= F.col("__cut"))))
     count = F.col("__full") + F.when(F.coalesce(partial, F.lit(False)), 1).otherwise(0)
     out = marked.withColumn("__times", count).filter("__times > 0")
@@ -138,7 +149,7 @@ def mix(docs: DataFrame, levels: Sequence, weights: Mapping[Path, float], budget
         done = out.withColumn("epoch", F.lit(0))
     else:
         done = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return done.drop("__leaf", "__tie", "__full", "__rest", "__buckets", "__edge", "__cut", "__times")
+    return done.drop("__leaf", "__tie", "__full", "__rest", "__edge", "__cut", "__times")
 
 
 def levels_of(source: str = "source", lang: str = "lang") -> list:
