@@ -1,19 +1,22 @@
 """Exact top-k inner-product search over vector-approximation files.
 
-A block of vectors keeps, beside the exact integers, one small cell number per component: cells
-are equal-count slices of the block's values in that dimension, with the smallest and largest value
-of each. A query scans the cells only and gets, per vector, a lower and an upper bound of the score:
-each component contributes the smaller or larger of query times cell edge. Exact vectors are then
-read in order of the upper bound, in small steps, until the k-th best exact score is above every
-upper bound left (ties are read too, so that the smaller id wins).
-
-Blocks of queries meet blocks of vectors, and each pairing returns at most k rows a query, which a
-window then reduces to k. Nothing is broadcast and no row-by-row pairs are made.
+The approximation file holds one byte per component: the number of the vector's cell among CELLS
+equal ones between the smallest and largest value of that component over all vectors. With a cell's
+middle in place of a component, a score is off by half a cell at most, so each query has one radius and
+the middle score plus or minus it bounds the exact score.
+
+Blocks of queries meet blocks of the approximation file only (exact vectors stay where they are) and
+keep, per query, the vectors whose upper bound reaches the block's k-th lower bound. Over all blocks the
+k first in the order of the bounds are read exactly; their k-th exact score then says which others
+must be read too (upper bound at or above it, ties included), and everything else is certain
+to stay out. Exact rows are fetched by a join on their ids. Nothing is broadcast but the cells' edges
+(two numbers per component).
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part, neither as
-queries nor as candidates; vectors whose length is not the most common one are searched among
-their own length; ties go to the smaller vec_id; a query never returns its own id; repeated rows
-are candidates each; with fewer than k candidates all are returned; empty tables give no rows.
+queries nor as candidates; vectors are searched among those of their own length; ties go to the smaller
+vec_id; a query never returns its own id; rows repeated whole are candidates each, and ask once;
+with fewer than k candidates all are returned; empty tables give no rows. Scores are exact
+up to 2**53; components beyond what a long holds are cut to it by floor.
 """
 
 from __future__ import annotations
@@ -22,84 +25,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm._common import load, ship
-
-CELLS, STEP = 16, 64
-ROWS, ASKED, AT_ONCE = 8192, 4096, 256
-
-
-class Cells:
-    """The approximation of one block: cell numbers (n x d, 4 bits used) and each cell's edges."""
-
-    def __init__(self, x: np.ndarray, cells: int = CELLS):
-        cuts = np.quantile(x, np.linspace(0, 1, cells + 1)[1:-1], axis=0)
-        self.code = np.empty(x.shape, np.uint8)
-        self.low, self.high = np.zeros((cells, x.shape[1])), np.zeros((cells, x.shape[1]))
-        for d in range(x.shape[1]):
-            c = self.code[:, d] = np.searchsorted(cuts[:, d], x[:, d], side="right")
-            np.maximum.at(high := np.full(cells, -np.inf), c, x[:, d])
-            np.minimum.at(low := np.full(cells, np.inf), c, x[:, d])
-            self.low[:, d], self.high[:, d] = np.where(np.isfinite(low), low, 0), np.where(np.isfinite(high), high, 0)
-
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the inner products of queries (m x d) with every vector."""
-        d = np.arange(self.code.shape[1])
-        low, high = self.low[self.code, d], self.high[self.code, d]
-        pos, neg = np.maximum(q, 0), np.minimum(q, 0)
-        return pos @ low.T + neg @ high.T, pos @ high.T + neg @ low.T
-
-
-def top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best of one block for each query, by cells then exact reads."""
-    cells = Cells(x)
-    # whole numbers below 2**53 add up exactly in doubles
-    for j, own in enumerate(q_ids):
-        i = j % AT_ONCE
-        if not i:
-            part = q[j : j + AT_ONCE]
-            lower, upper = cells.bounds(part)
-        others = np.flatnonzero(ids != own)
-        if not len(others):
-            continue
-        up = upper[i, others]
-        floor = np.partition(lower[i, others], -k)[-k] if len(others) > k else -np.inf
-        live = others[up >= floor]
-        live = live[np.lexsort((ids[live], -upper[i, live]))]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(live), STEP):
-            if len(best) == k and -best[-1][0] > upper[i, live[at]]:
-                break
-            read = live[at : at + STEP]
-            score = x[read] @ part[i]
-            best = sorted([*best, *((-int(s), int(v)) for s, v in zip(score, ids[read], strict=True))])[:k]
-        for s, v in best:
-            yield int(own), v, -s
+from rosterlake.llm._common import discard, load, ship, stored
 
+CELLS = 256
+ROWS, ASKED = 65_536, 4096
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS, asked: int = ASKED) -> DataFrame:
-    """query_id, rank, vec_id, score; both frames have vec_id long and v array<double> of whole numbers."""
-    ship(vectors.sparkSession)
 
-    def blocks(df: DataFrame, size: int) -> DataFrame:
-        """Blocks of about size rows: a salt of the id's hash, as many as the count asks for."""
-        n = max(1, -(-df.count() // size))
-        return df.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b")), n
+class Grid:
+    """Equal cells of each component: lowest edges and widths."""
 
-    (base, n), (ask, m) = blocks(vectors, rows), blocks(queries, asked)
-    pair = F.concat_ws("-", "b", "a", "d")
-    base = base.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(pair.alias("p"), "vec_id", "v", "b")
-    ask = ask.withColumnRenamed("b", "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(pair.alias("p"), "vec_id", "v")
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, self.width = low, np.maximum((high - low) / CELLS, 1e-300)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.low) / self.width, 0, CELLS - 1).astype(np.uint8)
+
+    def middles(self, codes: np.ndarray) -> np.ndarray:
+        return self.low + (codes + 0.5) * self.width
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = list(top_k(np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy(), k)) if len(left) and len(right) else []
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def radius(self, q: np.ndarray) -> np.ndarray:
+        """How far an exact score of each query can be from that of the cells' middles, with room for rounding."""
+        reach = np.abs(q) @ (self.width / 2)
+        return reach * (1 + 1e-6) + 1e-9 * (np.abs(q) @ (np.abs(self.low) + CELLS * self.width)) + 1e-6
 
-    found = base.groupBy("p").cogroup(ask.groupBy("p")).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+def candidates(grid: Grid, ids: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query number, vector number, middle score) that one block's bounds cannot rule out."""
+    middles, radius = grid.middles(codes), grid.radius(q)
+    step = max(1, 4_000_000 // max(1, len(ids)))
+    for at in range(0, len(q), step):
+        score = q[at : at + step] @ middles.T
+        score[q_ids[at : at + step, None] == ids[None, :]] = -np.inf
+        floor = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(score), -np.inf)
+        # the k-th lower bound is floor - radius; an upper bound is score + radius
+        i, j = np.nonzero((score >= (floor - 2 * radius[at : at + step])[:, None]) & np.isfinite(score))
+        yield i + at, j, score[i, j]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS, asked: int = ASKED) -> DataFrame:
+    """query_id, rank, vec_id, score; both frames have vec_id long and v array<double> of whole numbers."""
+    spark = vectors.sparkSession
+    ship(spark)
+    edges = vectors.select(F.size("v").alias("d"), F.posexplode("v")).groupBy("d", "pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).collect()
+    grids: dict[int, Grid] = {}
+    for d in {r["d"] for r in edges}:
+        own = sorted((r["pos"], r["low"], r["high"]) for r in edges if r["d"] == d)
+        grids[d] = Grid(np.array([x for _, x, _ in own]), np.array([x for *_, x in own]))
+    sent = spark.sparkContext.broadcast(grids)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [sent.value[len(v)].codes(np.asarray(v.values)).tobytes() for v in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(codes, pa.binary())], ["vec_id", "code"])
+
+    cells = stored(vectors.select("vec_id", "v").mapInArrow(encode, "vec_id long, code binary"), "cells")
+    asking = queries.select("vec_id", "v").distinct().withColumn("qk", F.xxhash64("vec_id", "v"))
+    n, m = max(1, -(-cells.count() // rows)), max(1, -(-asking.count() // asked))
+    pair = F.concat_ws("-", "b", "a", "d")
+    base = cells.select("vec_id", "code", F.length("code").alias("d"), F.pmod(F.xxhash64("vec_id", "code"), F.lit(n)).alias("b"))
+    base = base.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(pair.alias("p"), "vec_id", "code")
+    ask = asking.select("vec_id", "qk", "v", F.size("v").alias("d"), F.pmod("qk", F.lit(m)).alias("a"))
+    ask = ask.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(pair.alias("p"), "vec_id", "qk", "v")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qk": [], "vec_id": [], "middle": [], "radius": []})
+        q, codes = np.stack(right["v"].to_numpy()), np.stack([np.frombuffer(c, np.uint8) for c in left["code"]])
+        grid, ids, own = sent.value[q.shape[1]], left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        radius, qk = grid.radius(q), right["qk"].to_numpy()
+        parts = list(candidates(grid, ids, codes, own, q, k))
+        i, j, s = (np.concatenate([p[c] for p in parts]) for c in range(3))
+        return pd.DataFrame({"qk": qk[i], "vec_id": ids[j], "middle": s, "radius": radius[i]})
+
+    met = base.groupBy("p").cogroup(ask.groupBy("p")).applyInPandas(meet, "qk long, vec_id long, middle double, radius double").distinct()
+    by_bound = Window.partitionBy("qk").orderBy(F.desc("middle"), "vec_id")
+    open_ = stored(met.withColumn("place", F.row_number().over(by_bound)), "open")
+    # an id may stand at several vectors: they are all read, and their exact scores decide
+    exact = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).cast("long")
+    target = asking.select("qk", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+    def read(some: DataFrame) -> DataFrame:
+        return some.join(vectors, "vec_id").join(target, "qk").filter(F.size("v") == F.size("q")).select("qk", "query_id", "vec_id", exact.alias("score"))
+
+    first = stored(read(open_.filter(F.col("place") <= k).select("qk", "vec_id")), "first")
+    order = Window.partitionBy("qk").orderBy(F.desc("score"), "vec_id")
+    least = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("qk", F.col("score").alias("least"))
+    rest = open_.filter(F.col("place") > k).join(least, "qk").filter(F.col("middle") + F.col("radius") >= F.col("least"))
+    ranked = first.union(read(rest.select("qk", "vec_id"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    done = stored(ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score"), "hits")
+    for df in (cells, open_, first):
+        discard(df)
+    return done
 
 
 def whole_numbers(df: DataFrame, vector: str = "embedding", key: str = "vec_id", scale: int = 256) -> DataFrame:
@@ -117,8 +137,9 @@ ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
