@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": license_scan.ORACLE,
     "op7_exact_topk": vector_search.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
 }

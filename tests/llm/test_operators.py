@@ -327,35 +327,70 @@ def test_record_framing():
 # --- licences ------------------------------------------------------------------------------------
 
 
-def brute_licenses(text, t=0.9):
+def brute_licenses(text, known, t=0.9):
+    """The best coefficient over the whole text, its lines and all runs of a template's length."""
     import re
 
-    def grams(s):
-        w = re.sub(r"[^a-z0-9\u0080-\U0010ffff]+", " ", "".join(c.lower() if c.isascii() else c for c in s)).split()
+    def lines(s):
+        s = "".join(c.lower() if c.isascii() else c for c in s or "")
+        out = [re.sub(r"[^a-z0-9\u0080-\U0010ffff]+", " ", x).split(" ") for x in s.split("\n")]
+        out = [[w for w in x if w] for x in out]
+        return [x for x in out if x and not re.match(r"copyright (c|\u00a9|[0-9]+)( |$)", " ".join(x))]
+
+    def grams(w):
         return set(zip(w, w[1:], strict=False))
 
-    lines = [x for x in (text or "").split("\n") if re.sub(r"[^A-Za-z0-9\u0080-\U0010ffff]+", "", x)]
-    units = [text or ""] + (lines if len(lines) > 1 else [])
+    own = lines(text)
+    w = [x for y in own for x in y]
     out = {}
-    for u in units:
-        for k, v in license_scan.TEMPLATES.items():
-            a, b = grams(u), grams(v)
-            if a and 2 * len(a & b) / (len(a) + len(b)) >= t:
-                out.setdefault(k, []).append(2 * len(a & b) / (len(a) + len(b)))
-    return {k: (max(v), len(v)) for k, v in out.items()}
-
-
-def test_licenses_against_all_templates(spark, texts):
-    mit = license_scan.TEMPLATES["MIT"]
-    more = [*ODD, mit, mit.upper().replace(",", ";"), mit.replace("free of charge", "for free"), "intro\n" + license_scan.TEMPLATES["ISC"] + "\n\nMIT License, Released under the"]
-    docs = spark.createDataFrame([*texts, *((10**6 + i, t) for i, t in enumerate(more))], "doc_id long, text string")
+    for k, v in known.items():
+        body = [x for y in lines(v) for x in y]
+        n, b = len(body), grams(body)
+        units = [w, *(own if len(own) > 1 else ()), *(w[i : i + n] for i in range(len(w) - n + 1))]
+        scores = [2 * len(a & b) / (len(a) + len(b)) for a in map(grams, units) if a]
+        if max(scores, default=0) >= t:
+            out[k] = max(scores)
+    return out
+
+
+def test_licenses_against_all_units(spark):
+    known = {k: v for k, v in license_scan.templates().items() if len(v) < 2000}
+    mit, isc, bsd = known["MIT"], known["ISC"], known["BSD-3-Clause"]
+    header = known["Apache-2.0-header"].split()
+    wrapped = "\n".join("# " + " ".join(header[i : i + 9]) for i in range(0, len(header), 9))
+    more = [
+        *ODD, mit, mit.upper().replace(",", ";"), mit.replace("free of charge", "for free"), "intro words\n" + isc + "\n\nMIT License, Released under the", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit,
+        "/*\n * Copyright 2019 The Authors\n" + wrapped + "\n */\nint main() { return 0; }\n" * 3, bsd + "\n" + mit, "some text before. This file: Released under the MIT License. And after it " + "more " * 30, mit[:300], " ".join(mit.split()),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(more)], "doc_id long, text string, license string")
     got = defaultdict(dict)
-    for r in license_scan.scan(docs).collect():
-        got[r["doc_id"]][r["license"]] = (r["dice"], r["units"])
-    want = {d: b for d, t in [*texts, *((10**6 + i, t) for i, t in enumerate(more))] if (b := brute_licenses(t))}
-    assert dict(got) == want and 10**6 + len(ODD) in want
+    for r in license_scan.scan(docs, known).collect():
+        got[r["doc_id"]][r["license"]] = r["dice"]
+    want = {d: b for d, t in enumerate(more) if (b := brute_licenses(t, known))}
+    assert {d: {k: round(v, 9) for k, v in x.items()} for d, x in got.items()} == {d: {k: round(v, 9) for k, v in x.items()} for d, x in want.items()}
+    n = len(ODD)
+    assert got[n]["MIT"] == got[n + 4]["MIT"] == got[n + 9]["MIT"] == 1.0 and "MIT" in got[n + 1] and "ISC" in got[n + 3] and "Apache-2.0-header" in got[n + 5] and {"MIT", "BSD-3-Clause"} <= got[n + 6].keys() and "MIT-notice" in got[n + 7] and n + 8 not in got
     with pytest.raises(ValueError):
         license_scan.Matcher({"x": "one"}, 0.9)
+    assert license_scan.scan(docs.filter("false")).count() == 0
+
+
+def test_whole_licences_are_found(spark):
+    rows = [(i, "Copyright (c) 2001 Someone\n" + t) for i, t in enumerate(license_scan.templates().values())]
+    best = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("best").collect()}
+    assert [best[i] for i in range(len(rows))] == list(license_scan.templates())
+
+
+@pytest.mark.parametrize("name", ["op5_license_scan", "op7_exact_topk", "op10_near_dedup"])
+def test_queries_against_sql(spark, duck, name):
+    from rosterlake.llm.queries import ORACLES, QUERIES
+
+    df = QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    said = duck.execute(ORACLES[name])
+    names = [d[0] for d in said.description]
+    assert sorted(names) == columns
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(tuple(r[names.index(c)] for c in columns) for r in said.fetchall())
 
 
 # --- mixing --------------------------------------------------------------------------------------
