@@ -1,4 +1,4 @@
-"""One rounding rule: half up on the binary value, the same arithmetic in every engine."""
+"""One rounding rule: half to even on the scaled binary value, the same arithmetic in every engine."""
 
 from __future__ import annotations
 
@@ -8,4 +8,4 @@ from pyspark.sql import functions as F
 
 def rounded(x: Column, places: int) -> Column:
     p = F.lit(float(10**places))
-    return F.floor(x * p + F.lit(0.5)) / p
+    return F.rint(x * p) / p

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Leading words of facility names, longest first, and leading titles of persons.
 FACILITY_PREFIXES = (
@@ -23,6 +27,17 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def nfkc(x: pd.Series) -> pd.Series:
+    """Compatibility form of Unicode text. Names pass here once, at the load, so that the keys below stay expressions."""
+    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def slug(x: Column) -> Column:
+    """Lower-case words joined by hyphens, the form of names in addresses."""
+    return F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), F.lit("-"))
+
+
 def facility_name(x: Column) -> Column:
     """Comparable form of a facility name: no leading kind, no word 'hospital', letters and digits only."""
     low = F.lower(F.trim(x))

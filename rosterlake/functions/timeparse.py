@@ -14,8 +14,8 @@ DAYS = {
 #: Last number a source uses for a day; 1 is Monday.
 NUMBERED = {"siloam": 7, "emc": 6, "brawijaya": 6}
 
-_RANGE = r"(\d{1,2})[:.](\d{2})(?:[:.]\d{2})?\s*(?:-|–|—|s/d|sd|sampai|to)\s*(\d{1,2})[:.](\d{2})(?:[:.]\d{2})?"
-_OPEN = r"(?i)(\d{1,2})[:.](\d{2})(?:[:.]\d{2})?\s*(?:-|–|—)\s*selesai"
+_RANGE = r"(\d{1,2})[:.](\d{2})(?:[:.]\d{2})?\s*-\s*(\d{1,2})[:.](\d{2})(?:[:.]\d{2})?"
+_OPEN = r"(?i)(\d{1,2})[:.](\d{2})(?:[:.]\d{2})?\s*-\s*selesai"
 
 
 def day_name(x: Column) -> Column:
@@ -81,7 +81,7 @@ def time_ranges(x: Column) -> Column:
     start = F.concat(F.lpad(F.regexp_extract(t, _OPEN, 1), 2, "0"), F.lit(":"), F.regexp_extract(t, _OPEN, 2))
     return (
         F.when(t == "", low)
-        .when(F.lower(t).contains("dengan perjanjian"), F.array(_session(none, none, "medium")))
+        .when(t.rlike(r"(?i)dengan\s+perjanjian"), F.array(_session(none, none, "medium")))
         .when(F.size(parts) > 1, F.when(each_one, F.transform(parts, lambda p: _session(_token(p, 1), _token(p, 3), "high"))).otherwise(low))
         .when(t.rlike(_OPEN), F.array(_session(start, none, "high")))
         .when(F.size(ranges) == 1, F.array(_session(_token(t, 1), _token(t, 3), "high")))
@@ -107,3 +107,10 @@ def week_time(monday: Column, day: Column, minute: Column) -> Column:
 def next_monday(day: Column) -> Column:
     """The first Monday after a date."""
     return F.next_day(day, "Mon")
+
+
+def strict_minutes(x: Column) -> Column:
+    """'HH:MM' within a day as minutes since midnight; anything else fails the job."""
+    m = minutes(x)
+    sound = x.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
+    return F.when(x.isNull() | ~sound, F.raise_error(F.concat(F.lit("no time of day: "), F.coalesce(x, F.lit("null")))).cast("int")).otherwise(m)

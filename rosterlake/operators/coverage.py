@@ -78,12 +78,46 @@ def supply(sessions: DataFrame) -> DataFrame:
 
 def window_minutes(sessions: DataFrame, windows: tuple[TimeWindow, ...], name: str) -> DataFrame:
     """Hours of overlap with each of the windows, summed: overlapping windows both count."""
+    closed = usable(sessions).filter("end_min IS NOT NULL")
+    return closed.groupBy("facility").agg(rounded(F.sum(overlap(windows)) / F.lit(60.0), 2).alias(name))
+
+
+def overlap(windows: tuple[TimeWindow, ...]) -> Column:
+    """Minutes of a session inside the windows, one after the other; 0 for an open-ended one."""
     total = F.lit(0)
     for w in windows:
-        overlap = F.greatest(F.lit(0), F.least("end_min", F.lit(w.end)) - F.greatest("start_min", F.lit(w.start)))
-        total = total + F.when(F.col("day").isin(*w.days), overlap).otherwise(0)
-    closed = usable(sessions).filter("end_min IS NOT NULL")
-    return closed.groupBy("facility").agg(rounded(F.sum(total) / F.lit(60.0), 2).alias(name))
+        inside = F.greatest(F.lit(0), F.least("end_min", F.lit(w.end)) - F.greatest("start_min", F.lit(w.start)))
+        total = total + F.when(F.col("day").isin(*w.days) & F.col("end_min").isNotNull(), inside).otherwise(0)
+    return total
+
+
+def cell_sets(sessions: DataFrame) -> DataFrame:
+    """facility and its covered cells as day * SLOTS + slot: an array of 196 at most."""
+    marks = cells(sessions).select("facility", (F.col("day") * SLOTS + F.col("slot")).cast("int").alias("cell"))
+    return marks.groupBy("facility").agg(F.collect_set("cell").alias("cells"))
+
+
+def in_set(cells: str, windows: tuple[TimeWindow, ...]) -> Column:
+    """struct(coverage, longest): share of the windows' cells in an array of cells, and the longest run
+    of others in minutes; runs stay within a day and follow the windows' own cells."""
+    wanted = [d * SLOTS + s for d in range(DAYS) for s in range(SLOTS) if any(d in w.days and w.start <= s * SLOT + OPEN < w.end for w in windows)]
+    all_ = F.array(*[F.lit(c) for c in wanted])
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(-1).alias("day"))
+
+    def step(s: Column, c: Column) -> Column:
+        day = F.floor(c / SLOTS).cast("int")
+        run = F.when(F.array_contains(cells, c), 0).when(day == s["day"], s["run"] + 1).otherwise(1)
+        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"), day.alias("day"))
+
+    share = rounded(F.size(F.array_intersect(all_, F.col(cells))) / F.lit(float(len(wanted))), 4)
+    return F.struct(share.alias("coverage"), (F.aggregate(all_, start, step)["best"] * SLOT).alias("longest"))
+
+
+def complete(rows: Column, good: Column, with_good: Column, registered: Column) -> Column:
+    """min(usable rows / rows, practitioners with usable rows / registered); registered but no rows: 0."""
+    by_rows = F.when(rows > 0, F.coalesce(good, F.lit(0)) / rows)
+    by_people = F.when(registered > 0, F.coalesce(with_good, F.lit(0)) / registered)
+    return rounded(F.when(by_people.isNull(), by_rows).when(by_rows.isNull(), 0.0).otherwise(F.least(by_rows, by_people)), 4)
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -125,10 +159,7 @@ def completeness(sessions: DataFrame, registered: DataFrame) -> DataFrame:
     good = usable(sessions).groupBy("facility").agg(F.count("*").alias("good"), F.countDistinct("practitioner").alias("with_good"))
     known = registered.groupBy("facility").agg(F.countDistinct("practitioner").alias("registered"))
     joined = rows.join(good, "facility", "left").join(known, "facility", "full").select("facility", "rows", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("with_good", F.lit(0)).alias("with_good"), "registered")
-    by_rows = F.when(F.col("rows") > 0, F.col("good") / F.col("rows"))
-    by_people = F.when(F.col("registered") > 0, F.col("with_good") / F.col("registered"))
-    value = F.when(by_people.isNull(), by_rows).when(by_rows.isNull(), 0.0).otherwise(F.least(by_rows, by_people))
-    return joined.select("facility", rounded(value, 4).alias("completeness"), "registered")
+    return joined.select("facility", complete(F.col("rows"), F.col("good"), F.col("with_good"), F.col("registered")).alias("completeness"), "registered")
 
 
 def heatmap(covered: DataFrame, cap: int = 2) -> DataFrame:

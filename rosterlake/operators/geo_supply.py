@@ -5,34 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions.geo import haversine_km, in_box, missing, same_place
+from rosterlake.functions.geo import haversine_km, in_box, meet, missing, same_place
 from rosterlake.functions.rounding import rounded
 from rosterlake.functions.text import not_empty
 
-KM_PER_DEGREE = 111.19
 
-
-def radius_join(anchors: DataFrame, places: DataFrame, km: float, most_latitude: float = 85.0) -> DataFrame:
-    """(anchor, id, distance) for places within km, the anchor itself excluded.
-
-    Both sides fall into grid cells at least km wide; a place goes to its own and the eight cells
-    around, an anchor to its own, which makes the join an equality on the cell. Longitude cells use
-    the width at the latitude of the anchor's row of cells plus one.
-    """
-    height = km / KM_PER_DEGREE
-    anchors = anchors.filter(~missing(F.col("lat"), F.col("lon")))
-    places = places.filter(~missing(F.col("lat"), F.col("lon")))
-
-    def width(row: Column) -> Column:
-        edge = F.least(F.lit(most_latitude), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * height)
-        return F.lit(height) / F.cos(F.radians(edge))
-
-    row = F.floor(F.col("lat") / height)
-    a = anchors.select(F.col("id").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), row.alias("row")).withColumn("column", F.floor(F.col("a_lon") / width(F.col("row"))))
-    near = places.select("id", "lat", "lon", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: row + d)).alias("row"))
-    near = near.select("id", "lat", "lon", "row", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("lon") / width(F.col("row"))) + d)).alias("column"))
+def radius_join(anchors: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """(anchor, id, distance) for places within km, the anchor itself excluded; an equi-join on grid cells."""
+    a = anchors.filter(~missing(F.col("lat"), F.col("lon"))).select(F.col("id").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = places.filter(~missing(F.col("lat"), F.col("lon"))).select("id", "lat", "lon")
     d = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return a.join(near, ["row", "column"]).filter(F.col("anchor") != F.col("id")).withColumn("distance", d).filter(F.col("distance") <= km).select("anchor", "id", "distance")
+    return meet(a, b, "a_lat", "a_lon", "lat", "lon", km).filter(F.col("anchor") != F.col("id")).select("anchor", "id", d.alias("distance"))
 
 
 def quality_bucket(ratio: Column, high: float = 0.80, medium: float = 0.50) -> Column:

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions import similarity
+from rosterlake.functions import geo, similarity
 from rosterlake.functions.geo import haversine_km
 from rosterlake.functions.rounding import rounded
 from rosterlake.functions.text import facility_name
+from rosterlake.sources.staging import stored
 
 MATCH, DUPLICATE, REVIEW, NEAR_KM = 80.0, 85.0, 70.0, 1.5
 
@@ -18,18 +19,28 @@ MATCH, DUPLICATE, REVIEW, NEAR_KM = 80.0, 85.0, 70.0, 1.5
 def fuzzy_best(names: DataFrame, facilities: DataFrame, threshold: float = MATCH) -> DataFrame:
     """names (key, raw, grp) with the best facility of the group (any, if grp is null), its score.
 
-    Distinct (raw, grp) are matched once. The join is on the group, never on everything times
-    everything: names without a group meet all facilities through the small distinct list. Equal
-    scores go to the smaller id.
+    Distinct (raw, grp) are matched once. Equal normalised names score 100 and are settled by an equi-join;
+    the others meet facilities that share enough grams for the threshold (short names: by length).
+    Equal scores go to the smaller id.
     """
     asked = names.select("raw", "grp").distinct().withColumn("n", facility_name(F.col("raw"))).filter("n <> ''")
     known = facilities.select("id", F.col("grp").alias("f_grp"), facility_name(F.col("name")).alias("f_n")).filter("f_n <> ''")
-    grouped = asked.filter("grp IS NOT NULL").join(known, F.col("grp") == F.col("f_grp"))
-    free = asked.filter("grp IS NULL").join(known, similarity.ceiling(F.col("n"), F.col("f_n")) >= threshold)
-    pairs = grouped.unionByName(free).filter(similarity.ceiling(F.col("n"), F.col("f_n")) >= threshold)
-    scored = pairs.withColumn("score", similarity.conservative(F.col("n"), F.col("f_n"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("raw", "grp").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b"))
-    best = best.select(F.col("raw").alias("b_raw"), F.col("grp").alias("b_grp"), (-F.col("b.minus")).alias("id"), rounded(F.col("b.score"), 4).alias("score"))
+    fits = F.col("grp").isNull() | (F.col("grp") == F.col("f_grp"))
+    exact = asked.join(known, (F.col("n") == F.col("f_n")) & fits).groupBy("raw", "grp").agg(F.min("id").alias("id")).withColumn("score", F.lit(100.0))
+    open_ = asked.join(exact.select(F.col("raw").alias("e_raw"), F.col("grp").alias("e_grp")), (F.col("raw") == F.col("e_raw")) & F.col("grp").eqNullSafe(F.col("e_grp")), "left_anti")
+    left = open_.withColumn("g", F.explode(similarity.grams(F.col("n"))))
+    right = known.withColumn("g", F.explode(similarity.grams(F.col("f_n"))))
+    met = left.join(right, "g").filter(fits).groupBy("raw", "grp", "n", "id", "f_n").agg(F.count("*").alias("shared"))
+    enough = met.filter(F.col("shared") >= similarity.least_shared(F.col("n"), F.col("f_n"), threshold)).drop("shared")
+    # names so short that no gram need be shared meet by their lengths, a pair once
+    few = [(a, b) for a in range(1, 64) for b in range(1, 64) if 200 * min(a, b) >= threshold * (a + b) and max(a, b) - 1 <= 2 * int((a + b) * (1 - threshold / 100) + 1e-9)]
+    if few:
+        lengths = names.sparkSession.createDataFrame(few, "la int, lb int")
+        short = open_.join(F.broadcast(lengths), F.length("n") == F.col("la")).join(known, (F.length("f_n") == F.col("lb")) & fits).select("raw", "grp", "n", "id", "f_n")
+        enough = enough.union(short).distinct()
+    scored = enough.withColumn("score", similarity.many_scores(F.col("n"), F.col("f_n"))).filter(F.col("score") >= threshold)
+    best = scored.groupBy("raw", "grp").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b")).select("raw", "grp", (-F.col("b.minus")).alias("id"), F.col("b.score").alias("score"))
+    best = exact.unionByName(best).select(F.col("raw").alias("b_raw"), F.col("grp").alias("b_grp"), "id", rounded(F.col("score"), 4).alias("score"))
     return names.join(best, (F.col("raw") == F.col("b_raw")) & F.col("grp").eqNullSafe(F.col("b_grp")), "left").select("key", "raw", "grp", "id", "score")
 
 
@@ -68,11 +79,9 @@ def candidate_pairs(facilities: DataFrame, floor: float = REVIEW, km: float = NE
     off the map meet everyone whose name's length allows the score.
     """
     f = facilities.select("ordinal", "lat", "lon", facility_name(F.col("name")).alias("n")).filter("n IS NOT NULL AND n <> ''")
-    step = km / 100.0
-    row, column = F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)
-    mapped = f.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"r": row, "c": column})
-    spread = mapped.select(*[F.col(x).alias(f"b_{x}") for x in ("ordinal", "lat", "lon", "n")], F.explode(F.sequence(F.col("r") - 1, F.col("r") + 1)).alias("r"), "c").withColumn("c", F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)))
-    near = mapped.join(spread, ["r", "c"]).filter((F.col("ordinal") < F.col("b_ordinal")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= km)).select("ordinal", "b_ordinal", "n", "b_n")
+    mapped = f.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    other = mapped.select(*[F.col(x).alias(f"b_{x}") for x in ("ordinal", "lat", "lon", "n")])
+    near = geo.meet(mapped, other, "lat", "lon", "b_lat", "b_lon", km).filter((F.col("ordinal") < F.col("b_ordinal")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= km)).select("ordinal", "b_ordinal", "n", "b_n")
     off = f.filter("lat IS NULL OR lon IS NULL")
     # a pair scores floor or more only if the shorter name has floor/(200-floor) of the longer one's length
     longest = F.ceil(F.length("n") * F.lit((200 - floor) / floor)).cast("int")
@@ -80,7 +89,7 @@ def candidate_pairs(facilities: DataFrame, floor: float = REVIEW, km: float = NE
     wide = off.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), shortest), longest)))
     loose = wide.join(f.select(F.col("ordinal").alias("b_ordinal"), F.col("n").alias("b_n"), F.length("n").alias("len")), "len").filter("ordinal <> b_ordinal").select(F.least("ordinal", "b_ordinal").alias("ordinal"), F.greatest("ordinal", "b_ordinal").alias("b_ordinal"), F.when(F.col("ordinal") < F.col("b_ordinal"), F.col("n")).otherwise(F.col("b_n")).alias("n"), F.when(F.col("ordinal") < F.col("b_ordinal"), F.col("b_n")).otherwise(F.col("n")).alias("b_n")).distinct()
     both = near.union(loose)
-    return both.filter(similarity.ceiling(F.col("n"), F.col("b_n")) >= floor).withColumn("score", similarity.conservative(F.col("n"), F.col("b_n"))).filter(F.col("score") >= floor).select(F.col("ordinal").alias("a"), F.col("b_ordinal").alias("b"), "score")
+    return both.filter(similarity.ceiling(F.col("n"), F.col("b_n")) >= floor).withColumn("score", similarity.many_scores(F.col("n"), F.col("b_n"))).filter(F.col("score") >= floor).select(F.col("ordinal").alias("a"), F.col("b_ordinal").alias("b"), "score")
 
 
 def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float = DUPLICATE, km: float = NEAR_KM) -> DataFrame:
@@ -91,11 +100,7 @@ def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float
     facilities whose smaller candidates are all decided, until none is open. The smallest open one
     always is, so the rounds end by themselves.
     """
-    spark = facilities.sparkSession
-
-    def cut(df: DataFrame) -> DataFrame:
-        """Shared checkpoints where the session has a folder for them."""
-        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    cut = stored  # each round is a written table, so lineage stays short and lost executors cost nothing
 
     pairs = cut(candidate_pairs(facilities, floor, km))
     # a line per open facility and smaller candidate, and one without candidate; kept is null while the candidate is open
@@ -169,3 +174,19 @@ def resolve_overrides(overrides: DataFrame, facilities: DataFrame, tolerance: fl
 
     return side("source").join(side("target"), "key")
 
+
+
+def display_alias(facilities: DataFrame, aliases: DataFrame, tolerance: float = 0.0005) -> DataFrame:
+    """facilities (id, name, lat, lon, ...) plus display_alias, from aliases (name, lat, lon, alias) that name exactly one facility."""
+    hit = aliases.select(F.col("name").alias("a_name"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "alias").join(
+        facilities.select("id", "name", "lat", "lon"), (F.col("a_name") == F.col("name")) & (F.abs(F.col("a_lat") - F.col("lat")) < tolerance) & (F.abs(F.col("a_lon") - F.col("lon")) < tolerance)
+    )
+    only = hit.groupBy("a_name", "a_lat", "a_lon", "alias").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return facilities.join(only.groupBy("id").agg(F.min("alias").alias("display_alias")), "id", "left")
+
+
+def group_override(facilities: DataFrame, overrides: DataFrame) -> DataFrame:
+    """facilities with grp replaced where overrides (name, grp) has the normalised name; smallest grp on ties."""
+    told = overrides.select(facility_name(F.col("name")).alias("__n"), F.col("grp").alias("__g")).groupBy("__n").agg(F.min("__g").alias("__g"))
+    keyed = facilities.withColumn("__n", facility_name(F.col("name"))).join(told, "__n", "left")
+    return keyed.withColumn("grp", F.coalesce("__g", "grp")).drop("__n", "__g")

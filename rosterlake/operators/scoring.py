@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.rounding import rounded
 from rosterlake.operators import coverage
+from rosterlake.operators.matching import external_facilities
 
 HAS, ZERO, UNKNOWN = "has_doctors", "confirmed_zero", "unknown"
 
@@ -51,23 +52,42 @@ def count_status(facilities: DataFrame, registered: DataFrame, incomplete_groups
     return rows.join(listed, "grp", "left").select("id", "n", status.alias("status"))
 
 
-def metrics(facilities: DataFrame, sessions: DataFrame, registered: DataFrame, incomplete_groups: tuple[str, ...] = ()) -> DataFrame:
-    """One row for every facility; counts and hours are null where the status is unknown."""
-    covered = coverage.cells(sessions)
+def metrics(facilities: DataFrame, sessions: DataFrame, registered: DataFrame, incomplete_groups: tuple[str, ...] = (), links: DataFrame | None = None) -> DataFrame:
+    """One row for every facility; counts and hours are null where the status is unknown.
+
+    Sessions are read twice: once for all sums (by facility and practitioner first, so that distinct people
+    are rows), once for the set of covered cells, from which coverage and gaps follow. links (facility,
+    person) adds the people a facility shares with others.
+    """
     known = F.col("status").isin(HAS, ZERO)
-    out = facilities.join(count_status(facilities, registered, incomplete_groups), "id").withColumnRenamed("id", "facility")
-    for part in (
-        coverage.supply(sessions), coverage.coverage_ratio(covered), coverage.window_minutes(sessions, coverage.PRIME, "prime_hours"),
-        coverage.window_gaps(facilities, covered, coverage.PRIME, "prime"), coverage.window_gaps(facilities, covered, (coverage.WEEKEND,), "weekend"),
-        coverage.completeness(sessions, registered).drop("registered"),
-    ):
-        out = out.join(part, "facility", "left")
+    good = (F.col("confidence") != "low") & F.col("day").isNotNull() & F.col("start_min").isNotNull()
+    length = F.col("end_min") - F.col("start_min")
+    each = sessions.groupBy("facility", "practitioner").agg(
+        F.count("*").alias("rows"), F.count_if(good).alias("good"), F.sum(F.when(good & (length > 0), length)).alias("minutes"),
+        F.sum(F.when(good, coverage.overlap(coverage.PRIME))).alias("prime"), F.sum(F.when(good, coverage.overlap((coverage.WEEKEND,)))).alias("weekend"),
+    )
     zero = F.lit(0)
+    sums = each.groupBy("facility").agg(
+        F.sum("rows").alias("rows"), F.sum("good").alias("good"), F.count_if(F.col("good") > 0).alias("with_good"),
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("minutes", "prime", "weekend")],
+    )
+    people = registered.groupBy("facility").agg(F.countDistinct("practitioner").alias("registered"))
+    taken = coverage.cell_sets(sessions)
+    out = facilities.join(count_status(facilities, registered, incomplete_groups), "id").withColumnRenamed("id", "facility")
+    out = out.join(sums, "facility", "left").join(people, "facility", "left").join(taken, "facility", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<int>")))
+    if links is None:
+        out = out.withColumns({"shared_people": F.lit(None).cast("long"), "mean_other": F.lit(None).cast("double")})
+    else:
+        out = out.join(external_facilities(links), "facility", "left")
+    hours = {n: F.when(known, rounded(F.coalesce(c, zero) / F.lit(60.0), 2)).alias(n) for n, c in (("weekly_hours", "minutes"), ("prime_hours", "prime"), ("weekend_hours", "weekend"))}
+    prime, weekend = coverage.in_set("cells", coverage.PRIME), coverage.in_set("cells", (coverage.WEEKEND,))
     return out.select(
         "facility", "name", "grp", "ownership", "preferred", "duplicate_of", "city", "lat", "lon", "status",
-        F.when(known, F.col("n")).alias("practitioners"), F.when(known, F.coalesce("sessions", zero)).alias("sessions"),
-        F.when(known, F.coalesce("weekly_hours", F.lit(0.0))).alias("weekly_hours"), F.when(known, F.coalesce("prime_hours", F.lit(0.0))).alias("prime_hours"),
-        F.coalesce("coverage_ratio", F.lit(0.0)).alias("coverage_ratio"), "prime_coverage", "prime_gap", "prime_longest_gap", "weekend_gap", "completeness",
+        F.when(known, F.col("n")).alias("practitioners"), F.when(known, F.coalesce("good", zero)).alias("sessions"), *hours.values(),
+        rounded(F.size("cells") / F.lit(float(coverage.CELLS)), 4).alias("coverage_ratio"),
+        prime["coverage"].alias("prime_coverage"), rounded(1 - prime["coverage"], 4).alias("prime_gap"), prime["longest"].alias("prime_longest_gap"),
+        weekend["coverage"].alias("weekend_coverage"), rounded(1 - weekend["coverage"], 4).alias("weekend_gap"),
+        coverage.complete(F.col("rows"), F.col("good"), F.col("with_good"), F.col("registered")).alias("completeness"), "shared_people", "mean_other",
     )
 
 
@@ -80,7 +100,7 @@ def reason(w: Weights) -> Column:
     """Why a facility has no score; null if it has one."""
     return (
         F.when(eligible(w), F.lit(None).cast("string")).when(F.col("status") == UNKNOWN, "practitioner count unknown")
-        .when(F.col("completeness").isNull(), "no schedule").otherwise(F.concat(F.lit("schedule "), F.floor(F.col("completeness") * 100 + 0.5).cast("string"), F.lit("% complete")))
+        .when(F.col("completeness").isNull(), "no schedule").otherwise(F.concat(F.lit("schedule "), F.rint(F.col("completeness") * 100).cast("long").cast("string"), F.lit("% complete")))
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import timeparse
-from rosterlake.functions.text import is_specialist, person_key
-from rosterlake.operators.matching import first_wins, fuzzy_best, weekly_pattern
+from rosterlake.functions.text import is_specialist, nfkc, person_key
+from rosterlake.operators.matching import fuzzy_best, weekly_pattern
 from rosterlake.sources.adapters import SOURCES
 
 
@@ -26,15 +26,25 @@ def sessions(raw: DataFrame) -> DataFrame:
 
 def resolve(raw: DataFrame, facilities: DataFrame) -> DataFrame:
     """Specialists' records with the facility their branch resolves to; unresolved ones keep a null."""
-    ok = raw.filter(is_specialist(F.concat_ws(", ", "raw_name", "credentials")))
+    plain = raw.withColumns({"branch": nfkc("branch"), "raw_name": nfkc("raw_name")})
+    ok = plain.filter(is_specialist(F.concat_ws(", ", "raw_name", "credentials")))
     names = ok.filter("branch IS NOT NULL").select(F.col("branch").alias("key"), F.col("branch").alias("raw"), F.lit(None).cast("string").alias("grp")).distinct()
     found = fuzzy_best(names, facilities).select(F.col("key").alias("branch"), F.col("id").alias("facility"))
     return ok.join(found, "branch", "left")
 
 
+def first_seen(resolved: DataFrame) -> DataFrame:
+    """resolved without the rows of a record's later branch names for a facility that an earlier one has
+    taken. What is earlier: position, the rows' order in the load, where given, else the branch's name."""
+    at = F.col("position") if "position" in resolved.columns else F.col("branch")
+    known = resolved.filter("facility IS NOT NULL")
+    first = known.groupBy("source", "record", "facility").agg(F.min_by("branch", F.struct(at, "branch")).alias("branch"))
+    return known.join(first, ["source", "record", "facility", "branch"])
+
+
 def practitioners(resolved: DataFrame) -> DataFrame:
-    """One row per record and facility: the first branch name of a facility wins."""
-    kept = first_wins(resolved.filter("facility IS NOT NULL"), ["source", "record", "facility"], "branch")
+    """One row per record and facility, by the first branch name of the facility."""
+    kept = first_seen(resolved).groupBy("source", "record", "facility").agg(F.min("raw_name").alias("raw_name"))
     return kept.select("source", "record", "facility", "raw_name", person_key(F.col("raw_name")).alias("person"), F.initcap(person_key(F.col("raw_name"))).alias("clean_name"), F.concat_ws("|", "source", "record", F.col("facility").cast("string")).alias("practitioner"))
 
 
@@ -42,7 +52,8 @@ def load(raw: DataFrame, facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(practitioners, sessions): branch by branch; dated sources collapse to weekly sessions."""
     resolved = resolve(raw, facilities)
     people = practitioners(resolved)
-    times = sessions(resolved.filter("facility IS NOT NULL")).withColumns({"record": F.concat_ws("|", "source", "record", F.col("facility").cast("string")), "position": F.monotonically_increasing_id()})
+    times = sessions(first_seen(resolved)).withColumns({"record": F.concat_ws("|", "source", "record", F.col("facility").cast("string"))})
+    times = times.withColumn("position", F.xxhash64(*times.columns))
     dated = [n for n, s in SOURCES.items() if s.most == "medium"]
     weekly = weekly_pattern(times.filter(F.col("source").isin(*dated)))
     return people, times.filter(~F.col("source").isin(*dated)).unionByName(weekly).select("source", F.col("record").alias("practitioner"), "facility", "day", "start_time", "end_time", "confidence")

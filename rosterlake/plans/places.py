@@ -10,6 +10,7 @@ from rosterlake.functions import text as tx
 from rosterlake.functions.rounding import rounded
 from rosterlake.operators import classify, geo_supply, matching, planning, scoring
 from rosterlake.plans import supply
+from rosterlake.sources.staging import stored
 from rosterlake.plans.views import facility, person_link, read, roster, session, sql
 from rosterlake.sources import payloads
 
@@ -112,7 +113,7 @@ def _names(spark, d) -> DataFrame:
     f = facility(spark, d)
     k = F.col("id")
     raw = F.when(k % 4 == 0, F.upper("name")).when(k % 4 == 1, F.concat(F.lit("RS "), F.regexp_replace("name", "0", ""))).when(k % 4 == 2, F.concat(F.col("name"), F.lit(" Hospital"))).otherwise(F.lit("Quite Another Place"))
-    return f.filter("id < 40").select(k.alias("key"), raw.alias("raw"), F.when(k % 3 != 0, F.col("grp")).alias("grp"))
+    return f.select(k.alias("key"), raw.alias("raw"), F.when(k % 3 != 0, F.col("grp")).alias("grp"))
 
 
 def d07_fuzzy_match(spark, d):
@@ -136,8 +137,8 @@ def d09_greedy_dedup(spark, d):
 def d10_overrides(spark, d):
     f = facility(spark, d)
     side = lambda i: F.struct(F.col("name"), (F.col("lat") + i).alias("lat"), F.col("lon"))
-    a = f.filter("id < 20").select(F.col("id").alias("key"), side(0.0001).alias("source"))
-    b = f.filter("id BETWEEN 1 AND 20").select((F.col("id") - 1).alias("key"), side(0.0).alias("target"))
+    a = f.select(F.col("id").alias("key"), side(0.0001).alias("source"))
+    b = f.select((F.col("id") - 1).alias("key"), side(0.0).alias("target"))
     c = a.join(b, "key").withColumn("target", F.when(F.col("key") % 5 == 0, F.lit(None)).otherwise(F.col("target")))
     return matching.resolve_overrides(c, f)
 
@@ -159,7 +160,7 @@ def e23_scales(spark, d):
 
 
 def m12_classes(spark, d):
-    v = _values(spark, d)
+    v = stored(_values(spark, d))
     return classify.classify(v, classify.scales(v))
 
 
@@ -167,7 +168,7 @@ def p08_free_gaps(spark, d):
     s = session(spark, d)
     spots = facility(spark, d).filter("id % 7 = 1").select("id", F.row_number().over(Window.partitionBy("city").orderBy("id")).alias("r"), "city")
     spots = spots.filter("r = 1").select("id", F.col("id").alias("position"))
-    return planning.free_gaps(s.filter("event_id % 37 = 0"), spots, minutes=120)
+    return planning.free_gaps(s, spots, minutes=120)
 
 
 def _plan_tables(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -259,12 +260,12 @@ _LONG = f"""{supply._LABELLED}, v AS (SELECT facility, status, quality, 'practit
  part_ AS (SELECT * FROM v WHERE value IS NOT NULL AND quality NOT IN ('unknown', 'confirmed_zero') AND (quality <> 'partial' OR metric = 'practitioners')),
  sc AS (SELECT metric, count(*) AS n, CASE WHEN metric = 'practitioners' THEN 0 ELSE min(value) END AS least, CASE WHEN metric = 'practitioners' THEN 999 ELSE max(value) END AS most,
    CASE WHEN metric = 'practitioners' THEN 3 ELSE quantile_cont(value, 1.0::DOUBLE / 3) END AS lower, CASE WHEN metric = 'practitioners' THEN 5 ELSE quantile_cont(value, 2.0::DOUBLE / 3) END AS upper FROM part_ GROUP BY 1)"""
-_R6 = "floor({} * 1000000 + 0.5) / 1000000"
+_R6 = "round_even({}, 6)"
 
 ORACLES = {
     "d06_radius_join": sql(f"SELECT km, anchor, id, {_R6.format('distance')} AS distance FROM (SELECT a.id AS anchor, b.id, {_D} AS distance FROM facility a JOIN facility b ON a.id % 10 = 3 AND a.id <> b.id), (VALUES (3.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) r(km) WHERE distance <= km"),
     "e11_neighbourhood": sql(f"""SELECT * FROM (WITH {_PAIRS}, {supply._METRICS}, near AS (SELECT p.anchor, p.id, m.status, m.weekly_hours FROM pairs p JOIN metrics m ON m.facility = p.id),
-      flat AS (SELECT anchor, count(*) AS total, count(*) FILTER (status <> 'unknown') AS known, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'has_doctors') AS has, count(*) FILTER (status = 'confirmed_zero') AS zero, floor(sum(coalesce(weekly_hours, 0)) * 100 + 0.5) / 100 AS hours FROM near GROUP BY 1),
+      flat AS (SELECT anchor, count(*) AS total, count(*) FILTER (status <> 'unknown') AS known, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'has_doctors') AS has, count(*) FILTER (status = 'confirmed_zero') AS zero, round_even(sum(coalesce(weekly_hours, 0)), 2) AS hours FROM near GROUP BY 1),
       who AS (SELECT anchor, count(DISTINCT coalesce(CASE WHEN practitioner % 4 <> 0 THEN 'p' || (practitioner % 40) END, 'doctor-id:' || practitioner)) AS people FROM near JOIN roster ON roster.facility = near.id WHERE status = 'has_doctors' GROUP BY 1),
       r AS (SELECT *, {supply._R4.format('known::DOUBLE / total')} AS ratio FROM flat LEFT JOIN who USING (anchor))
       SELECT anchor, total, known, unknown, has, zero, coalesce(people, 0) AS people, hours, ratio, CASE WHEN ratio = 0 THEN 'unknown' WHEN ratio >= 0.8 THEN 'high' WHEN ratio >= 0.5 THEN 'medium' ELSE 'low' END AS quality FROM r)"""),
@@ -274,20 +275,20 @@ ORACLES = {
     "e16_spatial_audit": f"WITH {_POINTS} SELECT id, CASE WHEN lat IS NULL OR lon IS NULL THEN 'unknown' WHEN NOT (lat BETWEEN -6.8 AND -5.9 AND lon BETWEEN 106.3 AND 107.3) THEN 'low' WHEN count(*) OVER (PARTITION BY lat, lon) > 1 THEN 'medium' ELSE coalesce(confidence, 'medium') END AS confidence FROM points",
     "c04_in_region": f"WITH {_POINTS} SELECT id FROM points WHERE lat BETWEEN -6.8 AND -5.9 AND lon BETWEEN 106.3 AND 107.3",
     "c13_point_lookup": sql("SELECT id AS key, id FROM facility WHERE id % 4 <> 0 AND id % 6 <> 0"),
-    "g06_nearest": sql("SELECT id, floor(off * 100000000 + 0.5) / 100000000 AS off FROM (SELECT id, pow(lat + 6.2::DOUBLE, 2) + pow(lon - 106.8::DOUBLE, 2) AS off FROM facility ORDER BY off, id LIMIT 40)"),
+    "g06_nearest": sql("SELECT id, round_even(off, 8) AS off FROM (SELECT id, pow(lat + 6.2::DOUBLE, 2) + pow(lon - 106.8::DOUBLE, 2) AS off FROM facility ORDER BY off, id LIMIT 40)"),
     "c12_groups": sql("SELECT id, CASE WHEN contains(lower(name || ' ' || city), 'kota 1') THEN 'kota 1' WHEN contains(lower(name || ' ' || city), 'kota 3') THEN 'KOTA 3' WHEN contains(name, '00007') THEN '00007' END AS grp FROM facility"),
     "c11_ownership": "SELECT c_custkey AS id, CASE WHEN c_custkey % 6 IN (0, 1) THEN 'swasta' WHEN c_custkey % 6 IN (2, 3, 4) THEN 'pemerintah' END AS ownership FROM customer",
     "c15_address": """SELECT c_custkey AS id, nullif(concat_ws(', ', coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'Jl. A 1' END, nullif(concat_ws(' ', CASE WHEN c_custkey % 3 = 1 THEN 'Jl. B' END, CASE WHEN c_custkey % 2 = 0 THEN '7' END), '')), CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END), '') AS address,
       CASE WHEN c_custkey % 4 = 0 THEN c_name || ' (a.k.a. alias)' ELSE c_name END AS shown FROM customer""",
     "c06_facility_only": "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 IN (0, 1) OR (p_partkey % 4 = 3 AND p_partkey % 7 = 0)",
     "c07_in_region_hints": "SELECT p_partkey AS id FROM part WHERE NOT contains(p_name, 'bolt') AND (contains(p_name, 'red') OR contains(p_name, 'hot') OR contains(p_name, 'gear'))",
-    "d05_person_overlap": sql("SELECT * FROM (WITH o AS (SELECT person, count(*) - 1 AS other FROM person_link GROUP BY 1) SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, floor(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0) * 100 + 0.5) / 100 AS mean_other FROM person_link JOIN o USING (person) GROUP BY 1)"),
-    "d10_overrides": sql("SELECT a.id AS key, a.id AS source_id, b.id AS target_id FROM facility a JOIN facility b ON b.id = a.id + 1 WHERE a.id < 20 AND a.id % 5 <> 0"),
+    "d05_person_overlap": sql("SELECT * FROM (WITH o AS (SELECT person, count(*) - 1 AS other FROM person_link GROUP BY 1) SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, round_even(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0), 2) AS mean_other FROM person_link JOIN o USING (person) GROUP BY 1)"),
+    "d10_overrides": sql("SELECT a.id AS key, a.id AS source_id, b.id AS target_id FROM facility a JOIN facility b ON b.id = a.id + 1 WHERE a.id % 5 <> 0"),
     "d13_practitioner_details": sql("SELECT DISTINCT facility, practitioner, day, start_min FROM roster LEFT JOIN session USING (facility, practitioner)"),
     "e23_scales": sql(f"SELECT * FROM (WITH {_LONG} SELECT metric, n, {_R6.format('least')} AS least, {_R6.format('most')} AS most, {_R6.format('lower')} AS lower, {_R6.format('upper')} AS upper FROM sc)"),
     "m12_classes": sql(f"""SELECT * FROM (WITH {_LONG} SELECT facility, metric, CASE WHEN quality = 'confirmed_zero' THEN 'green' WHEN value IS NULL OR quality = 'unknown' THEN 'gray' WHEN quality = 'partial' AND metric <> 'practitioners' THEN 'gray'
       WHEN most IS NULL OR most <= least THEN 'orange' WHEN value <= lower THEN CASE WHEN metric = 'score' THEN 'red' ELSE 'green' END WHEN value <= upper THEN 'orange' ELSE CASE WHEN metric = 'score' THEN 'green' ELSE 'red' END END AS colour FROM v LEFT JOIN sc USING (metric))"""),
-    "p08_free_gaps": sql("""SELECT facility, day, start, start + 120 AS "end", turn FROM (WITH s AS (SELECT * FROM session WHERE event_id % 37 = 0), spots AS (SELECT min(id) AS id FROM facility WHERE id % 7 = 1 GROUP BY city),
+    "p08_free_gaps": sql("""SELECT facility, day, start, start + 120 AS "end", turn FROM (WITH s AS (SELECT * FROM session), spots AS (SELECT min(id) AS id FROM facility WHERE id % 7 = 1 GROUP BY city),
       c AS (SELECT id AS facility, d::INTEGER AS day, t::INTEGER AS start FROM spots, range(6) a(d), range(480, 1141, 120) b(t)),
       f AS (SELECT facility, day, min(start) AS start FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.facility = c.facility AND s.day = c.day AND (s.end_min IS NULL OR (c.start < s.end_min AND s.start_min < c.start + 120))) GROUP BY 1, 2)
       SELECT *, row_number() OVER (PARTITION BY facility ORDER BY day) AS turn FROM f ORDER BY turn, facility LIMIT 16)"""),

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.operators import coverage, scoring
-from rosterlake.plans.views import facility, roster, session, sql
+from rosterlake.plans.views import facility, person_link, roster, session, sql
+from rosterlake.sources.staging import stored
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.metrics(facility(spark, d), session(spark, d), roster(spark, d), ("NATION_1",))
+    """Every facility's metrics, stored once: the scores read them several times."""
+    return stored(scoring.metrics(facility(spark, d), session(spark, d), roster(spark, d), ("NATION_1",), person_link(spark, d)))
 
 
 def t16_bucket_explode(spark, d):
@@ -30,9 +32,7 @@ def d14_window_hours(spark, d):
 
 
 def f02_window_gaps(spark, d):
-    # few marks, so that gaps exist
-    thin = session(spark, d).filter("confidence = 'medium' AND event_id % 5 = 0")
-    return coverage.window_gaps(facility(spark, d), coverage.cells(thin), coverage.PRIME, "prime")
+    return coverage.window_gaps(facility(spark, d), coverage.cells(session(spark, d)), coverage.PRIME, "prime")
 
 
 def e08_completeness(spark, d):
@@ -91,13 +91,13 @@ def e01_status_counts(spark, d):
     return s.agg(*[F.count_if(F.col("status") == k).alias(k) for k in (scoring.HAS, scoring.ZERO, scoring.UNKNOWN, "no_derm_service")]).unpivot([], [scoring.HAS, scoring.ZERO, scoring.UNKNOWN, "no_derm_service"], "status", "n")
 
 
-_R4 = "floor({} * 10000 + 0.5) / 10000"
+_R4 = "round_even({}, 4)"
 _RATIO = f"coverage AS (SELECT facility, {_R4.format('count(DISTINCT day * 28 + slot) / 196.0::DOUBLE')} AS coverage_ratio FROM cells GROUP BY 1)"
 _SUPPLY = """supply AS (SELECT facility, count(DISTINCT practitioner) AS scheduled, count(*) AS sessions,
-  floor(coalesce(sum(CASE WHEN end_min - start_min > 0 THEN end_min - start_min END), 0)::DOUBLE / 60 * 100 + 0.5) / 100 AS weekly_hours FROM usable GROUP BY 1)"""
-_PRIME_HOURS = """prime_hours AS (SELECT facility, floor(sum(CASE
+  round_even(coalesce(sum(CASE WHEN end_min - start_min > 0 THEN end_min - start_min END), 0)::DOUBLE / 60, 2) AS weekly_hours FROM usable GROUP BY 1)"""
+_PRIME_HOURS = """prime_hours AS (SELECT facility, round_even(sum(CASE
     WHEN day <= 4 THEN greatest(0, least(end_min, 1260) - greatest(start_min, 1020))
-    WHEN day = 5 THEN greatest(0, least(end_min, 840) - greatest(start_min, 480)) ELSE 0 END)::DOUBLE / 60 * 100 + 0.5) / 100 AS prime_hours
+    WHEN day = 5 THEN greatest(0, least(end_min, 840) - greatest(start_min, 480)) ELSE 0 END)::DOUBLE / 60, 2) AS prime_hours
   FROM usable WHERE end_min IS NOT NULL GROUP BY 1)"""
 
 
@@ -119,13 +119,18 @@ _COMPLETE = f"""complete AS (
 _STATUS = """counted AS (SELECT f.id, f.grp, coalesce(r.n, 0) AS n FROM facility f LEFT JOIN (SELECT facility, count(DISTINCT practitioner) AS n FROM roster GROUP BY 1) r ON r.facility = f.id),
 status AS (SELECT id, n, CASE WHEN n > 0 THEN 'has_doctors' WHEN grp = 'NATION_1' THEN 'unknown'
     WHEN grp IN (SELECT grp FROM counted WHERE n > 0 AND grp IS NOT NULL) THEN 'confirmed_zero' ELSE 'unknown' END AS status FROM counted)"""
-_METRICS = f"""{_RATIO}, {_SUPPLY}, {_PRIME_HOURS}, {_gaps('pg', 'prime', 'prime')}, {_gaps('wg', 'weekend', 'weekend')}, {_COMPLETE}, {_STATUS},
+_OVERLAP = """others AS (SELECT person, count(*) - 1 AS other FROM person_link GROUP BY 1),
+overlapping AS (SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, round_even(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0), 2) AS mean_other FROM person_link JOIN others USING (person) GROUP BY 1),
+weekend_hours AS (SELECT facility, round_even(sum(CASE WHEN day >= 5 THEN greatest(0, least(end_min, 1260) - greatest(start_min, 420)) ELSE 0 END)::DOUBLE / 60, 2) AS weekend_hours FROM usable WHERE end_min IS NOT NULL GROUP BY 1)"""
+_METRICS = f"""{_RATIO}, {_SUPPLY}, {_PRIME_HOURS}, {_OVERLAP}, {_gaps('pg', 'prime', 'prime')}, {_gaps('wg', 'weekend', 'weekend')}, {_COMPLETE}, {_STATUS},
 metrics AS (SELECT f.id AS facility, f.name, f.grp, f.ownership, f.preferred, f.duplicate_of, f.city, f.lat, f.lon, s.status,
   CASE WHEN s.status <> 'unknown' THEN s.n END AS practitioners, CASE WHEN s.status <> 'unknown' THEN coalesce(u.sessions, 0) END AS sessions,
   CASE WHEN s.status <> 'unknown' THEN coalesce(u.weekly_hours, 0.0::DOUBLE) END AS weekly_hours, CASE WHEN s.status <> 'unknown' THEN coalesce(h.prime_hours, 0.0::DOUBLE) END AS prime_hours,
-  coalesce(c.coverage_ratio, 0.0::DOUBLE) AS coverage_ratio, pg.prime_coverage, pg.prime_gap, pg.prime_longest_gap, wg.weekend_gap, k.completeness
+  coalesce(c.coverage_ratio, 0.0::DOUBLE) AS coverage_ratio, pg.prime_coverage, pg.prime_gap, pg.prime_longest_gap, wg.weekend_coverage, wg.weekend_gap, k.completeness, o.shared_people, o.mean_other,
+  CASE WHEN s.status <> 'unknown' THEN coalesce(e.weekend_hours, 0.0::DOUBLE) END AS weekend_hours
   FROM facility f JOIN status s ON s.id = f.id LEFT JOIN supply u ON u.facility = f.id LEFT JOIN prime_hours h ON h.facility = f.id LEFT JOIN coverage c ON c.facility = f.id
-  LEFT JOIN pg ON pg.facility = f.id LEFT JOIN wg ON wg.facility = f.id LEFT JOIN complete k ON k.facility = f.id)"""
+  LEFT JOIN pg ON pg.facility = f.id LEFT JOIN wg ON wg.facility = f.id LEFT JOIN complete k ON k.facility = f.id
+  LEFT JOIN overlapping o ON o.facility = f.id LEFT JOIN weekend_hours e ON e.facility = f.id)"""
 
 
 def _scored(universe: str, where: str) -> str:
@@ -141,7 +146,7 @@ def _scored(universe: str, where: str) -> str:
   {u}_n AS (SELECT *, {norm('raw_count')} AS norm_count, {norm('raw_hours')} AS norm_hours, {norm('raw_prime')} AS norm_prime, {norm('raw_weekend')} AS norm_weekend FROM {u}_w),
   {u}_s AS (SELECT *, {_R4.format('(0.0::DOUBLE + 0.2::DOUBLE * norm_count + 0.3::DOUBLE * norm_hours + 0.35::DOUBLE * norm_prime + 0.15::DOUBLE * norm_weekend)')} AS score FROM {u}_n),
   {u} AS (SELECT e.facility, s.* EXCLUDE (facility), CASE WHEN ok THEN NULL WHEN status = 'unknown' THEN 'practitioner count unknown' WHEN completeness IS NULL THEN 'no schedule'
-    ELSE 'schedule ' || floor(completeness * 100 + 0.5)::BIGINT || '% complete' END AS reason FROM {u}_e e LEFT JOIN {u}_s s USING (facility))"""
+    ELSE 'schedule ' || round_even(completeness * 100, 0)::BIGINT || '% complete' END AS reason FROM {u}_e e LEFT JOIN {u}_s s USING (facility))"""
 
 
 _ALL = f"{_METRICS}, {_scored('all_hospitals', 'true')}"
@@ -155,7 +160,7 @@ ORACLES = {
     "e06_coverage_ratio": sql(f"SELECT * FROM (WITH {_RATIO} SELECT * FROM coverage)"),
     "e02_supply": sql(f"SELECT * FROM (WITH {_SUPPLY} SELECT * FROM supply)"),
     "d14_window_hours": sql(f"SELECT * FROM (WITH {_PRIME_HOURS} SELECT * FROM prime_hours)"),
-    "f02_window_gaps": sql(f"SELECT * FROM (WITH thin AS (SELECT DISTINCT c.facility, c.day, (t - 420) // 30 AS slot FROM (SELECT *, unnest(range(greatest(start_min, 420), least(coalesce(end_min, start_min + 30), 1260), 30)) AS t FROM usable WHERE confidence = 'medium' AND event_id % 5 = 0) c), {_gaps('pg', 'prime', 'prime', 'thin')} SELECT * FROM pg)"),
+    "f02_window_gaps": sql(f"SELECT * FROM (WITH {_gaps('pg', 'prime', 'prime')} SELECT * FROM pg)"),
     "e08_completeness": sql(f"SELECT * FROM (WITH {_COMPLETE} SELECT * FROM complete)"),
     "e20_heatmap": sql(_HOUR),
     "e20_heatmap_pivot": sql("SELECT facility, day, " + ", ".join(f"coalesce(max(CASE WHEN hour = {h} THEN level END), 0) AS h{h:02d}" for h in range(7, 21)) + f" FROM ({_HOUR}) GROUP BY ALL"),

@@ -53,16 +53,16 @@ def s14_specialists(spark, d):
 
 
 def s04_same_person(spark, d):
-    n = raw_names(spark, d).filter("id < 60").select("id", tx.person_key(F.col("raw")).alias("k"))
+    n = raw_names(spark, d).select("id", tx.person_key(F.col("raw")).alias("k"))
     m = n.select((F.col("id") + 1).alias("id"), F.col("k").alias("k2"))
     return n.join(m, "id").select("id", tx.same_person(F.col("k"), F.col("k2")).alias("s")).select("id", "s.is_match", "s.confidence", "s.reason")
 
 
 def s07_similarity(spark, d):
-    n = raw_names(spark, d).filter("id < 200").select("id", F.lower("raw").alias("a"))
+    n = raw_names(spark, d).select("id", F.lower("raw").alias("a"))
     m = n.select((F.col("id") + 6).alias("id"), F.col("a").alias("b"))
     a, b = F.col("a"), F.col("b")
-    return n.join(m, "id").select("id", rounded(similarity.ratio(a, b), 4).alias("ratio"), rounded(similarity.conservative(a, b), 4).alias("score"))
+    return n.join(m, "id").select("id", rounded(similarity.many_ratios(a, b), 4).alias("ratio"), rounded(similarity.many_scores(a, b), 4).alias("score"))
 
 
 def t01_days(spark, d):
@@ -86,9 +86,9 @@ def t06_structured(spark, d):
 
 
 def f04_weekly_pattern(spark, d):
-    s = schedule_texts(spark, d).select("event_id", F.col("user_id").alias("record"), timeparse.day_of(F.col("source"), F.col("day_text")).alias("day"), F.get(timeparse.time_ranges(F.col("text")), 0).alias("s"))
-    rows = s.select("record", F.col("event_id").alias("position"), "day", F.substring("s.start_time", 1, 2).alias("start_time"), F.lit(None).cast("string").alias("end_time"))
-    return matching.weekly_pattern(rows).select("record", "position", "day", "start_time")
+    s = schedule_texts(spark, d).select("event_id", F.col("user_id").alias("record"), timeparse.day_of(F.col("source"), F.col("day_text")).alias("day"), F.explode(timeparse.time_ranges(F.col("text"))).alias("s"))
+    rows = s.select("record", F.col("event_id").alias("position"), "day", "s.start_time", "s.end_time")
+    return matching.weekly_pattern(rows).select("record", "position", "day", "start_time", "end_time")
 
 
 def f03_first_wins(spark, d):
@@ -165,7 +165,7 @@ _TEXTS = """texts AS (SELECT event_id, user_id, strftime(ts, '%H:%M') AS a, strf
       WHEN 3 THEN CASE event_id % 3 WHEN 0 THEN event_id % 7 WHEN 1 THEN CASE WHEN event_id % 7 < 6 THEN event_id % 7 END END END::INTEGER AS day
   FROM events),
 ranges AS (SELECT event_id, user_id, day, x.n, x.start_time, x.end_time, x.confidence FROM (SELECT *, unnest(CASE event_id % 8
-    WHEN 0 THEN [{'n': 0, 'start_time': a, 'end_time': b, 'confidence': 'high'}] WHEN 6 THEN [{'n': 0, 'start_time': a, 'end_time': b, 'confidence': 'high'}]
+    WHEN 0 THEN [{'n': 0, 'start_time': a, 'end_time': b, 'confidence': 'high'}]
     WHEN 1 THEN [{'n': 0, 'start_time': a, 'end_time': b, 'confidence': 'high'}, {'n': 1, 'start_time': b, 'end_time': a, 'confidence': 'high'}]
     WHEN 2 THEN [{'n': 0, 'start_time': a, 'end_time': NULL, 'confidence': 'high'}] WHEN 3 THEN [{'n': 0, 'start_time': NULL, 'end_time': NULL, 'confidence': 'medium'}]
     ELSE [{'n': 0, 'start_time': NULL, 'end_time': NULL, 'confidence': 'low'}] END) AS x FROM texts))"""
@@ -175,26 +175,26 @@ ORACLES = {
     "s01_facility_names": f"WITH {_RAW} SELECT id, {_NAME} AS name FROM raw_names",
     "s02_person_keys": f"WITH {_RAW} SELECT id, {_PERSON} AS person FROM raw_names",
     "s14_specialists": rf"WITH {_RAW} SELECT id, regexp_matches(raw, '(?i)(^|[^a-z])sp\.?\s*(k\.?\s*k|d\.?\s*v(\.?\s*e)?)(\s*\(k\))?([^a-z]|$)|dermatologi dan venereologi|dermatovenereologi|kulit dan kelamin|dermatology') AS specialist FROM raw_names",
-    "s04_same_person": f"""WITH {_RAW}, k AS (SELECT id, {_PERSON} AS k FROM raw_names WHERE id < 60),
+    "s04_same_person": f"""WITH {_RAW}, k AS (SELECT id, {_PERSON} AS k FROM raw_names),
       p AS (SELECT x.id, x.k AS a, y.k AS b, string_split(x.k, ' ') AS ta, string_split(y.k, ' ') AS tb FROM k x JOIN k y ON x.id = y.id + 1),
       s AS (SELECT *, len(list_filter(list_intersect(ta, tb), lambda t: length(t) >= 3)) AS n FROM p)
       SELECT id, CASE WHEN a = b THEN true WHEN len(ta) < 2 OR len(tb) < 2 THEN false ELSE n >= 2 END AS is_match,
         CASE WHEN a = b THEN 'high' WHEN len(ta) < 2 OR len(tb) < 2 THEN NULL WHEN n >= 2 THEN 'medium' WHEN n = 1 THEN 'low' END AS confidence,
         CASE WHEN a = b THEN 'equal' WHEN len(ta) < 2 OR len(tb) < 2 THEN 'one token' WHEN n >= 2 THEN 'shared tokens' WHEN n = 1 THEN 'one shared token' ELSE 'different' END AS reason FROM s""",
-    "s07_similarity": f"""WITH RECURSIVE {_RAW}, n AS (SELECT id, lower(raw) AS a FROM raw_names WHERE id < 200), w AS (SELECT x.id, x.a, y.a AS b FROM n x JOIN n y ON x.id = y.id + 6),
+    "s07_similarity": f"""WITH RECURSIVE {_RAW}, n AS (SELECT id, lower(raw) AS a FROM raw_names), w AS (SELECT x.id, x.a, y.a AS b FROM n x JOIN n y ON x.id = y.id + 6),
       st AS (SELECT *, array_to_string(list_sort(list_filter(regexp_split_to_array(trim(a), '\\s+'), lambda t: t <> '')), ' ') AS sa, array_to_string(list_sort(list_filter(regexp_split_to_array(trim(b), '\\s+'), lambda t: t <> '')), ' ') AS sb FROM w),
       u AS (SELECT id, 0 AS k, a AS x, b AS y FROM st UNION ALL SELECT id, 1, sa, sb FROM st),
       lcs(id, k, x, y, i, r) AS (SELECT id, k, x, y, 0, list_transform(range(length(y)), lambda j: 0::BIGINT) FROM u
         UNION ALL SELECT id, k, x, y, i + 1, list_transform(range(1, length(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda q: CASE WHEN x[i + 1] = y[q] THEN (CASE WHEN q = 1 THEN 0 ELSE r[q - 1] END) + 1 ELSE r[q] END))) FROM lcs WHERE i < length(x)),
       f AS (SELECT id, k, 200.0::DOUBLE * r[-1] / (length(x) + length(y)) AS s FROM lcs WHERE i = length(x))
-      SELECT id, floor(max(CASE WHEN k = 0 THEN s END) * 10000 + 0.5) / 10000 AS ratio, floor(min(s) * 10000 + 0.5) / 10000 AS score FROM f GROUP BY 1""",
+      SELECT id, round_even(max(CASE WHEN k = 0 THEN s END), 4) AS ratio, round_even(min(s), 4) AS score FROM f GROUP BY 1""",
     "t01_days": f"WITH {_TEXTS} SELECT event_id, day FROM texts",
     "t03_time_ranges": f"WITH {_TEXTS} SELECT event_id, n, start_time, end_time, confidence FROM ranges",
     "t06_structured": """WITH e AS (SELECT event_id, hour(ts) AS h, CASE WHEN event_id % 9 <> 0 THEN minute(ts) ELSE 0 END AS m, CASE WHEN event_id % 8 BETWEEN 1 AND 6 THEN (event_id % 8 - 1)::INTEGER END AS day FROM events),
       f AS (SELECT event_id, day, CASE WHEN day IS NOT NULL THEN printf('%02d:%02d', h, m) END AS start_time, CASE WHEN day IS NOT NULL AND event_id % 4 <> 0 THEN printf('%02d:59', h) END AS end_time FROM e)
       SELECT event_id, day, start_time, end_time, CASE WHEN day IS NULL OR end_time IS NULL THEN 'low' ELSE 'medium' END AS confidence FROM f""",
-    "f04_weekly_pattern": f"""WITH {_TEXTS}, s AS (SELECT user_id AS record, event_id AS position, day, start_time[1:2] AS start_time FROM ranges WHERE n = 0)
-      SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY record, day, start_time ORDER BY position) AS rn FROM s WHERE day IS NOT NULL) WHERE rn = 1 UNION ALL SELECT * FROM s WHERE day IS NULL""",
+    "f04_weekly_pattern": f"""WITH {_TEXTS}, s AS (SELECT user_id AS record, event_id AS position, day, start_time, end_time FROM ranges)
+      SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY record, day, start_time, end_time ORDER BY position) AS rn FROM s WHERE day IS NOT NULL) WHERE rn = 1 UNION ALL SELECT * FROM s WHERE day IS NULL""",
     "f03_first_wins": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
     "a17_last_write_wins": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1",
     "j03_nested_map": f"SELECT event_id AS record, 'RS ' || {_U} AS branch, event_type AS clinic, x.d AS day_text, x.f AS start_text, x.t AS end_text FROM (SELECT *, unnest([{{'d': 'Senin', 'f': '08:00', 't': '10:00'}}, {{'d': 'Rabu', 'f': '13:00', 't': NULL}}]) AS x FROM events WHERE event_id % 50 <> 0)",

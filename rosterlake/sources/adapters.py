@@ -8,13 +8,14 @@ apart, and the highest confidence a source's times can have are data, not code.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions.text import collapse, is_specialist
 from rosterlake.operators.matching import first_wins, in_region
-from rosterlake.sources import html as pages
+from rosterlake.sources import cards
 from rosterlake.sources.payloads import last_write_wins
 
 RAW = ("source", "record", "raw_name", "credentials", "branch", "day_text", "start_text", "end_text", "time_text", "source_url")
@@ -22,21 +23,40 @@ RAW = ("source", "record", "raw_name", "credentials", "branch", "day_text", "sta
 
 @dataclass(frozen=True)
 class Source:
-    """What differs between sources beside their payload's shape."""
+    """What differs between sources beside their payload's shape: hints of the region in branch names, in
+    addresses, hints against it, whole names out of scope, the end of a name that is in it."""
 
     name: str
-    allow: tuple[str, ...] = ("jakarta", "bogor", "depok", "tangerang", "bekasi", "bsd", "serpong", "cibubur", "kebon jeruk")
+    allow: tuple[str, ...] = ()
     deny: tuple[str, ...] = ()
+    address: tuple[str, ...] = ()
+    outside: tuple[str, ...] = ()
+    ends: str = ""
     most: str = "high"
-    card: str = ""
 
 
+#: Region hints of each source; one without hints has branches in the region only.
 SOURCES = {
     s.name: s
     for s in (
-        Source("siloam", deny=("surabaya", "medan")), Source("mitra_keluarga", most="medium"), Source("hermina"), Source("rs_pondok_indah", allow=("pondok indah", "puri indah", "bintaro")),
-        Source("brawijaya", most="medium"), Source("sentra_medika", most="medium"), Source("primaya", card="schedule-item"), Source("emc", card="doctor-list-schedule"), Source("mayapada", card="doctor-card"),
-        Source("bethsaida", card="doctor-list-schedule"), Source("columbia_asia", card="doctor-row"), Source("radjak", card="doctor-card"), Source("sari_asih", card="card-dokter"), Source("rs_premier", card="doctor-item"), Source("eka", card="doctor-card"),
+        Source(
+            "siloam", ("kebon jeruk", "asri", "tb simatupang", "mampang", "kelapa dua", "lippo village", "lippo cikarang", "bekasi", "bogor", "sentosa", "cempaka putih", "semanggi", "senayan"),
+            address=("jakarta", "bogor", "depok", "tangerang", "bekasi", "banten"),
+        ),
+        Source("mitra_keluarga", ("bekasi", "bintaro", "cibubur", "cikarang", "deltamas", "depok", "gading serpong", "grand wisata", "jatiasih", "kalideres", "kelapa gading", "kemayoran", "pamulang"), most="medium"),
+        Source("hermina", ("tangerang", "daan mogot", "jatinegara", "bogor", "bekasi", "grand wisata", "depok", "mekarsari", "kemayoran", "podomoro", "galaxy", "ciputat", "ciledug", "cikarang", "bintaro", "serpong")),
+        Source("rs_pondok_indah", ("puri indah", "bintaro"), ("surabaya",), ends="- pondok indah"),
+        Source("brawijaya", most="medium"),
+        Source("sentra_medika", ("cibinong", "cisalak", "harapan bunda", "cikarang"), most="medium"),
+        Source("primaya", ("jakarta", "bekasi", "tangerang", "bogor", "depok", "cikarang", "karawang"), ("makassar", "palangkaraya", "sorowako", "sukabumi", "pangkalpinang", "semarang", "bandung", "hertasning")),
+        Source("emc", ("alam sutera", "cibitung", "cikarang", "grha kedoya", "pekayon", "pulomas", "sentul", "tangerang")),
+        Source("mayapada", ("jakarta", "tangerang", "bogor", "kuningan"), ("surabaya", "bandung", "nusantara")),
+        Source("bethsaida", ("gading serpong",), ("serang",)),
+        Source("columbia_asia", ("bsd", "pulomas")),
+        Source("radjak", outside=("radjak hospital purwakarta",)),
+        Source("sari_asih", outside=("rs sari asih serang",)),
+        Source("rs_premier"),
+        Source("eka", ("mt haryono", "permata hijau", "pluit", "bsd", "cibubur", "depok", "bekasi", "pik"), ("pekanbaru",)),
     )
 }
 
@@ -51,8 +71,15 @@ def _json(df: DataFrame, schema: str, field: str = "data") -> DataFrame:
     return df.select(F.explode(F.from_json("payload", f"{field} array<{schema}>")[field]).alias("d")).select("d.*")
 
 
-def _near(source: Source, text: Column) -> Column:
-    return in_region(text, source.allow, source.deny)
+def near(source: Source, branch: Column, address: Column | None = None) -> Column:
+    """Whether a branch is in scope: not outside by name, no hint against it, then any hint for it."""
+    low = F.lower(F.trim(F.coalesce(branch, F.lit(""))))
+    hit = in_region(branch, source.allow, source.deny) if source.allow else in_region(F.concat(F.lit("."), branch), (".",), source.deny)
+    if source.ends:
+        hit = hit | (low.endswith(source.ends) & ~in_region(branch, source.deny))
+    if address is not None and source.address:
+        hit = hit | in_region(address, source.address)
+    return hit & ~low.isin(*source.outside) if source.outside else hit
 
 
 def siloam(listing: DataFrame, schedules: DataFrame) -> DataFrame:
@@ -61,7 +88,7 @@ def siloam(listing: DataFrame, schedules: DataFrame) -> DataFrame:
     people = _json(listing, "struct<doctor_id:string,name:string,specialization_name:string>").filter("doctor_id IS NOT NULL")
     kind = "data struct<availability:array<struct<hospital_name:string,hospital_address:string>>,schedule:array<struct<doctor_id:string,day:int,from_time:string,to_time:string>>>"
     plans = schedules.select(F.from_json("payload", kind)["data"].alias("d")).select("d.*").withColumn("doctor_id", F.get("schedule", 0)["doctor_id"])
-    keep = F.exists("availability", lambda a: _near(s, F.concat_ws(" ", a["hospital_name"], a["hospital_address"])))
+    keep = F.exists("availability", lambda a: near(s, a["hospital_name"], a["hospital_address"]))
     rows = people.join(plans.filter(keep), "doctor_id").select("doctor_id", "name", "specialization_name", "schedule", F.explode(F.array_distinct(F.transform("availability", lambda a: a["hospital_name"]))).alias("branch"))
     rows = rows.select("*", F.explode_outer("schedule").alias("t"))
     return _raw(rows, s.name, record=F.col("doctor_id"), raw_name=F.col("name"), credentials=F.col("specialization_name"), branch=F.col("branch"), day_text=F.col("t.day"), start_text=F.col("t.from_time"), end_text=F.col("t.to_time"))
@@ -71,7 +98,7 @@ def mitra_keluarga(listing: DataFrame) -> DataFrame:
     """Dated bookings; one branch per record."""
     s = SOURCES["mitra_keluarga"]
     d = _json(listing, "struct<ref_id:string,doctor:struct<name:string,slug:string>,clinic:struct<name:string>,speciality:struct<name:string>,schedules:array<struct<day:string,start_time:string,end_time:string,on_leave:boolean>>>")
-    rows = d.filter(F.col("clinic.name").isNotNull() & _near(s, F.col("clinic.name"))).select("*", F.explode_outer(F.filter("schedules", lambda x: ~F.coalesce(x["on_leave"], F.lit(False)))).alias("t"))
+    rows = d.filter(F.col("clinic.name").isNotNull() & near(s, F.col("clinic.name"))).select("*", F.explode_outer(F.filter("schedules", lambda x: ~F.coalesce(x["on_leave"], F.lit(False)))).alias("t"))
     return _raw(rows, s.name, record=F.col("ref_id"), raw_name=F.col("doctor.name"), credentials=F.col("speciality.name"), branch=F.col("clinic.name"), day_text=F.col("t.day"), start_text=F.col("t.start_time"), end_text=F.col("t.end_time"))
 
 
@@ -79,19 +106,19 @@ def hermina(listing: DataFrame, schedules: DataFrame) -> DataFrame:
     """Sessions by branch and clinic; a record stays if any of its locations is near. schedules has slug."""
     s = SOURCES["hermina"]
     d = _json(listing, "struct<attributes:struct<full_name:string,slug:string,speciality:string,practic_locations:array<string>>>").select("attributes.*")
-    near = d.filter(F.col("slug").isNotNull() & F.exists("practic_locations", lambda x: _near(s, x)))
+    kept = d.filter(F.col("slug").isNotNull() & F.exists("practic_locations", lambda x: near(s, x)))
     kind = "data map<string,map<string,array<struct<day:string,from_time:string,to_time:string>>>>"
     a = schedules.select("slug", F.explode(F.from_json("payload", kind)["data"]).alias("branch", "clinics"))
     b = a.select("slug", "branch", F.explode("clinics").alias("clinic", "sessions")).select("slug", "branch", F.explode("sessions").alias("t"))
-    rows = near.join(b, "slug", "left")
+    rows = kept.join(b, "slug", "left")
     return _raw(rows, s.name, record=F.col("slug"), raw_name=F.col("full_name"), credentials=F.col("speciality"), branch=F.coalesce("branch", F.get("practic_locations", 0)), day_text=F.col("t.day"), start_text=F.col("t.from_time"), end_text=F.col("t.to_time"))
 
 
 def rs_pondok_indah(listing: DataFrame) -> DataFrame:
     s = SOURCES["rs_pondok_indah"]
     d = _json(listing, "struct<fullname_doctor:string,doctor_code:string,specialty:string,doctor_schedule:array<struct<hospital:string,clinics:array<struct<clinic_name:string,schedules:array<struct<day:string,time_from:string,time_to:string>>>>>>>")
-    near = d.filter(F.exists("doctor_schedule", lambda h: _near(s, h["hospital"])))
-    a = near.select("*", F.explode("doctor_schedule").alias("h")).select("*", F.explode_outer("h.clinics").alias("c")).select("*", F.explode_outer("c.schedules").alias("t"))
+    kept = d.filter(F.exists("doctor_schedule", lambda h: near(s, h["hospital"])))
+    a = kept.select("*", F.explode("doctor_schedule").alias("h")).select("*", F.explode_outer("h.clinics").alias("c")).select("*", F.explode_outer("c.schedules").alias("t"))
     return _raw(a, s.name, record=F.col("doctor_code"), raw_name=F.col("fullname_doctor"), credentials=F.col("specialty"), branch=F.col("h.hospital"), day_text=F.col("t.day"), start_text=F.col("t.time_from"), end_text=F.col("t.time_to"))
 
 
@@ -112,7 +139,7 @@ def sentra_medika(listing: DataFrame, schedules: DataFrame) -> DataFrame:
     s = SOURCES["sentra_medika"]
     kind = "struct<id:long,slug:string,full_name:string,specializations:array<struct<name:string>>,hospitals:array<struct<name:string>>>"
     d = listing.select("spec", "page", F.posexplode(F.from_json("payload", f"data array<{kind}>")["data"]).alias("pos", "d")).select("spec", "page", "pos", "d.*")
-    one = last_write_wins(d, "id", ["spec", "page", "pos"]).filter(F.col("slug").isNotNull() & F.exists("hospitals", lambda h: _near(s, h["name"])))
+    one = last_write_wins(d, "id", ["spec", "page", "pos"]).filter(F.col("slug").isNotNull() & F.exists("hospitals", lambda h: near(s, h["name"])))
     plan = "data array<struct<polyclinic_name:string,hospitals:array<struct<hospital_name:string,schedules:array<struct<day:string,shifts:array<struct<start_time:string,end_time:string>>>>>>>>"
     a = schedules.select("slug", F.explode(F.from_json("payload", plan)["data"]).alias("c")).select("slug", F.explode("c.hospitals").alias("h")).select("slug", F.col("h.hospital_name").alias("branch"), F.explode("h.schedules").alias("x")).select("slug", "branch", F.col("x.day").alias("day"), F.explode("x.shifts").alias("t")).distinct()
     rows = one.join(a, "slug", "left")
@@ -120,36 +147,47 @@ def sentra_medika(listing: DataFrame, schedules: DataFrame) -> DataFrame:
     return _raw(rows, s.name, record=F.col("id"), raw_name=F.col("full_name"), credentials=named, branch=F.coalesce("branch", F.get("hospitals", 0)["name"]), day_text=F.col("day"), start_text=F.col("t.start_time"), end_text=F.col("t.end_time"))
 
 
-def emc(html: DataFrame) -> DataFrame:
-    """Day and times stand in the query strings of the appointment links."""
-    s = SOURCES["emc"]
-    c = pages.cards(html, "url", s.card)
-    part = lambda k: F.regexp_extract(F.col("l.href"), rf"[?&]{k}=([^&#]*)", 1)
-    rows = c.filter((collapse(F.col("card_text")) != "") & _near(s, F.col("card_text"))).select("*", F.explode_outer(F.filter("links", lambda x: x["href"].contains("start_time="))).alias("l"))
-    return _raw(rows, s.name, record=F.concat_ws("#", "url", "card"), raw_name=F.get(F.transform("links", lambda x: x["text"]), 0), credentials=F.col("card_text"), branch=F.get("images", 0), day_text=part("day"), start_text=part("start_time"), end_text=part("end_time"), source_url=F.col("url"))
-
-
-def table_cards(html: DataFrame, name: str) -> DataFrame:
-    """Sources whose cards hold a name (first link or image text), a branch and cells labelled by day.
-
-    Free-text times go to time_text for the grammar. The first card of a name and branch wins.
-    """
+def _sessions(cards: DataFrame, name: str, record: Column, specialist: Column | None = None) -> DataFrame:
+    """Cards in scope as raw rows, an entry each; repeated cards of a record and branch fall together."""
     s = SOURCES[name]
-    c = pages.cards(html, "url", s.card).withColumn("name", collapse(F.coalesce(F.get("images", 0), F.get("links", 0)["text"])))
-    c = c.withColumn("branch", F.coalesce(F.get(F.transform(F.filter("cells", lambda x: F.lower(x["label"]).isin("hospital", "branch", "rumah sakit")), lambda x: x["text"]), 0), F.get("links", 1)["text"]))
-    keep = c.filter((F.col("name") != "") & _near(s, F.concat_ws(" ", "branch", "card_text")))
-    if name in ("radjak", "sari_asih", "rs_premier", "columbia_asia"):
-        keep = keep.filter(is_specialist(F.concat_ws(" ", "name", "card_text")))
-    if name == "bethsaida":
-        keep = keep.filter(F.lower("name").startswith("dr"))
-    one = first_wins(keep.withColumns({"k": F.lower("name"), "b": F.lower(F.coalesce("branch", F.lit("")))}), ["k", "b"], "card")
-    times = F.filter("cells", lambda x: (x["label"] != "") & ~F.lower(x["label"]).isin("hospital", "branch", "rumah sakit"))
-    rows = one.select("*", F.explode_outer(times).alias("t"))
-    return _raw(rows, s.name, record=F.concat_ws("#", "url", "card"), raw_name=F.col("name"), credentials=F.col("card_text"), branch=F.col("branch"), day_text=F.col("t.label"), time_text=F.col("t.text"), source_url=F.col("url"))
-
-
-#: name -> function of its frames; HTML sources without a shape of their own share table_cards.
+    kept = cards.filter((F.col("name") != "") & near(s, F.col("branch")))
+    if specialist is not None:
+        kept = kept.filter(specialist)
+    keyed = kept.withColumns({"__r": record, "__b": F.lower(F.coalesce("branch", F.lit("")))})
+    rows = first_wins(keyed, ["__r", "__b"], F.struct("url", "card")).select("*", F.explode_outer("entries").alias("e"))
+    return _raw(
+        rows, name, record=F.col("__r"), raw_name=F.col("name"), credentials=F.col("credentials"), branch=F.coalesce("e.branch", "branch"), day_text=F.col("e.day"), start_text=F.col("e.start"), end_text=F.col("e.end"),
+        time_text=F.col("e.time"), source_url=F.coalesce(F.nullif(F.col("detail"), F.lit("")), "url"),
+    )
+
+
+def pages_of(name: str, html: DataFrame) -> DataFrame:
+    """Sources whose listing holds everything. html: url, html. A record is a source's own id where its
+    pages have one, else the person's name."""
+    by_page = name in ("primaya", "sari_asih", "mayapada")
+    checks = {"radjak": (F.col("credentials") != "") & is_specialist(F.col("name")), "sari_asih": is_specialist(F.col("name"))}
+    return _sessions(cards.read(html, name), name, F.col("record") if by_page else F.lower(collapse(F.col("name"))), checks.get(name))
+
+
+def detailed(name: str, listing: DataFrame, details: DataFrame) -> DataFrame:
+    """Sources whose times stand on a page of their own. listing: url, html, branch; details: record, html."""
+    found = cards.read(listing.withColumnRenamed("branch", "told"), name).withColumn("branch", F.col("told"))
+    times = cards.read(details.withColumnRenamed("record", "of"), f"{name}_detail").select("of", F.col("entries").alias("own"))
+    joined = found.join(times, F.col("record") == F.col("of"), "left").withColumn("entries", F.coalesce("own", "entries"))
+    special = F.col("credentials") if name == "columbia_asia" else F.col("name")
+    return _sessions(joined, name, F.col("record"), is_specialist(special))
+
+
+#: name -> function of its frames.
 REGISTRY = {
-    "siloam": siloam, "mitra_keluarga": mitra_keluarga, "hermina": hermina, "rs_pondok_indah": rs_pondok_indah, "brawijaya": brawijaya, "sentra_medika": sentra_medika, "emc": emc,
-    **{n: (lambda html, n=n: table_cards(html, n)) for n in ("primaya", "mayapada", "bethsaida", "columbia_asia", "radjak", "sari_asih", "rs_premier", "eka")},
+    "siloam": siloam, "mitra_keluarga": mitra_keluarga, "hermina": hermina, "rs_pondok_indah": rs_pondok_indah, "brawijaya": brawijaya, "sentra_medika": sentra_medika,
+    **{n: partial(pages_of, n) for n in ("primaya", "emc", "mayapada", "bethsaida", "radjak", "sari_asih", "eka")},
+    **{n: partial(detailed, n) for n in ("columbia_asia", "rs_premier")},
 }
+
+
+def all_sources(frames: dict[str, tuple[DataFrame, ...]]) -> DataFrame:
+    """Raw rows of every source that has payloads, in one frame."""
+    if not frames or not frames.keys() <= REGISTRY.keys():
+        raise ValueError(f"unknown sources {sorted(frames.keys() - REGISTRY.keys())}")
+    return reduce(DataFrame.unionByName, [REGISTRY[n](*f) for n, f in sorted(frames.items())])

@@ -1,4 +1,4 @@
-"""Links, tables, options and cards of HTML pages, in Arrow batches: Spark has no HTML parser."""
+"""Links, tables, options and headings of HTML pages, in Arrow batches: Spark has no HTML parser."""
 
 from __future__ import annotations
 
@@ -70,40 +70,3 @@ def extract(pages: DataFrame, key: str, html: str = "html", card: str = "") -> D
 
     kind = dict(pages.dtypes)[key]
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {ITEMS}")
-
-
-CARD = "card int, card_id string, card_text string, links array<struct<href:string,text:string>>, cells array<struct<label:string,text:string>>, images array<string>"
-_CARD_ARROW = [
-    ("card", pa.int32()), ("card_id", pa.string()), ("card_text", pa.string()), ("links", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))),
-    ("cells", pa.list_(pa.struct([("label", pa.string()), ("text", pa.string())]))), ("images", pa.list_(pa.string())),
-]
-
-
-def card_items(html: str | None, card: str) -> list[tuple]:
-    """One tuple per element of class card: number, id, text, links, table cells, image texts inside."""
-    out: list[tuple] = []
-    for kind, _, attribute, text in items(html, card):
-        if kind == "card":
-            out.append((len(out), attribute, text, [], [], []))
-        elif out and kind == "a":
-            out[-1][3].append({"href": attribute, "text": text})
-        elif out and kind in ("td", "th"):
-            out[-1][4].append({"label": attribute, "text": text})
-        elif out and kind == "img":
-            out[-1][5].append(attribute)
-    return out
-
-
-def cards(pages: DataFrame, key: str, card: str, html: str = "html") -> DataFrame:
-    """key and a row for each card of each page; what follows a card before the next one is its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                rows = [(k, *c) for k, h in zip(b.column(0).to_pylist()[lo : lo + 64], b.column(1).to_pylist()[lo : lo + 64], strict=True) for c in card_items(h, card)]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = [b.schema.field(0).type, *(t for _, t in _CARD_ARROW)]
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], [key, *(n for n, _ in _CARD_ARROW)])
-
-    kind = dict(pages.dtypes)[key]
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {CARD}")

@@ -48,7 +48,7 @@ def test_specialist(spark, raw, yes):
     ("raw", "sessions"),
     [
         ("08.00 - 10:30", [("08:00", "10:30", "high")]), ("8:00-9:00 dan 13.00-15.00", [("08:00", "09:00", "high"), ("13:00", "15:00", "high")]), ("16:00 - selesai", [("16:00", None, "high")]),
-        ("Dengan Perjanjian", [(None, None, "medium")]), ("08:00-10:00 13:00-15:00", [(None, None, "low")]), ("", [(None, None, "low")]), (None, [(None, None, "low")]), ("08:00-09:00 dan tutup", [(None, None, "low")]),
+        ("Dengan Perjanjian", [(None, None, "medium")]), ("08:00 s/d 10:00", [(None, None, "low")]), ("08:00 – 10:00", [(None, None, "low")]), ("dengan  perjanjian", [(None, None, "medium")]), ("08:00-10:00 13:00-15:00", [(None, None, "low")]), ("", [(None, None, "low")]), (None, [(None, None, "low")]), ("08:00-09:00 dan tutup", [(None, None, "low")]),
     ],
 )
 def test_time_ranges(spark, raw, sessions):
@@ -74,6 +74,70 @@ def test_ratio_against_a_plain_table(spark):
         assert r["r"] == pytest.approx(200 * lcs(a, b) / (len(a) + len(b)) if a or b else 100)
 
 
+def conservative(a, b):
+    sa, sb = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    return min(200 * lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in ((a, b), (sa, sb)))
+
+
+def test_arrow_scores_against_a_plain_table(spark):
+    rng = random.Random(5)
+    pairs = [("", ""), ("a", ""), ("x" * 70 + "y", "y" + "x" * 66), ("é\U0001f600b", "b\U0001f600")] + [tuple("".join(rng.choices("abc ", k=rng.randrange(70))) for _ in "xy") for _ in range(80)]
+    df = spark.createDataFrame([Row(i=i, a=a, b=b) for i, (a, b) in enumerate(pairs)])
+    for r in df.select("i", similarity.many_scores(F.col("a"), F.col("b")).alias("s")).collect():
+        a, b = pairs[r["i"]]
+        assert r["s"] == pytest.approx(conservative(a, b)), (a, b)
+
+
+def test_fuzzy_best_against_all_pairs(spark):
+    rng = random.Random(6)
+    base = ["mitra keluarga", "siloam asri", "hermina depok", "emc", "ab", "a", "pondok indah raya", "eka bsd"]
+
+    def edited(t):
+        t = list(t)
+        for _ in range(rng.randrange(4)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice("abe "))
+            if rng.random() < 0.6:
+                t.pop(rng.randrange(len(t)))
+        return " ".join("".join(t).split())
+
+    places = [(i, edited(rng.choice(base)), rng.choice([None, "g", "h"])) for i in range(150)]
+    asked = [(i, edited(rng.choice(base)), rng.choice([None, "g", "h"])) for i in range(120)] + [(500, "", None), (501, None, "g")]
+    got = matching.fuzzy_best(spark.createDataFrame(asked, "key long, raw string, grp string"), spark.createDataFrame(places, "id long, name string, grp string")).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        best = (0, 0)
+        if r["raw"]:
+            best = max(((conservative(r["raw"], n), -i) for i, n, g in places if n and (r["grp"] is None or r["grp"] == g)), default=(0, 0))
+        want = (-best[1], round(best[0], 4)) if best[0] >= 80 else (None, None)
+        assert (r["id"], r["score"]) == (want[0], pytest.approx(want[1]) if want[1] else None), r
+
+
+def test_fuzzy_join_has_no_nested_loop(spark):
+    df = matching.fuzzy_best(spark.createDataFrame([(1, "x y", None)], "key long, raw string, grp string"), spark.range(5).selectExpr("id", "concat('n', id) AS name", "if(id > 1, 'g', 'h') AS grp"))
+    assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+
+
+def test_rounding_and_strict_times(spark):
+    from rosterlake.functions.rounding import rounded
+
+    xs = [0.125, 0.375, 2.5, -0.125, 1 / 3, None]
+    got = [r["y"] for r in spark.createDataFrame([Row(i=i, x=x) for i, x in enumerate(xs)]).orderBy("i").select(rounded(F.col("x"), 2).alias("y")).collect()]
+    assert got == [None if x is None else round(x, 2) for x in xs]
+    assert one(spark, "08:30", timeparse.strict_minutes) == 510
+    for bad in ("24:00", "8.30", "", None, "12:60"):
+        with pytest.raises(Exception, match="no time of day"):
+            one(spark, bad, timeparse.strict_minutes)
+    assert one(spark, "RS Mitra (Bekasi) 2", text.slug) == "rs-mitra-bekasi-2"
+
+
+def test_display_alias_and_group_override(spark):
+    f = spark.createDataFrame([(1, "RS A", -6.2, 106.8, "g"), (2, "RS B", -6.3, 106.8, None), (3, "RS B", -6.3, 106.8, None)], "id long, name string, lat double, lon double, grp string")
+    a = spark.createDataFrame([("RS A", -6.2001, 106.8, "first"), ("RS B", -6.3, 106.8, "two rows"), ("RS C", 0.0, 0.0, "none")], "name string, lat double, lon double, alias string")
+    assert {r["id"]: r["display_alias"] for r in matching.display_alias(f, a).collect()} == {1: "first", 2: None, 3: None}
+    o = spark.createDataFrame([("rsud a", "new")], "name string, grp string")
+    assert {r["id"]: r["grp"] for r in matching.group_override(f, o).collect()} == {1: "new", 2: None, 3: None}
+
+
 def sessions(spark, *rows):
     return spark.createDataFrame(list(rows), "facility long, practitioner long, day int, start_min int, end_min int, confidence string")
 
@@ -115,6 +179,13 @@ def test_radius_join_against_all_pairs(spark):
         return 2 * 6371 * math.asin(min(1, math.sqrt(x)))
 
     assert got == {(a[0], b[0]) for a in pts for b in pts if a[0] != b[0] and km(a, b) <= 60}
+    # across 180 degrees, near a pole, and 1.4 km apart at 60 degrees north
+    pts = [(0, 10.0, 179.9), (1, 10.0, -179.9), (2, 89.9, 0.0), (3, 89.9, 170.0), (4, 60.0, 20.0), (5, 60.0, 20.025), (6, -90.0, 5.0), (7, -89.9, -100.0)]
+    pts += [(10 + i, rng.uniform(60, 90), rng.uniform(-180, 180)) for i in range(120)]
+    df = spark.createDataFrame(pts, "id long, lat double, lon double")
+    for most in (1.5, 60.0, 400.0):
+        got = [(r["anchor"], r["id"]) for r in geo_supply.radius_join(df, df, most).collect()]
+        assert sorted(got) == sorted((a[0], b[0]) for a in pts for b in pts if a[0] != b[0] and km(a, b) <= most)
 
 
 def test_neighbourhood_golden(spark):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from rosterlake.plans import ingest
-from rosterlake.sources import adapters, html, sinks
+from rosterlake.sources import adapters, sinks
 
 
 def payload(spark, *docs, **more):
@@ -35,13 +38,13 @@ def test_hermina(spark):
 
 
 def test_rs_pondok_indah_and_sentra_medika(spark):
-    listing = payload(spark, {"data": [{"fullname_doctor": "dr. D", "doctor_code": "D", "specialty": "x", "doctor_schedule": [{"hospital": "RSPI Pondok Indah", "clinics": [{"clinic_name": "k", "schedules": []}]}]}]})
-    assert got(adapters.rs_pondok_indah(listing)) == [("D", "RSPI Pondok Indah", "None", "None", "None", "None")]
-    one = {"id": 7, "slug": "e", "full_name": "dr. E", "specializations": [{"name": "Sp.DVE"}], "hospitals": [{"name": "Sentra Cibubur"}]}
+    listing = payload(spark, {"data": [{"fullname_doctor": "dr. D", "doctor_code": "D", "specialty": "x", "doctor_schedule": [{"hospital": "RS Pondok Indah - Pondok Indah", "clinics": [{"clinic_name": "k", "schedules": []}]}]}]})
+    assert got(adapters.rs_pondok_indah(listing)) == [("D", "RS Pondok Indah - Pondok Indah", "None", "None", "None", "None")]
+    one = {"id": 7, "slug": "e", "full_name": "dr. E", "specializations": [{"name": "Sp.DVE"}], "hospitals": [{"name": "Sentra Medika Cikarang"}]}
     listing = payload(spark, {"data": [one]}, {"data": [{**one, "full_name": "dr. E later"}]}, spec=[60, 66], page=[1, 1])
-    plan = payload(spark, {"data": [{"polyclinic_name": "p", "hospitals": [{"hospital_name": "Sentra Cibubur", "schedules": [{"day": "Kamis", "shifts": [{"start_time": "08:00", "end_time": "09:00"}] * 2}]}]}]}, slug=["e"])
+    plan = payload(spark, {"data": [{"polyclinic_name": "p", "hospitals": [{"hospital_name": "Sentra Medika Cikarang", "schedules": [{"day": "Kamis", "shifts": [{"start_time": "08:00", "end_time": "09:00"}] * 2}]}]}]}, slug=["e"])
     df = adapters.sentra_medika(listing, plan)
-    assert got(df) == [("7", "Sentra Cibubur", "Kamis", "08:00", "09:00", "None")] and df.first()["raw_name"] == "dr. E later"
+    assert got(df) == [("7", "Sentra Medika Cikarang", "Kamis", "08:00", "09:00", "None")] and df.first()["raw_name"] == "dr. E later"
 
 
 def test_brawijaya_first_record_wins(spark):
@@ -51,29 +54,103 @@ def test_brawijaya_first_record_wins(spark):
     assert got(adapters.brawijaya(branches, plan)) == [("1", "Brawijaya Depok", "2", "08:30", "10:00", "None")]
 
 
-PAGE = """<div class="doctor-card"><img alt="dr. G, Sp.KK"><a href="/1">more</a><a href="/b">Radjak Bekasi</a><table><tr><td data-label="Senin">08.00 - 10.00 dan 13.00-14.00</td><td data-label="Rabu">dengan perjanjian</td></tr></table></div>
-<div class="doctor-card"><img alt="dr. G, Sp.KK"><a href="/1">more</a><a href="/b">Radjak Bekasi</a></div><div class="doctor-card"><img alt="dr. H, Sp.PK"><a>x</a><a>Radjak Bekasi</a></div>"""
-
-
-def test_cards_and_load(spark):
-    pages = spark.createDataFrame([("u1", PAGE), ("u2", None), ("u3", "<div class=doctor-card")], "url string, html string")
-    assert len(html.card_items(PAGE, "doctor-card")) == 3
-    raw = adapters.REGISTRY["radjak"](pages)
-    assert got(raw) == [("u1#0", "Radjak Bekasi", "Rabu", "None", "None", "dengan perjanjian"), ("u1#0", "Radjak Bekasi", "Senin", "None", "None", "08.00 - 10.00 dan 13.00-14.00")]
-    facilities = spark.createDataFrame([(5, "RS Radjak Bekasi", None), (6, "RS Hermina", None)], "id long, name string, grp string")
+RADJAK = """<select name="unit"><option value="all">Semua</option><option value="b">Radjak Hospital Salemba</option><option value="p">Radjak Hospital Purwakarta</option></select>
+<div class="col-md-4 mb-4"><img src=x alt="dr. G, Sp.KK"><p>Spesialis Kulit dan Kelamin</p><p>Radjak Hospital Salemba</p>
+<div class="row"><div class="col-md-4">Senin</div><div class="col-md-8">08.00 - 10.00 dan 13.00-14.00</div></div><div class="row"><div class="col-md-4">Rabu</div><div class="col-md-8">-</div></div>
+<div class="row"><div class="col-md-4">Kamis</div><div class="col-md-8">dengan perjanjian</div></div><a href="/dokter/detail/1">Lihat</a></div>
+<div class="col-md-4 mb-4"><img alt="dr. H, Sp.PK"><p>Spesialis Kulit dan Kelamin</p>Radjak Hospital Salemba<a href="/dokter/detail/2">x</a></div>
+<div class="col-md-4 mb-4"><img alt="dr. I, Sp.DV"><p>Spesialis Kulit dan Kelamin</p>Radjak Hospital Purwakarta<a href="/dokter/detail/3">x</a></div>"""
+SARI = """<select form-data="hospital"><option value="">Semua Cabang</option><option value="rs-c">RS Sari Asih Ciputat</option><option value="rs-s">RS Sari Asih Serang</option></select>
+<div id="dokter_7"><h4>dr. J, Sp.KK</h4><a class="text-link" href="/d/7">x</a><table class="schedule_doctor"><tbody><tr><td>Senin</td><td>08:00 - 10:00</td></tr><tr><td>Rabu</td><td>-</td></tr></tbody><a data-hospital="rs-c">y</a></table>
+<table class="schedule_doctor"><tbody><tr><td>Selasa</td><td>08:00 - 10:00</td></tr></tbody><a data-hospital="rs-s">y</a></table></div>
+<div id="dokter_8"><h4>dr. K, Sp.DVE</h4><span class="badge">Ciputat</span></div><div id="dokter_9"><h4>dr. L, Sp.A</h4><span class="badge">Ciputat</span></div>"""
+COLUMBIA = """<div class="find-doctor-item"><h4>dr. M</h4><div class="find-doctor-info"><div>RSCA BSD</div><div>Dermatology</div></div><a href="/doctor-appointment/m">Buat janji</a></div>
+<div class="find-doctor-item"><h4>dr. N</h4><div class="find-doctor-info"><div>Cardiology</div></div><a href="/doctor-appointment/n">x</a></div>"""
+COLUMBIA_DETAIL = '<div class="pt-doctor-info"><strong>Dermatology</strong><strong>BSD</strong></div><table class="table-schedule"><tbody><tr><td>Monday</td><td>08:00 - 10:00<br>13:00 - 14:00</td></tr><tr><td>Friday<td>call us</tr></tbody></table>'
+PREMIER = """<div class="doctor-item"><h6>dr. O, Sp.KK</h6><a class="button-outline" href="/o">Profil</a><a class="toggle-shcedule" data-id="11">Lihat jadwal</a></div><div class="doctor-item"><h6>dr. P, Sp.KKLP</h6><a class="toggle-shcedule" data-id="12">x</a></div>"""
+PREMIER_DETAIL = '<table class="table-dekstop"><thead><tr><th>Senin</th><th>Selasa</th></tr></thead><tbody><tr><td>08:00 - 09:00 10:00 - 11:00</td><td>-</td></tr></tbody></table>'
+MAYAPADA_CARD = '<div class="w"><a href="/find-doctor/detail/q"><p>dr. Q, Sp.KK</p></a><table class="table"><tr><td>Hospital</td><td>Mayapada Hospital Kuningan</td></tr></table></div>'
+MAYAPADA = f'<div id="doctor_list"><div class="d-none d-md-block">{MAYAPADA_CARD}</div><div class="d-block d-md-none">{MAYAPADA_CARD}</div>{MAYAPADA_CARD.replace("detail/q", "detail/r").replace("Kuningan", "Surabaya")}</div>'
+PRIMAYA = '<div class="item asp_r_pagepost asp_r_pagepost_55"><div class="doctor-card-name"><a href="/s">dr. S, Sp.KK</a></div><div class="doctor-card-location">Karawang</div></div><div class="item asp_r_pagepost asp_r_pagepost_56"><div class="doctor-card-name">dr. T</div><div class="doctor-card-location">Makassar, Jakarta Street</div></div>'
+BETHSAIDA = """<div class="doctor-list-schedule"><div class="doctor-profile media"><a href="/dokter/detaildokter/u">Detail Dokter</a><div class="media-content"><b>dr. U, Sp.KK</b></div><span class="media-figure__caption">Bethsaida Hospital Gading Serpong</span></div>
+<div class="doctor-schedule"><table class="doctor-schedule-table"><tbody><tr><td data-label="Senin">14:00-16:00</td><td data-label="Selasa">14:00-16:0014:00-17:00</td><td data-label="Rabu"> </td></tr></tbody></table></div></div><div class="doctor-list-schedule"><div class="media-content"><b>Jadwal</b></div></div>"""
+EMC = """<div class="doctor-list-schedule"><a href="/doctors/v">Detail Dokter</a><div class="media-content"><b>dr. V</b></div><span class="media-figure__caption">EMC Alam <i>Sutera</i></span>
+<a class="anchor-button" href="/doctor-schedule?hospital=as&day=3&start_time=08:00&end_time=09:30">MAKE APPOINTMENT</a><a class="anchor-button" href="/doctor-schedule?hospital=as">x</a></div>"""
+EKA = """<div class="doctor-card"><a data-testid="link-profile-doctor" href="/w"><h3 data-testid="doctor-name">dr. W, Sp.KK</h3></a><p data-testid="doctor-location">Eka Hospital Pluit, Eka Hospital Pekanbaru</p><p data-testid="selected-doctor-location">Eka Hospital Pluit</p>
+<div class="r"><div><span data-testid="doctor-schedule-day">Senin</span></div><span data-testid="doctor-schedule-times">08:00 - 09:00</span><span data-testid="doctor-schedule-times">13:00 - 14:00</span></div></div>
+<div class="doctor-card"><h3 data-testid="doctor-name">dr. X</h3><p data-testid="doctor-location">Eka Hospital Pekanbaru</p></div>"""
+
+
+def frame(spark, page, **more):
+    rows = [("u1", page, *more.values()), ("u2", None, *more.values()), ("u3", "<div class=broken", *more.values())]
+    return spark.createDataFrame(rows, ["url", "html", *more])
+
+
+def payload_pages(spark):
+    details = lambda key, page: spark.createDataFrame([(key, page), ("other", None)], "record string, html string")
+    return {
+        "radjak": (frame(spark, RADJAK),), "sari_asih": (frame(spark, SARI),), "mayapada": (frame(spark, MAYAPADA),), "primaya": (frame(spark, PRIMAYA),), "bethsaida": (frame(spark, BETHSAIDA),),
+        "emc": (frame(spark, EMC),), "eka": (frame(spark, EKA),), "columbia_asia": (frame(spark, COLUMBIA, branch="RS Columbia Asia BSD"), details("/doctor-appointment/m", COLUMBIA_DETAIL)),
+        "rs_premier": (frame(spark, PREMIER, branch="RS Premier Bintaro"), details("11", PREMIER_DETAIL)),
+    }
+
+
+def test_pages_of_every_shape(spark):
+    rows = adapters.all_sources(payload_pages(spark)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append((r["record"], r["raw_name"], r["branch"], r["day_text"], r["time_text"], r["start_text"]))
+    key = lambda x: tuple(map(str, x))
+    want = {
+        "radjak": [("dr. g, sp.kk", "dr. G, Sp.KK", "Radjak Hospital Salemba", d, t, None) for d, t in (("Kamis", "dengan perjanjian"), ("Senin", "08.00 - 10.00 dan 13.00-14.00"))],
+        "sari_asih": [("dokter_7@rs-c", "dr. J, Sp.KK", "RS Sari Asih Ciputat", "Senin", "08:00 - 10:00", None), ("dokter_8@rs-c", "dr. K, Sp.DVE", "RS Sari Asih Ciputat", None, None, None)],
+        "columbia_asia": [("/doctor-appointment/m", "dr. M", "RS Columbia Asia BSD", d, t, None) for d, t in (("Friday", "call us"), ("Monday", "08:00 - 10:00"), ("Monday", "13:00 - 14:00"))],
+        "rs_premier": [("11", "dr. O, Sp.KK", "RS Premier Bintaro", "Senin", t, None) for t in ("08:00 - 09:00", "10:00 - 11:00")],
+        "mayapada": [("/find-doctor/detail/q", "dr. Q, Sp.KK", "Mayapada Hospital Kuningan", None, None, None)],
+        "primaya": [("55", "dr. S, Sp.KK", "Karawang", None, None, None)],
+        "bethsaida": [("dr. u, sp.kk", "dr. U, Sp.KK", "Bethsaida Hospital Gading Serpong", d, t, None) for d, t in (("Selasa", "14:00-16:0014:00-17:00"), ("Senin", "14:00-16:00"))],
+        "emc": [("dr. v", "dr. V", "EMC Alam Sutera", "3", None, "08:00")],
+        "eka": [("dr. w, sp.kk", "dr. W, Sp.KK", "Eka Hospital Pluit", "Senin", t, None) for t in ("08:00 - 09:00", "13:00 - 14:00")],
+    }
+    assert {k: sorted(v, key=key) for k, v in by.items()} == {k: sorted(v, key=key) for k, v in want.items()}
+
+
+def test_load_of_pages(spark):
+    raw = adapters.REGISTRY["radjak"](frame(spark, RADJAK))
+    facilities = spark.createDataFrame([(5, "RS Radjak Salemba", None), (6, "RS Hermina", None)], "id long, name string, grp string")
     people, times = ingest.load(raw, facilities)
     assert [(r["person"], r["facility"]) for r in people.collect()] == [("g", 5)]
     assert sorted((r["day"], r["start_time"], r["end_time"], r["confidence"]) for r in times.collect() if r["day"] == 0) == [(0, "08:00", "10:00", "high"), (0, "13:00", "14:00", "high")]
     s = ingest.summary(raw, ingest.resolve(raw, facilities.filter("id = 6"))).first()
-    assert (s["records"], s["not_specialist"], s["unmatched"], s["unmatched_names"]) == (1, 0, 1, ["Radjak Bekasi"])
-
-
-def test_emc_links(spark):
-    page = '<div class="doctor-list-schedule"><img alt="EMC Tangerang"><a href="/dr">dr. I</a><a href="/book?day=3&start_time=08:00&end_time=09:30">x</a></div>'
-    df = spark.createDataFrame([("u", page)], "url string, html string")
-    rows = adapters.emc(df).collect()
-    assert [(r["raw_name"], r["branch"], r["day_text"], r["start_text"], r["end_text"]) for r in rows] == [("dr. I", "EMC Tangerang", "3", "08:00", "09:30")] or "tangerang" not in (rows[0]["credentials"] if rows else "")
-    assert ingest.sessions(adapters.emc(df)).count() == len(rows)
+    assert (s["records"], s["not_specialist"], s["unmatched"], s["unmatched_names"]) == (1, 0, 1, ["Radjak Hospital Salemba"])
+    emc = ingest.sessions(adapters.REGISTRY["emc"](frame(spark, EMC))).first()
+    assert (emc["day"], emc["start_time"], emc["end_time"], emc["confidence"]) == (2, "08:00", "09:30", "high")
+
+
+def test_first_seen_branch_wins(spark):
+    rows = [("s", "r", "Radjak Salemba", 5, 2), ("s", "r", "Radjak  Salemba.", 5, 1), ("s", "r", "Hermina", 6, 3), ("s", "q", "x", None, 1)]
+    df = spark.createDataFrame(rows, "source string, record string, branch string, facility long, position int")
+    assert sorted(r["branch"] for r in ingest.first_seen(df).collect()) == ["Hermina", "Radjak  Salemba."]
+
+
+def test_names_are_normalised_at_the_load(spark):
+    raw = spark.createDataFrame([("s", "r", "dr. \uff21ni, Sp.KK", None, "\uff32\uff33 Tebet")], "source string, record string, raw_name string, credentials string, branch string")
+    facilities = spark.createDataFrame([(1, "RS Tebet", None)], "id long, name string, grp string")
+    r = ingest.resolve(raw, facilities).first()
+    assert (r["branch"], r["raw_name"], r["facility"]) == ("RS Tebet", "dr. Ani, Sp.KK", 1)
+
+
+@pytest.mark.parametrize(
+    ("source", "branch", "address", "yes"),
+    [
+        ("emc", "EMC Alam Sutera", "", True), ("hermina", "Hermina Kemayoran", "", True), ("hermina", "Hermina Medan", "", False), ("eka", "Eka Hospital Pluit", "", True), ("eka", "Eka BSD Pekanbaru", "", False), ("siloam", "Siloam Asri", "", True),
+        ("siloam", "Siloam X", "Jl. Y, Jakarta", True), ("siloam", "Siloam Surabaya", "", False), ("rs_pondok_indah", "RS Pondok Indah - Pondok Indah", "", True), ("rs_pondok_indah", "Pondok Indah Klinik", "", False), ("radjak", "Radjak Hospital Purwakarta", "", False),
+        ("radjak", "Radjak Hospital Salemba", "", True), ("brawijaya", "anything", "", True), ("primaya", None, "", False), ("bethsaida", "Bethsaida Serang", "", False),
+    ],
+)
+def test_scope(spark, source, branch, address, yes):
+    df = spark.createDataFrame([(branch, address)], "b string, a string")
+    assert df.select(adapters.near(adapters.SOURCES[source], F.col("b"), F.col("a")).alias("y")).first()["y"] is yes
 
 
 def test_every_source_is_registered():
