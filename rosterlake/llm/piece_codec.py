@@ -3,13 +3,14 @@
 The model protobuf is read directly (wire format): pieces with scores and types, the kind of model,
 byte fallback, and the normaliser's rules. From these a tokenizers pipeline is rebuilt: the compiled
 character map as normaliser, the metaspace marker for spaces, unigram scores as they are, or for a
-BPE model the merges that the scores imply, and byte fallback. Chunks are encoded one by one; the
-library's multithreaded batches are not used.
+BPE model the merges that the scores imply, and byte fallback.
 
 Where no piece has the marker behind another character, texts are cut at single spaces between
-non-space characters, and each distinct chunk is encoded once. As it is first met, its ids are
-compared with the sentencepiece library's (parity) and decoded again (round trip), so the two flags
-of a document cover all its chunks; whole texts are not compared.
+non-space characters, and each distinct chunk is encoded once: the chunks of a batch that were not met
+before go through the library's multithreaded batch call together. Their ids are compared with the
+sentencepiece library's (parity of a document: that of all its chunks). The round trip is of whole
+documents: the ids of every text are decoded in batches and compared with the text (for models that
+normalise: with the normalised text). Models that cannot be cut encode whole texts in batches.
 
 Edge cases: null and empty text have no ids and pass both checks; a character outside the pieces
 becomes byte pieces, or the unknown id where the model has no byte fallback (then the round trip is
@@ -23,14 +24,15 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._chunks import ChunkEncoder, chunks, latin
-from rosterlake.llm._common import load, ship
+from rosterlake.llm._chunks import CACHE, chunks
+from rosterlake.llm._common import load, parts, ship
 
 MARK = "▁"
 #: Field numbers and enumerations of the model protobuf.
@@ -125,55 +127,66 @@ def build(spec: Spec):
 
 
 class Codec:
-    """Encode and decode whole texts; flags from comparing each new chunk with the other library."""
+    """Encode and decode whole texts in batches; new chunks are compared with the other library."""
 
     def __init__(self, path: str, verify: bool = True):
         with open(path, "rb") as f:
             data = f.read()
         self.spec = parse_model(data)
         self.tokenizer = build(self.spec)
-        self.model = self.tokenizer.model
         self.plain = not self.spec.charsmap and not self.spec.squeeze
         self.cuttable = self.plain and not any(MARK in p.lstrip(MARK) for p, _, _ in self.spec.pieces)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.unlike: set[str] = set()
-        self.lossy: set[str] = set()
         self.reference = None
         if verify:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.cache = ChunkEncoder(lambda chunk: array("I", self._ids(chunk)).tobytes(), self.spec.dummy_prefix)
-
-    def _ids(self, chunk: str) -> list[int]:
-        """The chunk's ids; a chunk that fails a check is noted."""
-        if self.plain and latin(chunk[1:] if chunk[:1] == " " else chunk):
-            marked = chunk.replace(" ", MARK)
-            found = self.model.tokenize(marked)
-            ids, same = [x.id for x in found], "".join([x.value for x in found]) == marked
-        else:
-            ids, same = self.tokenizer.encode(chunk, add_special_tokens=False).ids, False
-        if not same and self.tokenizer.decode(ids, skip_special_tokens=False) != (chunk if self.plain else self.tokenizer.normalizer.normalize_str(chunk).replace(MARK, " ")):
-            self.lossy.add(chunk)
-        if self.reference is not None and ids != self.reference.encode(chunk[1:] if self.spec.dummy_prefix and chunk[:1] == " " else chunk):
-            self.unlike.add(chunk)
-        return ids
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, bool, bool]:
-        """(ids, parity, round trip) of a whole text."""
-        text = text or ""
-        if self.cuttable:
-            ids = self.cache(text)
-            own = chunks(" " + text if self.spec.dummy_prefix else text) if self.unlike or self.lossy else ()
-        else:
-            text = text.strip(" ") if self.spec.squeeze else text
-            own = [" " + text if text and self.spec.dummy_prefix else text]
-            ids = array("I", self._ids(own[0])).tobytes() if own[0] else b""
-        return np.frombuffer(ids, "<u4"), self.unlike.isdisjoint(own), self.lossy.isdisjoint(own)
 
-    def decode(self, ids: list[int]) -> str:
-        text = self.tokenizer.decode(list(ids), skip_special_tokens=False)
+    def whole(self, text: str) -> str:
+        """The text as the pipeline takes it, with the space that the model puts before texts."""
+        text = text.strip(" ") if self.spec.squeeze else text
+        return " " + text if text and self.spec.dummy_prefix else text
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of chunks that were not met before, and whether the other library has the same."""
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            self.known.update(zip(some, (array("I", ids).tobytes() for ids in got), strict=True))
+            if self.reference is not None:
+                bare = [c[1:] if self.spec.dummy_prefix and c[:1] == " " else c for c in some]
+                self.unlike.update(c for c, mine, other in zip(some, got, self.reference.encode(bare, num_threads=1), strict=True) if mine != other)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, round trip) of each text."""
+        took = [self.whole(t or "") for t in texts]
+        cut = [chunks(t) if self.cuttable and t else [t] if t else [] for t in took]
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
+        wanted = dict.fromkeys(chain.from_iterable(cut))
+        self.known.update((c, self.old[c]) for c in wanted if c not in self.known and c in self.old)
+        self._learn([c for c in wanted if c not in self.known])
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]
+        if not self.cuttable:
+            self.known.clear()  # whole texts seldom come again
+        back = self.decode([i.tolist() for i in ids])
+        # what decoding must give: the text, or for models that normalise, the normalised one
+        same = [self._plain(t) for t in took]
+        return [(i, self.unlike.isdisjoint(c), b == t) for i, c, b, t in zip(ids, cut, back, same, strict=True)]
+
+    def _plain(self, took: str) -> str:
+        text = took if self.plain else self.tokenizer.normalizer.normalize_str(took).replace(MARK, " ")
+        return self._bare(text)
+
+    def _bare(self, text: str) -> str:
         return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return [self._bare(t) for t in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
+
 
 @lru_cache(2)
 def _codec(path: str, verify: bool) -> Codec:
@@ -192,9 +205,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, verify)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
-                got = [codec.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            for b in parts(whole, whole.num_columns - 1, 2_000_000):
+                got = codec.encode(b.column(b.num_columns - 1).to_pylist())
                 flat = np.concatenate([i for i, _, _ in got]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _, _ in got)]).astype(np.int32), flat)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, pa.array([p for _, p, _ in got]), pa.array([r for _, _, r in got])], [*kept, *new])
@@ -214,7 +226,9 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, False)
         for b in batches:
-            got = [None if i is None else codec.decode(i) for i in b.column(b.num_columns - 1).to_pylist()]
+            told = b.column(b.num_columns - 1).to_pylist()
+            back = iter(codec.decode([i for i in told if i is not None]))
+            got = [None if i is None else next(back) for i in told]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.string())], [*kept, into])
 
     frame = rows.select(*kept, rows[ids].alias("__ids"))
@@ -224,5 +238,5 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    done = encode(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    done = encode(load(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
