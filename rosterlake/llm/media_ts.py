@@ -7,8 +7,9 @@ their CRC), follows each packet id's continuity counter, reassembles the PES pac
 payload, timestamps and random-access points.
 
 Edge cases: null text is stored as the empty text (64 zero bytes); a text whose length is a
-positive multiple of 64 gets no padding; equal texts give equal streams and features; a lost,
-repeated or torn packet raises ValueError in parse(strict=True) and is counted otherwise; an empty
+positive multiple of 64 gets no padding; equal texts give equal streams and features; a lost
+or torn packet raises ValueError in parse(strict=True) and is counted otherwise; a packet sent twice in a
+row is legal and read once; an empty
 table gives an empty result.
 """
 
@@ -19,13 +20,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._common import load, ship, stored
+from rosterlake.llm._common import load, parts, ship, stored
 
 #: Fixed values of the container.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID, CLOCK, POLY = 188, 0x47, 0x0000, 0x1000, 0x0100, 0x06, 0xBD, 90_000, 0x04C11DB7
@@ -103,6 +105,7 @@ class Stream:
     stream_type: int = 0
     packets: int = 0
     gaps: int = 0
+    doubles: int = 0
     units: list[tuple[int, int, int, bool]] = field(default_factory=list)
 
 
@@ -148,6 +151,9 @@ def parse(stream: bytes, strict: bool = True) -> Stream:
     at = 12 + (struct.unpack_from(">H", pmt, 10)[0] & 0xFFF)
     found.stream_type, es_pid = struct.unpack_from(">BH", pmt, at)
     own = p[pid == (es_pid & 0x1FFF)]
+    # a packet may be sent twice in a row; the second one says nothing new
+    again = np.concatenate(([False], (own[1:] == own[:-1]).all(1) & (own[1:, 3] & 0x10 > 0))) if len(own) else np.zeros(0, bool)
+    own, found.doubles = own[~again], int(again.sum())
     has_field, has_payload = own[:, 3] & 0x20 > 0, own[:, 3] & 0x10 > 0
     step = np.diff(own[has_payload, 3].astype(np.int16) & 15) & 15
     found.gaps = int((step != 1).sum())
@@ -189,19 +195,12 @@ def feature(s: Stream) -> str:
     return f"units={len(s.units)};packets={s.packets};ms={last};random_access={sum(r for *_, r in s.units)};gaps={s.gaps};timeline={zlib.crc32(line):08x}"
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that few streams are in memory at a time."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes and the media column, written to the shared folder and read back."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in chain.from_iterable(parts(x, 1) for x in batches):
             raw = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([mux(padded(t)) for t in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -220,7 +219,7 @@ def demux(media: DataFrame, column: str = "media") -> DataFrame:
     kinds = pa.list_(pa.struct([("pts", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in chain.from_iterable(parts(x, x.num_columns - 1) for x in batches):
             raw = b.column(b.num_columns - 1).to_pylist()
             got = [parse(m) for m in raw]
             new = [
@@ -235,4 +234,4 @@ def demux(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demux(store(load(spark, sf_dir, "documents"))).drop("units")
+    return demux(store(load(spark, sf_dir, "documents", spread=True))).drop("units")
