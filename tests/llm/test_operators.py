@@ -288,6 +288,42 @@ def test_unigram_models_are_rebuilt():
     assert piece_codec.build(spec).encode(" ab ba", add_special_tokens=False).tokens == ["▁ab", "▁", "b", "a"]
 
 
+def unigram_model(pieces, byte_fallback=False):
+    """The model file of a unigram model, written field by field."""
+
+    def field(n, wire, value):
+        head = bytes([(n << 3 | wire) & 127 | 128, (n << 3 | wire) >> 7]) if n << 3 > 127 else bytes([n << 3 | wire])
+        return head + value
+
+    def sized(n, body):
+        return field(n, 2, bytes([len(body) & 127 | 128, len(body) >> 7]) + body)
+
+    body = b"".join(sized(1, sized(1, p.encode()) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    return body + sized(2, field(3, 0, bytes([1])) + field(35, 0, bytes([byte_fallback]))) + sized(3, sized(1, b"identity") + field(3, 0, bytes([1])) + field(4, 0, bytes([0])) + field(5, 0, bytes([1])))
+
+
+def test_a_unigram_model_against_the_other_library(spark, odd, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(3)
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{b:02X}>", -20.0, 6) for b in range(256)), ("\u2581", -3.0, 1)]
+    pieces += [(c, -4.0 - rng.random(), 1) for c in "abcdehlnorstuwxy"]
+    pieces += [(p, -2.0 - 3 * rng.random(), 1) for p in ("\u2581the", "\u2581one", "he", "er", "\u2581t", "wo", "\u2581same", "text", "re", "on", "ne", "xxx", "lin")]
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(pieces, byte_fallback=True))
+    other = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    spec = piece_codec.parse_model(path.read_bytes())
+    assert spec.kind == 1 and spec.byte_fallback and not spec.squeeze
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(90, "the other one there\u00e9 two")], "doc_id long, text string"))
+    for r in piece_codec.decode(piece_codec.encode(docs, str(path)), str(path)).collect():
+        assert r["ids"] == other.encode(r["text"] or "") and r["parity"] and r["round_trip"] and r["decoded"] == (r["text"] or "")
+    # without byte fallback, an unknown character is seen in the round trip
+    path2 = tmp_path / "plain.model"
+    path2.write_bytes(unigram_model([p for p in pieces if p[2] != 6]))
+    got = {r["doc_id"]: r["round_trip"] for r in piece_codec.encode(docs.filter("doc_id >= 90"), str(path2)).collect()}
+    assert got == {90: False}
+
+
 # --- token records -------------------------------------------------------------------------------
 
 
@@ -548,6 +584,8 @@ def test_lost_packets_are_noticed():
     with pytest.raises(ValueError, match="continuity"):
         media_ts.parse(lost)
     assert media_ts.parse(lost, strict=False).gaps == 1
+    twice = stream[: 188 * 6] + stream[188 * 5 :]
+    assert media_ts.parse(twice).payload == bytes(9000) and media_ts.parse(twice).doubles == 1
     with pytest.raises(ValueError):
         media_ts.parse(stream[:-1])
     torn = bytearray(stream)
@@ -565,6 +603,9 @@ def test_media_columns(spark, odd, tmp_path):
     by = {r["doc_id"]: r["text"] for r in odd.collect()}
     for r in got:
         p = media_ts.padded((by[r["doc_id"]] or "").encode())
+        m = media_ts.mux(p)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(m), hashlib.sha256(m).hexdigest()) and len(m) % 188 == 0
+        assert r["feature"].startswith(f"units={-(-len(p) // media_ts.UNIT)};packets={len(m) // 188};") and r["feature"].count("gaps=0") == 1
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["n_bytes"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len((by[r["doc_id"]] or "").encode()))
     units = media_ts.demux(media_ts.store(odd)).filter("doc_id = 7").first()["units"]
     assert units[0]["random_access"] and units[0]["pts"] == 0
@@ -581,6 +622,22 @@ def test_positions_are_a_permutation(n):
         assert abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.1 and not np.array_equal(p, sharding.position(np.arange(n), n, seed=5))
 
 
+def plain_position(i, n, seed):
+    """The Feistel network with cycle walking, one Python integer at a time."""
+    bits = max(1, -(-max(1, n - 1).bit_length() // 2))
+    keys = [int(k) for k in np.random.default_rng(seed).integers(0, 1 << 63, sharding.ROUNDS)]
+    top, mask = (1 << 64) - 1, (1 << bits) - 1
+    while True:
+        left, right = i >> bits, i & mask
+        for k in keys:
+            x = (right + k) * 0x9E3779B97F4A7C15 & top
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & top
+            left, right = right, left ^ ((x ^ x >> 29) & mask)
+        i = left << bits | right
+        if i < n:
+            return i
+
+
 def test_shards(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     for d, rows in ((str(tmp_path), odd), (DATA, spark.read.parquet(f"{DATA}/documents.parquet"))):
@@ -593,7 +650,7 @@ def test_shards(spark, odd, tmp_path):
         sizes = [len(slots[i]) for i in range(40)]
         assert max(sizes) - min(sizes) <= 1
         order = sorted(rows.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, zlib.crc32((r["text"] or "").encode())))
-        p = sharding.position(np.arange(len(order)), len(order), 9)
+        p = [plain_position(i, len(order), 9) for i in range(len(order))]
         assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got) == Counter((r["doc_id"], int(x) % 40, int(x) // 40) for r, x in zip(order, p, strict=True))
     odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert sharding.op9_sharding(spark, f"{tmp_path}/none").count() == 0
