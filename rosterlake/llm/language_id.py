@@ -28,7 +28,7 @@ from rosterlake.llm._common import held_out, load, parts, ship, words
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 SLICE_BITS = 12
-CACHE = 500_000
+CACHE = 250_000
 AT_ONCE = 1_000_000
 _NEARLY = re.compile(r"[^\W\d_]")
 _POWERS = np.array([1, 0x01000193, 0x0193_2D4F, 0x9E3779B1], np.uint32)

@@ -19,6 +19,7 @@ false); repeated rows give equal ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import struct
 from array import array
 from collections.abc import Iterator
@@ -31,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._chunks import CACHE, chunks
+from rosterlake.llm._chunks import chunks
 from rosterlake.llm._common import load, parts, ship
 
 MARK = "▁"
+#: Known chunks of a worker (two generations of so many), characters of a batch, threads of a batch call.
+CACHE, AT_ONCE, THREADS = 80_000, 600_000, 2
 #: Field numbers and enumerations of the model protobuf.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNIGRAM, BPE = 1, 2
@@ -152,8 +155,8 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of chunks that were not met before, and whether the other library has the same."""
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
+        for lo in range(0, len(new), 2048):
+            some = new[lo : lo + 2048]
             got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
             self.known.update(zip(some, (array("I", ids).tobytes() for ids in got), strict=True))
             if self.reference is not None:
@@ -191,6 +194,7 @@ class Codec:
 @lru_cache(2)
 def _codec(path: str, verify: bool) -> Codec:
     """One per worker process, so that later tasks find known chunks."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # each thread keeps memory of its own
     return Codec(path, verify)
 
 
@@ -205,7 +209,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, verify)
         for whole in batches:
-            for b in parts(whole, whole.num_columns - 1, 2_000_000):
+            for b in parts(whole, whole.num_columns - 1, AT_ONCE):
                 got = codec.encode(b.column(b.num_columns - 1).to_pylist())
                 flat = np.concatenate([i for i, _, _ in got]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _, _ in got)]).astype(np.int32), flat)
