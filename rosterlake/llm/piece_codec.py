@@ -37,7 +37,7 @@ from rosterlake.llm._common import load, parts, ship
 
 MARK = "▁"
 #: Known chunks of a worker (two generations of so many), characters of a batch, threads of a batch call.
-CACHE, AT_ONCE, THREADS = 80_000, 600_000, 2
+CACHE, AT_ONCE, THREADS = 180_000, 600_000, 2
 #: Field numbers and enumerations of the model protobuf.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNIGRAM, BPE = 1, 2
@@ -157,20 +157,37 @@ class Codec:
         """Ids of chunks that were not met before, and whether the other library has the same."""
         for lo in range(0, len(new), 2048):
             some = new[lo : lo + 2048]
-            got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch([self._full(c) for c in some], add_special_tokens=False)]
             self.known.update(zip(some, (array("I", ids).tobytes() for ids in got), strict=True))
             if self.reference is not None:
-                bare = [c[1:] if self.spec.dummy_prefix and c[:1] == " " else c for c in some]
+                bare = [self._bare(c) for c in some]
                 self.unlike.update(c for c, mine, other in zip(some, got, self.reference.encode(bare, num_threads=1), strict=True) if mine != other)
 
+    def _full(self, chunk: str) -> str:
+        """A chunk that is a word stands for the word behind its space."""
+        return " " + chunk if self.spec.dummy_prefix and chunk[:1] != " " else chunk
+
+    def _cut(self, text: str, took: str) -> list[str]:
+        """Chunks of a text: its words, where each space is a place to cut (known words are such)."""
+        if not took:
+            return []
+        if not self.cuttable:
+            return [took]
+        if self.spec.dummy_prefix:
+            words = text.split(" ")
+            known = self.known
+            if all(w and not w[0].isspace() and not w[-1].isspace() for w in words if w not in known):
+                return words
+        return chunks(took)
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text."""
         took = [self.whole(t or "") for t in texts]
-        cut = [chunks(t) if self.cuttable and t else [t] if t else [] for t in took]
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        wanted = dict.fromkeys(chain.from_iterable(cut))
-        self.known.update((c, self.old[c]) for c in wanted if c not in self.known and c in self.old)
+        cut = [self._cut(t or "", w) for t, w in zip(texts, took, strict=True)]
+        wanted = dict.fromkeys(c for c in chain.from_iterable(cut) if c not in self.known)
+        self.known.update((c, self.old[c]) for c in wanted if c in self.old)
         self._learn([c for c in wanted if c not in self.known])
         ids = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]
         if not self.cuttable:
