@@ -177,12 +177,12 @@ def resolve_overrides(overrides: DataFrame, facilities: DataFrame, tolerance: fl
 
 
 def display_alias(facilities: DataFrame, aliases: DataFrame, tolerance: float = 0.0005) -> DataFrame:
-    """facilities (id, name, lat, lon, ...) plus display_alias, from aliases (name, lat, lon, alias) that name exactly one facility."""
-    hit = aliases.select(F.col("name").alias("a_name"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "alias").join(
-        facilities.select("id", "name", "lat", "lon"), (F.col("a_name") == F.col("name")) & (F.abs(F.col("a_lat") - F.col("lat")) < tolerance) & (F.abs(F.col("a_lon") - F.col("lon")) < tolerance)
-    )
-    only = hit.groupBy("a_name", "a_lat", "a_lon", "alias").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return facilities.join(only.groupBy("id").agg(F.min("alias").alias("display_alias")), "id", "left")
+    """facilities (id, name, lat, lon, ...) plus display_alias. aliases (position, name, lat, lon, alias):
+    each goes to the smallest id of its name at its place; of several for one facility the last one holds."""
+    a = aliases.select("position", F.col("name").alias("a_name"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "alias")
+    near = (F.col("a_name") == F.col("name")) & (F.abs(F.col("a_lat") - F.col("lat")) < tolerance) & (F.abs(F.col("a_lon") - F.col("lon")) < tolerance)
+    hit = a.join(facilities.select("id", "name", "lat", "lon"), near).groupBy("position", "alias").agg(F.min("id").alias("id"))
+    return facilities.join(hit.groupBy("id").agg(F.max_by("alias", F.struct("position", "alias")).alias("display_alias")), "id", "left")
 
 
 def group_override(facilities: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -1,21 +1,29 @@
 """Free-gap suggestions and constrained weekly plans.
 
 A plan is a set of sessions (all locked ones and some optional ones) with a school. Sets are
-bit masks; filters give the first reason that applies; days are routed over a travel table with
-lag(); the score is a weighted mean of five shares. The tables of sessions and schools are small by
-contract (16 and 5 at most), which bounds the plans to 25 000; those limits are checked.
+bit masks; filters give the first reason that applies; days, with the runs to and from school, are
+routed over a travel table with lag(); the score is a weighted mean of up to five shares. The tables
+of sessions and schools are small by contract (16 and 5 at most), which bounds the plans to 25 000;
+those limits are checked.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isfinite
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.rounding import rounded
+from rosterlake.sources.staging import stored
 
 MOST_SESSIONS, MOST_SCHOOLS, MOST_PLANS = 16, 5, 25_000
+#: Places and schools that stand for home and for none.
+HOME, NO_SCHOOL = -1, -1
+#: Runs to and from school: (brought, fetched).
+MODES = {"both": (True, True), "drop-off": (True, False), "pick-up": (False, True), "other": (False, False)}
+SCHOOL_REASONS = ("level", "budget unknown", "over budget", "too far")
 
 
 @dataclass(frozen=True)
@@ -32,12 +40,23 @@ class Limits:
     school_km: float = 20.0
     budget: float | None = None
     weights: tuple[float, float, float, float, float] = (40, 40, 20, 0, 0)
+    mode: str = "both"
+    service: int = 10
+    prefers_curriculum: bool = False
 
     def __post_init__(self) -> None:
-        if min(self.weights) < 0 or not sum(self.weights):
-            raise ValueError("weights must not be negative, nor all zero")
-        if not 0 <= self.earliest < self.latest <= 1440:
+        if not all(isfinite(w) and w >= 0 for w in self.weights) or not sum(self.weights):
+            raise ValueError("weights must be finite, not negative, nor all zero")
+        if not 0 <= self.earliest < self.latest <= 1439:
             raise ValueError("a day begins before it ends")
+        if not 1 <= self.sessions <= 8 or not 1 <= self.days <= 7 or self.hours <= 0:
+            raise ValueError("1 to 8 sessions on 1 to 7 days, and some hours")
+        if not 0 <= self.buffer <= 120 or not 0 <= self.service <= 60 or self.leg_minutes <= 0 or self.school_km <= 0:
+            raise ValueError("buffer, school service, longest leg or distance out of range")
+        if self.budget is not None and not (isfinite(self.budget) and self.budget >= 0):
+            raise ValueError("a budget is finite and not negative")
+        if self.mode not in MODES:
+            raise ValueError(f"mode is one of {', '.join(MODES)}")
 
 
 def free_gaps(sessions: DataFrame, facilities: DataFrame, minutes: int = 240, limit: int = 16, days: int = 6) -> DataFrame:
@@ -66,86 +85,170 @@ def school_costs(schools: DataFrame) -> DataFrame:
 
 
 def masks(sessions: DataFrame, count: int) -> DataFrame:
-    """mask: every choice of count optional sessions joined with all locked ones.
+    """mask: every choice of optional sessions that makes up count with all locked ones.
 
-    sessions: slot (0 upward), locked.
+    sessions: slot (0 upward, unique), locked.
     """
     rows = sessions.select("slot", "locked").collect()
-    if len(rows) > MOST_SESSIONS:
-        raise ValueError(f"at most {MOST_SESSIONS} sessions")
+    if len(rows) > MOST_SESSIONS or len({r["slot"] for r in rows}) < len(rows):
+        raise ValueError(f"at most {MOST_SESSIONS} sessions, each slot once")
     locked = sum(1 << r["slot"] for r in rows if r["locked"])
     every = sum(1 << r["slot"] for r in rows)
-    free = max(0, count - bin(locked).count("1"))
+    if not bin(locked).count("1") <= count <= len(rows):
+        raise ValueError("the number of sessions takes in all locked ones and no more than there are")
     spark = sessions.sparkSession
     all_ = spark.range(every + 1).select(F.col("id").alias("mask"))
     inside = (F.col("mask").bitwiseAND(F.lit(every)) == F.col("mask")) & (F.col("mask").bitwiseAND(F.lit(locked)) == locked)
-    return all_.filter(inside & (F.bit_count(F.col("mask")) == bin(locked).count("1") + free))
+    return all_.filter(inside & (F.bit_count(F.col("mask")) == count))
+
+
+def _taken(plans: DataFrame, sessions: DataFrame) -> DataFrame:
+    """plans by the sessions in their mask."""
+    return plans.join(F.broadcast(sessions), F.expr("shiftright(mask, cast(slot AS int)) & 1 = 1"))
+
+
+def _keys(plans: DataFrame) -> list[str]:
+    return [c for c in ("mask", "school") if c in plans.columns]
+
+
+def week_events(plans: DataFrame, sessions: DataFrame, schools: DataFrame | None, limits: Limits) -> DataFrame:
+    """The plans' keys with day, start, end, place, practice, seq: sessions, and the runs to and from school.
+
+    Schools with place, days (array), start and end give runs as limits.mode says; others give none.
+    """
+    chosen = plans.select(*_keys(plans)).distinct()
+    practice = _taken(chosen, sessions).select(
+        *_keys(plans), F.col("day").cast("int").alias("day"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+        F.col("facility").cast("long").alias("place"), F.lit(True).alias("practice"), F.col("slot").cast("long").alias("seq"),
+    )
+    if schools is None or "place" not in schools.columns:
+        return practice
+    brought, fetched = MODES[limits.mode]
+    run = lambda start, end, seq: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(seq).cast("long").alias("seq"))
+    wanted = [run(F.col("start") - limits.service, F.col("start"), MOST_SESSIONS)] * brought + [run(F.col("end"), F.col("end") + limits.service, MOST_SESSIONS + 1)] * fetched
+    if not wanted:
+        return practice
+    runs = schools.withColumn("run", F.explode(F.array(*wanted))).withColumn("day", F.explode("days"))
+    runs = runs.select("school", F.col("day").cast("int").alias("day"), "run.start", "run.end", F.col("place").cast("long").alias("place"), F.lit(False).alias("practice"), "run.seq")
+    return practice.unionByName(chosen.join(F.broadcast(runs), "school"))
 
 
 def enumerate_plans(sessions: DataFrame, schools: DataFrame, limits: Limits) -> DataFrame:
-    """mask, school, reason: the first rule a plan breaks, or null.
+    """mask, school, reason: the first rule a plan breaks, or null; with no school at all, plans of NO_SCHOOL.
 
-    sessions: slot, facility, day, start, end, locked, priority. schools: school, level_ok, km,
-    first_year (null: unknown), curriculum_ok.
+    sessions: slot, facility, day, start, end, locked, priority, optionally id (text) for the order of
+    ties. schools: school, level_ok, km (see school_distances), first_year (null: unknown), curriculum_ok
+    (null: unknown), optionally place, days, start, end (see week_events).
     """
-    if schools.count() > MOST_SCHOOLS:
+    n_schools = schools.count()
+    if n_schools > MOST_SCHOOLS:
         raise ValueError(f"at most {MOST_SCHOOLS} schools")
+    if not n_schools:
+        none = schools.sparkSession.range(1).select(F.lit(NO_SCHOOL).cast("long").alias("school"), F.lit(True).alias("level_ok"))
+        schools = schools.withColumn("school", F.col("school").cast("long")).unionByName(none, allowMissingColumns=True)
     chosen = masks(sessions, limits.sessions)
-    if chosen.count() * schools.count() > MOST_PLANS:
+    if chosen.count() * max(n_schools, 1) > MOST_PLANS:
         raise ValueError(f"more than {MOST_PLANS} plans")
-    taken = chosen.join(F.broadcast(sessions), F.expr("shiftright(mask, cast(slot AS int)) & 1 = 1"))
-    after = F.lead("start").over(Window.partitionBy("mask", "day").orderBy("start", "end"))
-    facts = taken.withColumn("clash", F.col("end") > after).groupBy("mask").agg(
-        F.countDistinct("day").alias("days"), (F.sum(F.col("end") - F.col("start")) / F.lit(60.0)).alias("hours"), F.coalesce(F.bool_or("clash"), F.lit(False)).alias("overlap"),
-        (F.sum((F.col("end") - F.col("start")) * F.col("priority")) / F.sum(F.col("end") - F.col("start")) / F.lit(5.0)).alias("priority"),
+    length = F.col("end") - F.col("start")
+    named = F.struct((~F.col("locked")).alias("free"), "slot", (F.col("id") if "id" in sessions.columns else F.col("slot")).cast("string").alias("id"))
+    facts = _taken(chosen, sessions).groupBy("mask").agg(
+        F.countDistinct("day").alias("n_days"), (F.sum(length) / F.lit(60.0)).alias("hours"), (F.sum(length * F.col("priority")) / F.sum(length) / F.lit(5.0)).alias("priority"),
+        F.transform(F.array_sort(F.collect_list(named)), lambda s: s["id"]).alias("slots"),
     )
     plans = facts.crossJoin(F.broadcast(schools))
-    budget = F.lit(limits.budget)
+    after = F.lead("start").over(Window.partitionBy("mask", "school", "day").orderBy("start", "end", "seq"))
+    clash = week_events(plans, sessions, schools, limits).withColumn("clash", F.col("end") > after).filter("clash").select("mask", "school", "clash").distinct()
+    asks_cost = F.lit(limits.budget is not None) & (F.col("school") != NO_SCHOOL)
     reason = (
-        F.when(~F.col("level_ok"), "level").when(budget.isNotNull() & F.col("first_year").isNull(), "budget unknown").when(budget.isNotNull() & (F.col("first_year") > budget), "over budget")
-        .when(F.col("km") > limits.school_km, "too far").when(F.col("days") > limits.days, "days").when(F.col("hours") > limits.hours, "hours").when(F.col("overlap"), "overlap")
+        F.when(~F.col("level_ok"), "level").when(asks_cost & F.col("first_year").isNull(), "budget unknown").when(asks_cost & (F.col("first_year") > F.lit(limits.budget)), "over budget")
+        .when(F.col("km") > limits.school_km, "too far").when((F.col("n_days") > limits.days) | (F.col("hours") > limits.hours), "days or hours").when(F.col("clash"), "overlap")
     )
-    return plans.withColumn("reason", reason)
+    return plans.join(clash, ["mask", "school"], "left").withColumn("reason", reason).drop("clash")
 
 
 def rejections(plans: DataFrame) -> DataFrame:
-    return plans.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    """How many plans each reason refuses; a reason that refuses a school as such counts once a school."""
+    by_school = F.coalesce(F.col("reason"), F.lit("")).isin(*SCHOOL_REASONS)
+    return plans.select(F.coalesce("reason", F.lit("kept")).alias("reason"), "school", F.when(~by_school, F.col("mask")).alias("mask")).distinct().groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def commute(plans: DataFrame, sessions: DataFrame, travel: DataFrame, limits: Limits) -> DataFrame:
-    """mask, minutes: each day from home (place -1) by its sessions in order and back.
+def same_points(travel: DataFrame, places: DataFrame) -> DataFrame:
+    """travel with nothing to go between places of equal coordinates. places: place, lat, lon."""
+    a, b = places.select(F.col("place").alias("origin"), "lat", "lon"), places.select(F.col("place").alias("destination"), "lat", "lon")
+    still = a.join(b, ["lat", "lon"]).select("origin", "destination", F.lit(True).alias("still"))
+    zero = [F.when(F.col("still"), F.lit(0)).otherwise(F.col(c)).cast(travel.schema[c].dataType).alias(c) for c in travel.columns if c not in ("origin", "destination")]
+    return travel.join(still, ["origin", "destination"], "full").select("origin", "destination", *zero)
 
-    travel: origin, destination, minutes. A leg without a row, a leg above the cap, a late arrival or
-    a day outside the limits drops the plan: travel times are never made up.
+
+def school_distances(schools: DataFrame, travel: DataFrame) -> DataFrame:
+    """schools with km, the way from home to their place; null where travel has none."""
+    way = travel.filter(F.col("origin") == HOME).select(F.col("destination").alias("place"), "km")
+    return schools.drop("km").join(way, "place", "left")
+
+
+def commute(plans: DataFrame, sessions: DataFrame, travel: DataFrame, limits: Limits, schools: DataFrame | None = None) -> DataFrame:
+    """The plans' keys and minutes: each day from home by its events in order and back.
+
+    On days with runs to school only, each run is a way of its own, and the next one starts no earlier
+    than the return from the last. travel: origin, destination, minutes. A leg without a row, a leg above
+    the cap, a late arrival or a day outside the limits drops the plan: travel times are never made up.
     """
-    taken = plans.select("mask").distinct().join(F.broadcast(sessions), F.expr("shiftright(mask, cast(slot AS int)) & 1 = 1"))
-    day = Window.partitionBy("mask", "day").orderBy("start", "end", "slot")
-    legs = taken.withColumns({"origin": F.coalesce(F.lag("facility").over(day), F.lit(-1).cast("long")), "left_at": F.lag("end").over(day), "last": F.lead("slot").over(day).isNull()})
-    there = legs.select("mask", "day", "origin", F.col("facility").alias("destination"), "left_at", F.col("start").alias("due"))
-    home = legs.filter("last").select("mask", "day", F.col("facility").alias("origin"), F.lit(-1).cast("long").alias("destination"), F.col("end").alias("left_at"), F.lit(None).cast("int").alias("due"))
-    asked = there.unionByName(home).join(travel, ["origin", "destination"], "left")
-    first = F.col("left_at").isNull()
-    ok = F.col("minutes").isNotNull() & (F.col("minutes") <= limits.leg_minutes) & F.when(
-        first, F.col("due") - limits.buffer - F.col("minutes") >= limits.earliest
-    ).when(F.col("due").isNotNull(), F.col("left_at") + F.col("minutes") <= F.col("due") - limits.buffer).otherwise(F.col("left_at") + F.col("minutes") <= limits.latest)
-    return asked.groupBy("mask").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"), F.sum("minutes").alias("minutes")).filter("ok").drop("ok")
-
-
-def rank_plans(plans: DataFrame, minutes: DataFrame, limits: Limits, best: int = 5) -> DataFrame:
-    """The best plan of each school first, then the next ones, at most best; final order by score."""
-    w = [x / sum(limits.weights) for x in limits.weights]
-    rows = plans.filter("reason IS NULL").join(minutes, "mask")
-    over = Window.partitionBy()
-    most = lambda c: F.max(c).over(over)
-    share = lambda c: F.when(most(c) > 0, 1 - F.col(c) / most(c)).otherwise(1.0)
-    cost = F.when(F.col("first_year").isNull(), F.lit(None).cast("double")).otherwise(share("first_year")) if limits.weights[3] else F.lit(0.0)
-    score = rounded(100 * (w[0] * share("minutes") + w[1] * F.col("priority") + w[2] * F.least(F.col("hours") / limits.hours, F.lit(1.0)) + w[3] * cost + w[4] * F.col("curriculum_ok").cast("double")), 2)
-    scored = rows.withColumn("score", score)
-    order = [F.desc_nulls_last("score"), F.col("minutes"), F.col("mask"), F.col("school")]
-    turn = scored.withColumn("turn", F.row_number().over(Window.partitionBy("school").orderBy(*order)))
-    return turn.orderBy((F.col("turn") > 1), *order).limit(best).select("mask", "school", "minutes", "hours", "score").orderBy(*order)
+    keys, order = _keys(plans), ("start", "end", "seq")
+    events = week_events(plans, sessions, schools, limits)
+    day = Window.partitionBy(*keys, "day")
+    tours = events.withColumn("tour", F.when(F.bool_or("practice").over(day), 0).otherwise(F.row_number().over(day.orderBy(*order))))
+    on = Window.partitionBy(*keys, "day", "tour").orderBy(*order)
+    home = F.lit(HOME).cast("long")
+    steps = tours.withColumns({"origin": F.coalesce(F.lag("place").over(on), home), "left_at": F.lag("end").over(on), "last": F.lead("seq").over(on).isNull()})
+    there = steps.select(*keys, "day", "tour", "origin", F.col("place").alias("destination"), "left_at", F.col("start").alias("due"))
+    back = steps.filter("last").select(*keys, "day", "tour", F.col("place").alias("origin"), home.alias("destination"), F.col("end").alias("left_at"), F.lit(None).cast("int").alias("due"))
+    known = travel.select("origin", "destination", F.col("minutes").alias("told"))
+    legs = there.unionByName(back).join(known, ["origin", "destination"], "left").withColumn("minutes", F.when(F.col("origin") == F.col("destination"), 0).otherwise(F.col("told")))
+    leaves, returns = F.col("due") - limits.buffer - F.col("minutes"), F.col("left_at") + F.col("minutes")
+    first, last = F.col("left_at").isNull(), F.col("due").isNull()
+    in_time = F.when(first, leaves >= limits.earliest).when(last, returns <= limits.latest).otherwise(returns <= F.col("due") - limits.buffer)
+    ok = F.coalesce((F.col("minutes") <= limits.leg_minutes) & in_time, F.lit(False))
+    ways = legs.groupBy(*keys, "day", "tour").agg(F.bool_and(ok).alias("ok"), F.sum("minutes").alias("minutes"), F.max(F.when(first, leaves)).alias("out_at"), F.max(F.when(last, returns)).alias("back_at"))
+    rested = F.coalesce(F.col("out_at") >= F.lag("back_at").over(day.orderBy("tour")), F.lit(True))
+    return ways.withColumn("ok", F.col("ok") & rested).groupBy(*keys).agg(F.bool_and("ok").alias("ok"), F.sum("minutes").alias("minutes")).filter("ok").drop("ok")
+
+
+def routed(plans: DataFrame, sessions: DataFrame, schools: DataFrame, travel: DataFrame, limits: Limits) -> DataFrame:
+    """plans with minutes, and extra, the minutes that the school adds to the same sessions.
+
+    Plans that no rule refused so far get the reasons travel (the week cannot be driven) and baseline
+    (nor could its sessions alone).
+    """
+    plans = stored(plans)  # read four times below
+    still = plans.filter("reason IS NULL")
+    week = commute(still, sessions, travel, limits, schools)
+    alone = commute(still.select("mask"), sessions, travel, limits).withColumnRenamed("minutes", "baseline")
+    found = plans.join(week, ["mask", "school"], "left").join(alone, "mask", "left")
+    told = found.withColumn("reason", F.coalesce("reason", F.when(F.col("minutes").isNull(), "travel").when(F.col("baseline").isNull(), "baseline")))
+    kept = F.col("reason").isNull()
+    return told.withColumns({"extra": F.when(kept, F.col("minutes") - F.col("baseline")), "minutes": F.when(kept, F.col("minutes"))}).drop("baseline")
+
 
+def rank_plans(plans: DataFrame, limits: Limits, best: int = 5) -> DataFrame:
+    """The best plan of each school first, then the next ones, at most best; final order by score.
 
-def extra_minutes(with_school: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Minutes a school adds to the same sessions."""
-    return with_school.select("mask", F.col("minutes").alias("m")).join(baseline, "mask").select("mask", (F.col("m") - F.col("minutes")).alias("extra"))
+    plans: as routed() gives them. A plan whose school lacks what a weight asks for has no score, and a
+    note says so; ties go by minutes, then the sessions' ids as text, then the school.
+    """
+    rows = plans.filter("reason IS NULL")
+    over = Window.partitionBy()  # 25 000 rows at most
+    share = lambda c: F.coalesce(F.when(F.max(c).over(over) > 0, 1 - F.col(c) / F.max(c).over(over)), F.lit(1.0))
+    w, schooled = limits.weights, F.col("school") != NO_SCHOOL
+    likes = schooled & F.lit(limits.prefers_curriculum)
+    unranked = (schooled & F.lit(w[3] > 0) & F.col("first_year").isNull()) | (likes & F.lit(w[4] > 0) & F.col("curriculum_ok").isNull())
+    cost = F.when(F.col("first_year").isNull(), F.lit(0.0)).otherwise(share("first_year"))
+    parts = F.lit(w[0]) * share("minutes") + F.lit(w[1]) * F.col("priority") + F.lit(w[2]) * F.least(F.col("hours") / limits.hours, F.lit(1.0))
+    parts = parts + F.when(schooled, w[3] * cost).otherwise(0.0) + F.when(likes, w[4] * F.coalesce(F.col("curriculum_ok"), F.lit(False)).cast("double")).otherwise(0.0)
+    total = F.lit(float(sum(w[:3]))) + F.when(schooled, float(w[3])).otherwise(0.0) + F.when(likes, float(w[4])).otherwise(0.0)
+    score = F.when(~unranked & (total > 0), rounded(100 * parts / total, 2))
+    notes = F.array_compact(F.array(F.when(schooled & F.col("first_year").isNull(), "first-year cost unknown"), F.when(unranked, "not ranked: school data missing")))
+    scored = rows.withColumns({"score": score, "notes": notes})
+    order = [F.desc_nulls_last("score"), F.col("minutes"), F.col("slots"), F.col("school")]
+    turn = scored.withColumn("turn", F.row_number().over(Window.partitionBy("school").orderBy(*order)))
+    later = F.col("turn") > 1
+    return turn.orderBy(later, *order).limit(best).orderBy(order[0], order[1], later, *order[2:]).select("mask", "school", "minutes", "extra", "hours", "score", "notes")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import geo
 from rosterlake.functions import text as tx
 from rosterlake.functions.rounding import rounded
-from rosterlake.operators import classify, geo_supply, matching, planning, scoring
+from rosterlake.operators import classify, geo_supply, matching, planning, registry, scoring
 from rosterlake.plans import supply
 from rosterlake.sources.staging import stored
 from rosterlake.plans.views import facility, person_link, read, roster, session, sql
@@ -171,32 +171,87 @@ def p08_free_gaps(spark, d):
     return planning.free_gaps(s, spots, minutes=120)
 
 
-def _plan_tables(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _plan_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ten sessions of a made-up week, a school in every region, and the ways between all places."""
+    k = F.col("id")
     sessions = spark.range(10).select(
-        F.col("id").alias("slot"), (F.col("id") % 4).alias("facility"), (F.col("id") % 5).cast("int").alias("day"), (480 + 90 * (F.col("id") % 3)).cast("int").alias("start"),
-        (660 + 90 * (F.col("id") % 3)).cast("int").alias("end"), (F.col("id") == 0).alias("locked"), (1 + F.col("id") % 5).cast("int").alias("priority"),
+        k.alias("slot"), (k % 4).alias("facility"), (k % 5).cast("int").alias("day"), (540 + 90 * (k % 3)).cast("int").alias("start"),
+        (660 + 90 * (k % 3)).cast("int").alias("end"), (k == 0).alias("locked"), (1 + k % 5).cast("int").alias("priority"),
     )
-    schools = spark.range(4).select(
-        F.col("id").alias("school"), (F.col("id") != 3).alias("level_ok"), (F.col("id") * 8).cast("double").alias("km"),
-        F.when(F.col("id") != 1, 1000.0 * (1 + F.col("id"))).alias("first_year"), (F.col("id") % 2 == 0).alias("curriculum_ok"),
+    r = F.col("r_regionkey").cast("long")
+    schools = read(spark, d, "region").select(
+        r.alias("school"), (10 + r).alias("place"), (r != 3).alias("level_ok"), F.when(r != 1, 1000.0 * (1 + r % 4)).alias("first_year"), (r % 2 == 0).alias("curriculum_ok"),
+        F.when(r == 2, F.array(F.lit(5), F.lit(6))).otherwise(F.array(F.lit(0), F.lit(6))).alias("days"), F.lit(470).alias("start"), F.lit(900).alias("end"),
     )
-    place = spark.range(-1, 4).select(F.col("id").alias("p"))
-    travel = place.join(place.withColumnRenamed("p", "q")).select(F.col("p").alias("origin"), F.col("q").alias("destination"), F.when(F.col("p") == F.col("q"), 0).otherwise(15 + F.pmod(F.col("p") * 7 + F.col("q") * 11, F.lit(60))).cast("int").alias("minutes"))
-    return sessions, schools, travel
+    place = spark.range(-1, 4).select(k.alias("p")).union(schools.select("place"))
+    p, q = F.col("origin"), F.col("destination")
+    travel = place.select(F.col("p").alias("origin")).crossJoin(place.select(F.col("p").alias("destination"))).filter(p != q)
+    travel = travel.select(p, q, (15 + F.pmod(p * 7 + q * 11, F.lit(45))).cast("int").alias("minutes"), ((q - 10) * 4.0 + F.when(q == 14, 10).otherwise(0)).alias("km"))
+    return sessions, planning.school_distances(schools, travel), travel
+
+
+_LIMITS = planning.Limits(sessions=3, days=3, hours=10.0, budget=3500.0, school_km=20.0, weights=(40, 30, 10, 10, 10), prefers_curriculum=True)
 
 
-_LIMITS = planning.Limits(sessions=3, days=3, hours=10.0, budget=3500.0, school_km=20.0)
+def _routed(spark, d) -> DataFrame:
+    s, schools, travel = _plan_tables(spark, d)
+    return planning.routed(planning.enumerate_plans(s, schools, _LIMITS), s, schools, travel, _LIMITS)
 
 
 def p02_plan_rejections(spark, d):
-    s, schools, _ = _plan_tables(spark)
-    return planning.rejections(planning.enumerate_plans(s, schools, _LIMITS))
+    return planning.rejections(_routed(spark, d))
 
 
 def p06_ranked_plans(spark, d):
-    s, schools, travel = _plan_tables(spark)
-    plans = planning.enumerate_plans(s, schools, _LIMITS)
-    return planning.rank_plans(plans, planning.commute(plans.filter("reason IS NULL"), s, travel, _LIMITS), _LIMITS)
+    return planning.rank_plans(_routed(spark, d), _LIMITS).withColumn("notes", F.array_join("notes", "|"))
+
+
+def p09_school_minutes(spark, d):
+    return _routed(spark, d).filter("reason IS NULL").select("mask", "school", "minutes", "extra")
+
+
+def _registry_tables(spark, d) -> tuple[DataFrame, ...]:
+    f, k = facility(spark, d), F.col("id")
+    kind = F.get(F.array(*[F.lit(x) for x in ("private", "government", "religious")]), (k % 3).cast("int"))
+    mapped = f.filter("id % 5 <> 0").select(
+        "id", "name", kind.alias("kind"), F.when(k % 4 == 0, "Jl. A 1").alias("full"), F.when(k % 4 == 1, "Jl. B").alias("street"), F.lit("7").alias("number"), "city",
+        F.when(k % 13 != 0, F.col("lat")).alias("lat"), "lon", F.when(k % 2 == 1, F.array(F.lower("name"))).alias("aliases"),
+    )
+    curated = f.filter("id % 5 = 0").select("id", "name", F.when(k % 2 == 0, "0001").otherwise("other").alias("grp"), "ownership", F.col("city").alias("address"), "city", "lat", "lon", F.lit("website").alias("geocode_source"), F.lit("high").alias("geocode_confidence"))
+    groups = f.filter("id % 31 = 4").select("name", F.concat(F.lit("group "), k).alias("grp"))
+    point = lambda name, by: F.struct(F.col("name"), (F.col("lat") + by).alias("lat"), F.col("lon")).alias(name)
+    duplicates = f.filter("id % 17 = 3").select(k.alias("key"), point("source", 0.0001)).join(f.select((k + 1).alias("key"), point("target", 0.0)), "key")
+    aliases = f.filter("id % 19 = 4").select(k.alias("position"), "name", "lat", (F.col("lon") + F.when(k % 2 == 0, 0.001).otherwise(0.0001)).alias("lon"), F.concat(F.lit("Known as "), k).alias("alias"))
+    return mapped, curated, groups, duplicates, aliases
+
+
+def o01_registry(spark, d):
+    mapped, curated, groups, duplicates, aliases = _registry_tables(spark, d)
+    return registry.registry(mapped, curated, ["0001", "00002"], groups, duplicates, aliases)
+
+
+def b03_reload(spark, d):
+    mapped, curated, groups, *_ = _registry_tables(spark, d)
+    old = registry.map_rows(mapped, ["0001"], groups).unionByName(registry.curated_rows(curated, ["0001"]))
+    news = registry.map_rows(mapped.filter("id % 2 = 0").withColumn("city", F.lit("moved")), ["0001"], groups)
+    told = registry.curated_rows(curated.filter("id % 3 = 0").withColumn("city", F.lit("moved")), ["0001"])
+    return registry.curated_reload(registry.map_reload(old, news), told).select("id", "tier", "city", "geocode_source")
+
+
+def b06_upsert(spark, d):
+    f = facility(spark, d)
+    old = f.select("id", F.col("name").alias("value"), F.lit("old").alias("run"))
+    return registry.upsert(old, f.filter("id % 3 = 0").select((F.col("id") * 2).alias("id"), F.col("city").alias("value"), F.lit("new").alias("run")), ["id"])
+
+
+def d11_display_alias(spark, d):
+    *_, aliases = _registry_tables(spark, d)
+    return matching.display_alias(facility(spark, d), aliases).select("id", "display_alias")
+
+
+def d12_group_override(spark, d):
+    _, _, groups, *_ = _registry_tables(spark, d)
+    return matching.group_override(facility(spark, d), groups).select("id", "grp")
 
 
 def m14_school_costs(spark, d):
@@ -249,7 +304,7 @@ def b11_signature(spark, d):
     return f
 
 
-QUERIES = {f.__name__: f for f in (d06_radius_join, e11_neighbourhood, g03_neighbours, e14_shared_coordinates, e15_confidence_histogram, e16_spatial_audit, c04_in_region, c13_point_lookup, g06_nearest, c12_groups, c11_ownership, c15_address, c06_facility_only, c07_in_region_hints, d05_person_overlap, d07_fuzzy_match, d08_cascade, d09_greedy_dedup, d10_overrides, d13_practitioner_details, e23_scales, m12_classes, p08_free_gaps, p02_plan_rejections, p06_ranked_plans, m14_school_costs, e18_load_summary, e19_registry_counters, e21_map_centre, e22_latest, g08_options, a02_osm_elements, a06_override_table, b11_signature)}
+QUERIES = {f.__name__: f for f in (d06_radius_join, e11_neighbourhood, g03_neighbours, e14_shared_coordinates, e15_confidence_histogram, e16_spatial_audit, c04_in_region, c13_point_lookup, g06_nearest, c12_groups, c11_ownership, c15_address, c06_facility_only, c07_in_region_hints, d05_person_overlap, d07_fuzzy_match, d08_cascade, d09_greedy_dedup, d10_overrides, d13_practitioner_details, e23_scales, m12_classes, p08_free_gaps, p02_plan_rejections, p06_ranked_plans, p09_school_minutes, o01_registry, b03_reload, b06_upsert, d11_display_alias, d12_group_override, m14_school_costs, e18_load_summary, e19_registry_counters, e21_map_centre, e22_latest, g08_options, a02_osm_elements, a06_override_table, b11_signature)}
 
 _D = "2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 _PAIRS = f"pairs AS (SELECT * FROM (SELECT a.id AS anchor, b.id, {_D} AS distance FROM facility a JOIN facility b ON a.id % 10 = 3 AND a.id <> b.id) WHERE distance <= 10)"
@@ -262,6 +317,31 @@ _LONG = f"""{supply._LABELLED}, v AS (SELECT facility, status, quality, 'practit
    CASE WHEN metric = 'practitioners' THEN 3 ELSE quantile_cont(value, 1.0::DOUBLE / 3) END AS lower, CASE WHEN metric = 'practitioners' THEN 5 ELSE quantile_cont(value, 2.0::DOUBLE / 3) END AS upper FROM part_ GROUP BY 1)"""
 _R6 = "round_even({}, 6)"
 
+#: The planner's rules over the same week, as plain SQL: v is 1 with the school and 0 without.
+_PLANS = """ses AS (SELECT id AS slot, id % 4 AS facility, (id % 5)::INTEGER AS day, 540 + 90 * (id % 3) AS start, 660 + 90 * (id % 3) AS fin, id = 0 AS locked, 1 + id % 5 AS priority FROM range(10) r(id)),
+ sch AS (SELECT r_regionkey::BIGINT AS school, 10 + r_regionkey AS place, r_regionkey <> 3 AS level_ok, r_regionkey * 4.0::DOUBLE + CASE WHEN r_regionkey = 4 THEN 10 ELSE 0 END AS km, CASE WHEN r_regionkey <> 1 THEN 1000.0::DOUBLE * (1 + r_regionkey % 4) END AS first_year,
+   r_regionkey % 2 = 0 AS curriculum_ok, CASE WHEN r_regionkey = 2 THEN [5, 6] ELSE [0, 6] END AS days FROM region),
+ pl AS (SELECT m AS mask FROM range(1024) r(m) WHERE bit_count(m) = 3 AND m & 1 = 1),
+ tk AS (SELECT mask, ses.* FROM pl JOIN ses ON (mask >> slot) & 1 = 1),
+ facts AS (SELECT mask, count(DISTINCT day) AS n_days, sum(fin - start) / 60.0::DOUBLE AS hours, sum((fin - start) * priority)::DOUBLE / sum(fin - start) / 5 AS priority, list(slot::VARCHAR ORDER BY NOT locked, slot) AS slots FROM tk GROUP BY 1),
+ runs AS (SELECT school, place, unnest(days) AS day, 460 AS start, 470 AS fin, 16 AS seq FROM sch UNION ALL SELECT school, place, unnest(days), 900, 910, 17 FROM sch),
+ ev AS (SELECT v, mask, school, day, start, fin, facility AS place, true AS practice, slot AS seq FROM tk, sch, range(2) x(v) UNION ALL SELECT 1, mask, school, day, start, fin, place, false, seq FROM pl, runs),
+ clash AS (SELECT DISTINCT mask, school, true AS clash FROM (SELECT mask, school, fin > lead(start) OVER (PARTITION BY mask, school, day ORDER BY start, fin, seq) AS c FROM ev WHERE v = 1) WHERE c),
+ tours AS (SELECT *, CASE WHEN bool_or(practice) OVER (PARTITION BY v, mask, school, day) THEN 0 ELSE row_number() OVER (PARTITION BY v, mask, school, day ORDER BY start, fin, seq) END AS tour FROM ev),
+ steps AS (SELECT *, coalesce(lag(place) OVER w, -1) AS origin, lag(fin) OVER w AS left_at, lead(seq) OVER w IS NULL AS is_last FROM tours WINDOW w AS (PARTITION BY v, mask, school, day, tour ORDER BY start, fin, seq)),
+ legs AS (SELECT v, mask, school, day, tour, origin, place AS destination, left_at, start AS due FROM steps UNION ALL SELECT v, mask, school, day, tour, place, -1, fin, NULL FROM steps WHERE is_last),
+ timed AS (SELECT *, CASE WHEN origin = destination THEN 0 ELSE 15 + ((origin * 7 + destination * 11) % 45 + 45) % 45 END AS minutes FROM legs),
+ ways AS (SELECT v, mask, school, day, tour, sum(minutes) AS minutes, bool_and(minutes <= 120 AND CASE WHEN left_at IS NULL THEN due - 15 - minutes >= 360 WHEN due IS NULL THEN left_at + minutes <= 1320 ELSE left_at + minutes + 15 <= due END) AS ok,
+   max(CASE WHEN left_at IS NULL THEN due - 15 - minutes END) AS out_at, max(CASE WHEN due IS NULL THEN left_at + minutes END) AS back_at FROM timed GROUP BY 1, 2, 3, 4, 5),
+ weeks AS (SELECT v, mask, school, sum(minutes)::BIGINT AS minutes, bool_and(ok AND coalesce(out_at >= before, true)) AS ok FROM (SELECT *, lag(back_at) OVER (PARTITION BY v, mask, school, day ORDER BY tour) AS before FROM ways) GROUP BY 1, 2, 3),
+ plans AS (SELECT mask, school, hours, priority, slots, first_year, curriculum_ok, w.minutes, w.minutes - b.minutes AS extra, CASE WHEN NOT level_ok THEN 'level' WHEN first_year IS NULL THEN 'budget unknown' WHEN first_year > 3500 THEN 'over budget' WHEN km > 20 THEN 'too far'
+   WHEN n_days > 3 OR hours > 10 THEN 'days or hours' WHEN clash THEN 'overlap' WHEN NOT w.ok THEN 'travel' WHEN NOT b.ok THEN 'baseline' END AS reason
+   FROM facts CROSS JOIN sch JOIN (SELECT * FROM weeks WHERE v = 1) w USING (mask, school) JOIN (SELECT * FROM weeks WHERE v = 0) b USING (mask, school) LEFT JOIN clash USING (mask, school)),
+ ranked AS (SELECT *, round_even(100 * (40 * (1 - minutes / max(minutes) OVER ()) + 30 * priority + 10 * least(hours / 10, 1) + 10 * (1 - first_year / max(first_year) OVER ()) + 10 * curriculum_ok::INTEGER) / 100, 2) AS score FROM plans WHERE reason IS NULL),
+ turns AS (SELECT *, row_number() OVER (PARTITION BY school ORDER BY score DESC, minutes, slots) > 1 AS later FROM ranked)"""
+_KEYED = "regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')"
+_MAP_ROWS = """mapped AS (SELECT *, CASE WHEN id % 13 <> 0 THEN lat END AS lat_, id % 13 <> 0 AS placed FROM facility WHERE id % 5 <> 0)"""
+
 ORACLES = {
     "d06_radius_join": sql(f"SELECT km, anchor, id, {_R6.format('distance')} AS distance FROM (SELECT a.id AS anchor, b.id, {_D} AS distance FROM facility a JOIN facility b ON a.id % 10 = 3 AND a.id <> b.id), (VALUES (3.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) r(km) WHERE distance <= km"),
     "e11_neighbourhood": sql(f"""SELECT * FROM (WITH {_PAIRS}, {supply._METRICS}, near AS (SELECT p.anchor, p.id, m.status, m.weekly_hours FROM pairs p JOIN metrics m ON m.facility = p.id),
@@ -292,6 +372,22 @@ ORACLES = {
       c AS (SELECT id AS facility, d::INTEGER AS day, t::INTEGER AS start FROM spots, range(6) a(d), range(480, 1141, 120) b(t)),
       f AS (SELECT facility, day, min(start) AS start FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.facility = c.facility AND s.day = c.day AND (s.end_min IS NULL OR (c.start < s.end_min AND s.start_min < c.start + 120))) GROUP BY 1, 2)
       SELECT *, row_number() OVER (PARTITION BY facility ORDER BY day) AS turn FROM f ORDER BY turn, facility LIMIT 16)"""),
+    "p02_plan_rejections": f"WITH {_PLANS} SELECT coalesce(reason, 'kept') AS reason, CASE WHEN reason IN ('level', 'budget unknown', 'over budget', 'too far') THEN count(DISTINCT school) ELSE count(*) END AS n FROM plans GROUP BY reason",
+    "p06_ranked_plans": f"WITH {_PLANS} SELECT mask, school, minutes, extra, hours, score, '' AS notes FROM turns ORDER BY later, score DESC, minutes, slots, school LIMIT 5",
+    "p09_school_minutes": f"WITH {_PLANS} SELECT mask, school, minutes, extra FROM plans WHERE reason IS NULL",
+    "o01_registry": sql(f"""SELECT * FROM (WITH {_MAP_ROWS}, r AS (
+      SELECT id, name, CASE WHEN id % 2 = 1 THEN '["' || lower(name) || '"]' ELSE '[]' END AS aliases,
+        CASE WHEN id % 31 = 4 THEN 'group ' || id WHEN contains(name, '0001') THEN '0001' WHEN contains(name, '00002') THEN '00002' END AS grp, CASE id % 3 WHEN 0 THEN 'swasta' WHEN 1 THEN 'pemerintah' END AS ownership,
+        CASE id % 4 WHEN 0 THEN 'Jl. A 1' WHEN 1 THEN 'Jl. B 7' ELSE '7' END || ', ' || city AS address, city, lat_ AS lat, lon, CASE WHEN placed THEN 'osm_overpass' END AS geocode_source, CASE WHEN placed THEN 'medium' END AS geocode_confidence,
+        'official' AS tier, CASE WHEN placed THEN 'partial' ELSE 'unknown' END AS status FROM mapped
+      UNION ALL SELECT id, name, '[]', CASE WHEN id % 2 = 0 THEN '0001' ELSE 'other' END, ownership, city, city, lat, lon, 'website', 'high', 'manual', 'manual' FROM facility WHERE id % 5 = 0)
+      SELECT r.*, {_KEYED} AS name_key, CASE WHEN tier = 'manual' THEN grp = '0001' ELSE grp IS NOT NULL END AS preferred,
+        CASE WHEN id % 17 = 3 AND lat IS NOT NULL THEN (SELECT t.id FROM r t WHERE t.id = r.id - 1 AND t.lat IS NOT NULL) END AS duplicate_of, CASE WHEN id % 19 = 4 AND id % 2 = 1 AND lat IS NOT NULL THEN 'Known as ' || id END AS display_alias FROM r)"""),
+    "b03_reload": sql(f"""SELECT * FROM (WITH {_MAP_ROWS} SELECT id, 'official' AS tier, city, NULL AS geocode_source FROM mapped WHERE NOT placed
+      UNION ALL SELECT id, 'official', 'moved', CASE WHEN placed THEN 'osm_overpass' END FROM mapped WHERE id % 2 = 0 UNION ALL SELECT id, 'manual', 'moved', 'website' FROM facility WHERE id % 15 = 0)"""),
+    "b06_upsert": sql("SELECT id, name AS value, 'old' AS run FROM facility WHERE id % 6 <> 0 OR id / 2 NOT IN (SELECT id FROM facility) UNION ALL SELECT id * 2, city, 'new' FROM facility WHERE id % 3 = 0"),
+    "d11_display_alias": sql("SELECT id, CASE WHEN id % 19 = 4 AND id % 2 = 1 THEN 'Known as ' || id END AS display_alias FROM facility"),
+    "d12_group_override": sql("SELECT id, CASE WHEN id % 31 = 4 THEN 'group ' || id ELSE grp END AS grp FROM facility"),
     "m14_school_costs": "SELECT p_partkey AS id, p_retailprice + 12 * CASE WHEN p_partkey % 5 <> 0 THEN p_partkey::DOUBLE END + CASE WHEN p_partkey % 7 <> 0 THEN 250.0::DOUBLE END + 10.0::DOUBLE AS first_year, 12 * CASE WHEN p_partkey % 5 <> 0 THEN p_partkey::DOUBLE END + CASE WHEN p_partkey % 7 <> 0 THEN 250.0::DOUBLE END AS recurring FROM part",
     "e19_registry_counters": sql("SELECT count(*) AS total, count(lat) AS with_coords, count(*) FILTER (preferred) AS preferred, count(*) FILTER (ownership = 'swasta') AS private, count(*) FILTER (ownership = 'pemerintah') AS public, count(*) FILTER (ownership IS NULL) AS unknown FROM facility"),
     "e21_map_centre": sql(f"SELECT {_R6.format('avg(lat)')} AS lat, {_R6.format('avg(lon)')} AS lon FROM facility"),

@@ -19,6 +19,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def replace_tiers(rows: DataFrame, path: str) -> None:
+    """Registry rows into a table by tier and geocode source: the parts that rows has are replaced, others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "geocode_source").parquet(path)
+
+
 def merge_scores(old: DataFrame, new: DataFrame) -> DataFrame:
     """Scores by (facility, universe): new ones win, others stay."""
     keep = old.join(new.select("facility", "universe"), ["facility", "universe"], "left_anti")
