@@ -37,7 +37,7 @@ from rosterlake.llm._common import load, parts, ship
 
 MARK = "▁"
 #: Known chunks of a worker (two generations of so many), characters of a batch, threads of a batch call.
-CACHE, AT_ONCE, THREADS = 180_000, 600_000, 2
+CACHE, AT_ONCE, THREADS = 100_000, 600_000, 2
 #: Field numbers and enumerations of the model protobuf.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNIGRAM, BPE = 1, 2
