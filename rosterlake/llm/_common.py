@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _SHIPPED: set[str] = set()
+_HELD: list = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
@@ -92,3 +96,25 @@ def parts(b: pa.RecordBatch, column: int, bytes_at_once: int = 4_000_000) -> Ite
         hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + bytes_at_once, side="right")))
         yield b.slice(lo, hi - lo)
         lo = hi
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make()'s value, kept in a worker process for later tasks until another key is asked for.
+
+    Workers outlive a stage, so a model's caches would lie beside those of the next operator. Only one
+    value is kept, and the memory of the last one goes back to the system first.
+    """
+    if not _HELD or _HELD[0] != key:
+        release()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
+def release() -> None:
+    """Drop what held() keeps and give free memory back to the system, where its C library can."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.llm._common import held_out, load, parts, ship, words
+from rosterlake.llm._common import held, held_out, load, parts, ship, words
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 SLICE_BITS = 12
@@ -82,7 +82,6 @@ class Model:
     """labels, logits per bucket, temperature and the score below which a prediction is rejected."""
 
     def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
-        self.scorer = None
         self.labels, self.table, self.bias, self.temperature, self.threshold = labels, table, bias, temperature, threshold
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
@@ -197,9 +196,7 @@ def _scorer(model: Model | None):
     """The model's scorer in this worker process, so that later tasks find known words."""
     if model is None:
         return lambda texts: [("und", 0.0, False)] * len(texts)
-    if model.scorer is None:
-        model.scorer = _Scorer(model)
-    return model.scorer
+    return held(model, lambda: _Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:

@@ -23,7 +23,6 @@ is named by its smallest id that is not null (null where all are); an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._common import discard, load, parts, ship, stored, words
+from rosterlake.llm._common import discard, held, load, parts, ship, stored, words
 from rosterlake.llm.components import components
 
 HASHES, ROWS, B = 128, 4, 4
@@ -64,9 +63,8 @@ class _WordHashes(dict):
         return got
 
 
-@lru_cache(1)
 def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+    return held("word hashes", _WordHashes)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:

@@ -24,7 +24,6 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm._chunks import chunks
-from rosterlake.llm._common import load, parts, ship
+from rosterlake.llm._common import held, load, parts, ship
 
 MARK = "▁"
 #: Known chunks of a worker (two generations of so many), characters of a batch, threads of a batch call.
@@ -208,11 +207,10 @@ class Codec:
         return [self._bare(t) for t in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
 
 
-@lru_cache(2)
 def _codec(path: str, verify: bool) -> Codec:
     """One per worker process, so that later tasks find known chunks."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # each thread keeps memory of its own
-    return Codec(path, verify)
+    return held(("pieces", path, verify), lambda: Codec(path, verify))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True) -> DataFrame:

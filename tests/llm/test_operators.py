@@ -772,3 +772,15 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: r for n, r in root.items() if n in got} and {n for e in edges if e[0] != e[1] for n in e} == set(got)
+
+
+def test_a_worker_holds_one_value_at_a_time():
+    from rosterlake.llm import _common
+
+    made = []
+    get = lambda key: _common.held(key, lambda: made.append(key) or [key])
+    first = get(("a", 1))
+    assert get(("a", 1)) is first and get("b") == ["b"] and get("b") == ["b"]
+    assert get(("a", 1)) is not first and made == [("a", 1), "b", ("a", 1)]
+    _common.release()
+    assert not _common._HELD
