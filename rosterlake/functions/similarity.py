@@ -45,16 +45,15 @@ def ceiling(a: Column, b: Column) -> Column:
     return F.lit(200.0) * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
 
 
-def grams(x: Column) -> Column:
-    """Pairs of neighbouring characters, each with how often it came before, so that shared ones count."""
-    two = F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(two, lambda g, i: F.concat(g, F.size(F.filter(F.slice(two, F.lit(1), i), lambda h: h == g)).cast("string")))
+def bag(x: Column) -> Column:
+    """The characters of a text, each with how often it came before: a common subsequence is in both bags."""
+    letters = F.array_sort(F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>")))
+    return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))
 
 
-def least_shared(a: Column, b: Column, threshold: float) -> Column:
-    """Pairs with at least this ratio share so many grams: an insertion or deletion changes two at most."""
-    edits = F.floor((F.length(a) + F.length(b)) * F.lit(1 - threshold / 100) + F.lit(1e-9))
-    return F.greatest(F.length(a), F.length(b)) - 1 - 2 * edits
+def least_common(a: Column, b: Column, threshold: float) -> Column:
+    """How long the common subsequence of texts of lengths a and b is at least, at this ratio."""
+    return F.ceil((a + b) * F.lit(threshold / 200) - F.lit(1e-9)).cast("int")
 
 
 def subsequences(a: list[str], b: list[str]) -> np.ndarray:

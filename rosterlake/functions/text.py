@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -138,3 +139,38 @@ def embedded_json(html: Column) -> Column:
 def specialist_ids(ids: Column, names: Column) -> Column:
     """Ids whose speciality name speaks of the skin; the two arrays go together."""
     return F.transform(F.filter(F.arrays_zip(ids.alias("i"), names.alias("n")), lambda z: F.lower(z["n"]).rlike("dermat|kulit")), lambda z: z["i"])
+
+
+def _first_array(text: str | None, key: str) -> str | None:
+    """JSON of the first array under a key of a document, depth first, in the document's order; null if there is none."""
+    try:
+        open_ = [json.loads(text)] if text else []
+    except ValueError:
+        return None
+    while open_:
+        x = open_.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get(key), list):
+                return json.dumps(x[key], ensure_ascii=False, separators=(",", ":"))
+            open_ += reversed(x.values())
+        elif isinstance(x, list):
+            open_ += reversed(x)
+    return None
+
+
+def array_under(x: Column, key: str) -> Column:
+    """The first array that stands under a key anywhere in a JSON text, as JSON; an object's own key goes before what is
+    inside it. Null for null, broken documents and documents without one. Arrow batches: a path's depth is not known."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _first_array(t, key))
+
+    return run(x)
+
+
+def array_under_in_blocks(blocks: Column, key: str) -> Column:
+    """array_under of the first of several JSON texts (array<string>) that has one. Objects are read before
+    arrays of them, in the blocks' order."""
+    sound = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
+    return array_under(F.concat(F.lit("["), F.array_join(sound, ","), F.lit("]")), key)

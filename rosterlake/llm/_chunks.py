@@ -40,6 +40,13 @@ class ChunkEncoder(dict):
         got = self[word] = self.encode(" " + word) if got is None else got
         return got
 
+    def _any(self, word: str) -> bytes:
+        """Also of a chunk that holds or ends in other white space; such are not kept."""
+        try:
+            return self[word]
+        except _Odd:
+            return self.encode(" " + word)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -55,7 +62,7 @@ class ChunkEncoder(dict):
             return self.encode(first) + b"".join(map(self.__getitem__, rest))
         except _Odd:
             first, *rest = CUT.split(" " + text if self.lead else text)
-            return self.encode(first) + b"".join(map(self.__getitem__, rest))
+            return self.encode(first) + b"".join(map(self._any, rest))
 
 
 def latin(word: str) -> bool:

@@ -69,13 +69,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, by Spark's own file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame that stored() returned, once nothing reads it any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def held_out(column: str, modulus: int, remainder: int = 2):

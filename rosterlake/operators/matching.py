@@ -16,32 +16,66 @@ from rosterlake.sources.staging import stored
 MATCH, DUPLICATE, REVIEW, NEAR_KM = 80.0, 85.0, 70.0, 1.5
 
 
+ANY = "any"
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(scope, n, other, score) of the pairs of names n of left and right, within a scope, that score the threshold or more.
+
+    Both sides have scope and n, and repeats among them meet once. At a ratio of threshold, names of lengths a and b have
+    least_common(a, b) characters in common; so of each name's characters, rarest first, the first
+    (length - least_common + 1) hold one that both have. A name lists just these, for each length of the other side that the
+    threshold allows, and pairs meet on scope, both lengths and such a character. Then the whole bags of
+    characters are compared, and only pairs that pass are scored.
+    """
+    if not 0 < threshold <= 100:
+        raise ValueError("a threshold lies above 0, up to 100")
+    a = left.select("scope", "n").filter("n <> ''").distinct().withColumn("size", F.length("n"))
+    b = right.select("scope", "n").filter("n <> ''").distinct().withColumn("size", F.length("n"))
+    letters = b.select(F.explode(similarity.bag(F.col("n"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("times"))
+
+    def rarest_first(side: DataFrame) -> DataFrame:
+        each = side.select("n", "size").distinct().withColumn("letter", F.explode(similarity.bag(F.col("n")))).join(letters, "letter", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "letter")))
+        return side.join(each.groupBy("n").agg(F.transform(order, lambda x: x["letter"]).alias("letters")), "n")
+
+    # lengths that can meet: 2 * shorter / both >= threshold / 100
+    most = F.floor(F.col("size") * F.lit((200 - threshold) / threshold) + F.lit(1e-9)).cast("int")
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(threshold / (200 - threshold)) - F.lit(1e-9)).cast("int"))
+    there = b.select(F.col("size").alias("other_size")).distinct()
+    meets = a.select("size").distinct().select("size", F.explode(F.sequence(least, most)).alias("other_size")).join(there, "other_size")
+    meets = meets.withColumn("need", similarity.least_common(F.col("size"), F.col("other_size"), threshold))
+
+    def listed(side: DataFrame, own: str, other: str) -> DataFrame:
+        sized = rarest_first(side).withColumnRenamed("size", own).join(meets, own)
+        first = F.slice("letters", F.lit(1), F.col(own) - F.col("need") + 1)
+        return sized.select("scope", "n", own, other, "need", F.explode(first).alias("letter"))
+
+    asked = listed(a, "size", "other_size")
+    known = listed(b, "other_size", "size").select("scope", "size", "other_size", "letter", F.col("n").alias("other"))
+    met = asked.join(known, ["scope", "size", "other_size", "letter"]).select("n", "other", "need", "scope").distinct()
+    alike = met.filter(F.size(F.array_intersect(similarity.bag(F.col("n")), similarity.bag(F.col("other")))) >= F.col("need"))
+    return alike.withColumn("score", similarity.many_scores(F.col("n"), F.col("other"))).filter(F.col("score") >= threshold).select("scope", "n", "other", "score")
+
+
 def fuzzy_best(names: DataFrame, facilities: DataFrame, threshold: float = MATCH) -> DataFrame:
     """names (key, raw, grp) with the best facility of the group (any, if grp is null), its score.
 
-    Distinct (raw, grp) are matched once. Equal normalised names score 100 and are settled by an equi-join;
-    the others meet facilities that share enough grams for the threshold (short names: by length).
-    Equal scores go to the smaller id.
+    Distinct (raw, grp) are matched once. Equal normalised names score 100 and are settled by an equi-join; the others
+    go through similar_names, where a group is a scope. Equal scores go to the smaller id.
     """
-    asked = names.select("raw", "grp").distinct().withColumn("n", facility_name(F.col("raw"))).filter("n <> ''")
-    known = facilities.select("id", F.col("grp").alias("f_grp"), facility_name(F.col("name")).alias("f_n")).filter("f_n <> ''")
-    fits = F.col("grp").isNull() | (F.col("grp") == F.col("f_grp"))
-    exact = asked.join(known, (F.col("n") == F.col("f_n")) & fits).groupBy("raw", "grp").agg(F.min("id").alias("id")).withColumn("score", F.lit(100.0))
-    open_ = asked.join(exact.select(F.col("raw").alias("e_raw"), F.col("grp").alias("e_grp")), (F.col("raw") == F.col("e_raw")) & F.col("grp").eqNullSafe(F.col("e_grp")), "left_anti")
-    left = open_.withColumn("g", F.explode(similarity.grams(F.col("n"))))
-    right = known.withColumn("g", F.explode(similarity.grams(F.col("f_n"))))
-    met = left.join(right, "g").filter(fits).groupBy("raw", "grp", "n", "id", "f_n").agg(F.count("*").alias("shared"))
-    enough = met.filter(F.col("shared") >= similarity.least_shared(F.col("n"), F.col("f_n"), threshold)).drop("shared")
-    # names so short that no gram need be shared meet by their lengths, a pair once
-    few = [(a, b) for a in range(1, 64) for b in range(1, 64) if 200 * min(a, b) >= threshold * (a + b) and max(a, b) - 1 <= 2 * int((a + b) * (1 - threshold / 100) + 1e-9)]
-    if few:
-        lengths = names.sparkSession.createDataFrame(few, "la int, lb int")
-        short = open_.join(F.broadcast(lengths), F.length("n") == F.col("la")).join(known, (F.length("f_n") == F.col("lb")) & fits).select("raw", "grp", "n", "id", "f_n")
-        enough = enough.union(short).distinct()
-    scored = enough.withColumn("score", similarity.many_scores(F.col("n"), F.col("f_n"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("raw", "grp").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b")).select("raw", "grp", (-F.col("b.minus")).alias("id"), F.col("b.score").alias("score"))
-    best = exact.unionByName(best).select(F.col("raw").alias("b_raw"), F.col("grp").alias("b_grp"), "id", rounded(F.col("score"), 4).alias("score"))
-    return names.join(best, (F.col("raw") == F.col("b_raw")) & F.col("grp").eqNullSafe(F.col("b_grp")), "left").select("key", "raw", "grp", "id", "score")
+    scope = F.when(F.col("grp").isNull(), ANY).otherwise(F.concat(F.lit("="), "grp"))
+    asked = names.select("raw", "grp").distinct().select("raw", "grp", scope.alias("scope"), facility_name(F.col("raw")).alias("n")).filter("n <> ''")
+    known = facilities.select("id", "grp", facility_name(F.col("name")).alias("n")).filter("n <> ''")
+    scopes = F.array_compact(F.array(F.lit(ANY), F.when(F.col("grp").isNotNull(), F.concat(F.lit("="), "grp"))))
+    known = known.withColumn("scope", F.explode(scopes)).groupBy("scope", "n").agg(F.min("id").alias("id"))
+    exact = asked.join(known, ["scope", "n"]).select("raw", "grp", "id", F.lit(100.0).alias("score"))
+    open_ = asked.join(known, ["scope", "n"], "left_anti")
+    near = similar_names(open_, known, threshold).join(known.select("scope", F.col("n").alias("other"), "id"), ["scope", "other"])
+    best = near.groupBy("scope", "n").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b"))
+    found = open_.join(best, ["scope", "n"]).select("raw", "grp", (-F.col("b.minus")).alias("id"), F.col("b.score").alias("score"))
+    found = exact.unionByName(found).select(F.col("raw").alias("b_raw"), F.col("grp").alias("b_grp"), "id", rounded(F.col("score"), 4).alias("score"))
+    return names.join(found, (F.col("raw") == F.col("b_raw")) & F.col("grp").eqNullSafe(F.col("b_grp")), "left").select("key", "raw", "grp", "id", "score")
 
 
 def cascade(names: DataFrame, facilities: DataFrame, point_alias: DataFrame, name_alias: DataFrame, threshold: float = MATCH) -> DataFrame:
@@ -76,20 +110,20 @@ def candidate_pairs(facilities: DataFrame, floor: float = REVIEW, km: float = NE
     """(a, b, score), a before b, that could decide a greedy pass: alike in name and not far apart.
 
     Facilities on the map meet in grid cells at least km wide (own and neighbouring cells); the ones
-    off the map meet everyone whose name's length allows the score.
+    off the map meet all of like names, by similar_names.
     """
     f = facilities.select("ordinal", "lat", "lon", facility_name(F.col("name")).alias("n")).filter("n IS NOT NULL AND n <> ''")
     mapped = f.filter("lat IS NOT NULL AND lon IS NOT NULL")
     other = mapped.select(*[F.col(x).alias(f"b_{x}") for x in ("ordinal", "lat", "lon", "n")])
     near = geo.meet(mapped, other, "lat", "lon", "b_lat", "b_lon", km).filter((F.col("ordinal") < F.col("b_ordinal")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= km)).select("ordinal", "b_ordinal", "n", "b_n")
     off = f.filter("lat IS NULL OR lon IS NULL")
-    # a pair scores floor or more only if the shorter name has floor/(200-floor) of the longer one's length
-    longest = F.ceil(F.length("n") * F.lit((200 - floor) / floor)).cast("int")
-    shortest = F.floor(F.length("n") * F.lit(floor / (200 - floor))).cast("int")
-    wide = off.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), shortest), longest)))
-    loose = wide.join(f.select(F.col("ordinal").alias("b_ordinal"), F.col("n").alias("b_n"), F.length("n").alias("len")), "len").filter("ordinal <> b_ordinal").select(F.least("ordinal", "b_ordinal").alias("ordinal"), F.greatest("ordinal", "b_ordinal").alias("b_ordinal"), F.when(F.col("ordinal") < F.col("b_ordinal"), F.col("n")).otherwise(F.col("b_n")).alias("n"), F.when(F.col("ordinal") < F.col("b_ordinal"), F.col("b_n")).otherwise(F.col("n")).alias("b_n")).distinct()
-    both = near.union(loose)
-    return both.filter(similarity.ceiling(F.col("n"), F.col("b_n")) >= floor).withColumn("score", similarity.many_scores(F.col("n"), F.col("b_n"))).filter(F.col("score") >= floor).select(F.col("ordinal").alias("a"), F.col("b_ordinal").alias("b"), "score")
+    # the ones off the map meet everyone of a like name
+    by_name = f.select(F.lit(ANY).alias("scope"), "n")
+    alike = similar_names(off.select(F.lit(ANY).alias("scope"), "n"), by_name, floor).select("n", "other", "score")
+    ends = off.select(F.col("ordinal").alias("x"), "n").join(alike, "n").join(f.select(F.col("ordinal").alias("y"), F.col("n").alias("other")), "other").filter("x <> y")
+    loose = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
+    scored = near.filter(similarity.ceiling(F.col("n"), F.col("b_n")) >= floor).withColumn("score", similarity.many_scores(F.col("n"), F.col("b_n"))).filter(F.col("score") >= floor)
+    return scored.select(F.col("ordinal").alias("a"), F.col("b_ordinal").alias("b"), "score").unionByName(loose)
 
 
 def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float = DUPLICATE, km: float = NEAR_KM) -> DataFrame:

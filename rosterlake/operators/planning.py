@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.rounding import rounded
+from rosterlake.operators.coverage import usable
 from rosterlake.sources.staging import stored
 
 MOST_SESSIONS, MOST_SCHOOLS, MOST_PLANS = 16, 5, 25_000
@@ -59,17 +60,20 @@ class Limits:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
 
 
-def free_gaps(sessions: DataFrame, facilities: DataFrame, minutes: int = 240, limit: int = 16, days: int = 6) -> DataFrame:
-    """Suggested new sessions: per facility and day the first start from 08:00 in steps of the length
-    that overlaps no session; days with an open-ended session are left out. Facilities take turns.
+def free_gaps(sessions: DataFrame, facilities: DataFrame, completeness: DataFrame, minutes: int = 240, limit: int = 16, days: int = 6, least: float = 0.8) -> DataFrame:
+    """Suggested new sessions: per facility and day the first start from 08:00 in steps of the length that overlaps no usable
+    session. Only facilities whose schedule is known well enough are asked: completeness (facility, completeness)
+    of least or more, and a usable session at all. Days with an open-ended session are left out. Facilities take turns.
 
     facilities: id, position (their order).
     """
+    known = usable(sessions)
+    sure = completeness.filter(F.col("completeness") >= least).select(F.col("facility").alias("id")).distinct().join(known.select(F.col("facility").alias("id")).distinct(), "id")
     starts = F.sequence(F.lit(480), F.lit(1260 - minutes), F.lit(minutes))
-    asked = facilities.select(F.col("id").alias("facility"), "position", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
-    open_days = sessions.filter("end_min IS NULL").select("facility", "day").distinct()
+    asked = facilities.join(sure, "id", "left_semi").select(F.col("id").alias("facility"), "position", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
+    open_days = known.filter("end_min IS NULL").select("facility", "day").distinct()
     wanted = asked.join(open_days, ["facility", "day"], "left_anti").withColumn("start", F.explode(starts))
-    taken = sessions.filter("end_min IS NOT NULL").select("facility", "day", "start_min", "end_min")
+    taken = known.filter("end_min IS NOT NULL").select("facility", "day", "start_min", "end_min")
     clash = (wanted.facility == taken.facility) & (wanted.day == taken.day) & (wanted.start < taken.end_min) & (taken.start_min < wanted.start + minutes)
     free = wanted.join(taken, clash, "left_anti").groupBy("facility", "position", "day").agg(F.min("start").alias("start"))
     turn = F.row_number().over(Window.partitionBy("facility").orderBy("day"))
@@ -138,7 +142,8 @@ def enumerate_plans(sessions: DataFrame, schools: DataFrame, limits: Limits) ->
 
     sessions: slot, facility, day, start, end, locked, priority, optionally id (text) for the order of
     ties. schools: school, level_ok, km (see school_distances), first_year (null: unknown), curriculum_ok
-    (null: unknown), optionally place, days, start, end (see week_events).
+    (null: unknown), optionally place, days, start, end (see week_events). Two more columns are for notes only:
+    sessions' suggested (not confirmed by the facility), and schools' documented (school year and source of the costs given).
     """
     n_schools = schools.count()
     if n_schools > MOST_SCHOOLS:
@@ -153,7 +158,7 @@ def enumerate_plans(sessions: DataFrame, schools: DataFrame, limits: Limits) ->
     named = F.struct((~F.col("locked")).alias("free"), "slot", (F.col("id") if "id" in sessions.columns else F.col("slot")).cast("string").alias("id"))
     facts = _taken(chosen, sessions).groupBy("mask").agg(
         F.countDistinct("day").alias("n_days"), (F.sum(length) / F.lit(60.0)).alias("hours"), (F.sum(length * F.col("priority")) / F.sum(length) / F.lit(5.0)).alias("priority"),
-        F.transform(F.array_sort(F.collect_list(named)), lambda s: s["id"]).alias("slots"),
+        F.transform(F.array_sort(F.collect_list(named)), lambda s: s["id"]).alias("slots"), *([F.bool_or("suggested").alias("suggested")] if "suggested" in sessions.columns else []),
     )
     plans = facts.crossJoin(F.broadcast(schools))
     after = F.lead("start").over(Window.partitionBy("mask", "school", "day").orderBy("start", "end", "seq"))
@@ -173,25 +178,56 @@ def rejections(plans: DataFrame) -> DataFrame:
 
 
 def same_points(travel: DataFrame, places: DataFrame) -> DataFrame:
-    """travel with nothing to go between places of equal coordinates. places: place, lat, lon."""
+    """travel with nothing to go between places of equal coordinates, at any time. places: place, lat, lon."""
     a, b = places.select(F.col("place").alias("origin"), "lat", "lon"), places.select(F.col("place").alias("destination"), "lat", "lon")
     still = a.join(b, ["lat", "lon"]).select("origin", "destination", F.lit(True).alias("still"))
-    zero = [F.when(F.col("still"), F.lit(0)).otherwise(F.col(c)).cast(travel.schema[c].dataType).alias(c) for c in travel.columns if c not in ("origin", "destination")]
+    zero = [(F.when(F.col("still"), F.lit(0)).otherwise(F.col(c)) if c in ("minutes", "km") else F.col(c)).cast(travel.schema[c].dataType).alias(c) for c in travel.columns if c not in ("origin", "destination")]
     return travel.join(still, ["origin", "destination"], "full").select("origin", "destination", *zero)
 
 
-def school_distances(schools: DataFrame, travel: DataFrame) -> DataFrame:
-    """schools with km, the way from home to their place; null where travel has none."""
-    way = travel.filter(F.col("origin") == HOME).select(F.col("destination").alias("place"), "km")
-    return schools.drop("km").join(way, "place", "left")
+def profiles(travel: DataFrame) -> DataFrame:
+    """origin, destination, day (null: any), arrive_by, times: what a way takes, by the minute of the day.
+
+    travel: origin, destination, minutes, optionally km, day, minute (from when a row holds, 0 if not given) and
+    arrive_by (whether the minute is one of arrival; null: both). A way has as many rows as its day has times.
+    """
+    given = lambda c, kind: (F.col(c) if c in travel.columns else F.lit(None)).cast(kind)
+    both = F.explode(F.when(given("arrive_by", "boolean").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(given("arrive_by", "boolean"))))
+    row = F.struct(F.coalesce(given("minute", "int"), F.lit(0)).alias("minute"), F.col("minutes").cast("double").alias("minutes"), given("km", "double").alias("km"))
+    rows = travel.select("origin", "destination", given("day", "int").alias("day"), both.alias("arrive_by"), row.alias("row"))
+    return rows.groupBy("origin", "destination", "day", "arrive_by").agg(F.array_sort(F.collect_list("row")).alias("times"))
+
+
+def timed(legs: DataFrame, travel: DataFrame) -> DataFrame:
+    """legs (origin, destination, day, at, arrive_by) plus told, the row of the way in force at that minute: the last one that began,
+    of the day's own times, else of those for any day; null where there is none."""
+    known = profiles(travel)
+    keys = ["origin", "destination", "arrive_by"]
+    own = known.filter("day IS NOT NULL").withColumnRenamed("times", "own")
+    any_ = known.filter("day IS NULL").drop("day").withColumnRenamed("times", "any_day")
+    in_force = lambda times: F.element_at(F.filter(times, lambda t: t["minute"] <= F.col("at")), -1)
+    some = lambda times: F.when(F.exists(times, lambda t: t["minute"] <= F.col("at")), in_force(times))
+    return legs.join(own, [*keys, "day"], "left").join(any_, keys, "left").withColumn("told", F.coalesce(some(F.col("own")), some(F.col("any_day")))).drop("own", "any_day")
+
+
+def school_distances(schools: DataFrame, travel: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """schools with km, the way from home to their place for the first school day's start; null where travel has none."""
+    limits = limits or Limits()
+    timely = {"days", "start"} <= set(schools.columns)
+    day = F.coalesce(F.array_min("days"), F.lit(0)) if timely else F.lit(0)
+    at = F.col("start") - limits.service - limits.buffer if timely else F.lit(1439)
+    legs = schools.drop("km").select("*", F.lit(HOME).cast("long").alias("origin"), F.col("place").cast("long").alias("destination"), day.cast("int").alias("day"), at.cast("int").alias("at"), F.lit(True).alias("arrive_by"))
+    return timed(legs, travel).withColumn("km", F.col("told.km")).drop("origin", "destination", "day", "at", "arrive_by", "told")
 
 
 def commute(plans: DataFrame, sessions: DataFrame, travel: DataFrame, limits: Limits, schools: DataFrame | None = None) -> DataFrame:
     """The plans' keys and minutes: each day from home by its events in order and back.
 
     On days with runs to school only, each run is a way of its own, and the next one starts no earlier
-    than the return from the last. travel: origin, destination, minutes. A leg without a row, a leg above
-    the cap, a late arrival or a day outside the limits drops the plan: travel times are never made up.
+    than the return from the last. travel: see profiles(). The first leg of a way is asked for by its arrival, the buffer
+    before the event, and reckoned back from there; later legs are asked for by their departure, when an event ends. A
+    leg without a row, a leg above the cap, a late arrival or a day outside the limits drops the plan: travel times are
+    never made up.
     """
     keys, order = _keys(plans), ("start", "end", "seq")
     events = week_events(plans, sessions, schools, limits)
@@ -202,8 +238,8 @@ def commute(plans: DataFrame, sessions: DataFrame, travel: DataFrame, limits: Li
     steps = tours.withColumns({"origin": F.coalesce(F.lag("place").over(on), home), "left_at": F.lag("end").over(on), "last": F.lead("seq").over(on).isNull()})
     there = steps.select(*keys, "day", "tour", "origin", F.col("place").alias("destination"), "left_at", F.col("start").alias("due"))
     back = steps.filter("last").select(*keys, "day", "tour", F.col("place").alias("origin"), home.alias("destination"), F.col("end").alias("left_at"), F.lit(None).cast("int").alias("due"))
-    known = travel.select("origin", "destination", F.col("minutes").alias("told"))
-    legs = there.unionByName(back).join(known, ["origin", "destination"], "left").withColumn("minutes", F.when(F.col("origin") == F.col("destination"), 0).otherwise(F.col("told")))
+    asked = there.unionByName(back).withColumns({"arrive_by": F.col("left_at").isNull(), "at": F.coalesce(F.col("left_at"), F.col("due") - limits.buffer)})
+    legs = timed(asked, travel).withColumn("minutes", F.when(F.col("origin") == F.col("destination"), 0.0).otherwise(F.col("told.minutes")))
     leaves, returns = F.col("due") - limits.buffer - F.col("minutes"), F.col("left_at") + F.col("minutes")
     first, last = F.col("left_at").isNull(), F.col("due").isNull()
     in_time = F.when(first, leaves >= limits.earliest).when(last, returns <= limits.latest).otherwise(returns <= F.col("due") - limits.buffer)
@@ -246,7 +282,11 @@ def rank_plans(plans: DataFrame, limits: Limits, best: int = 5) -> DataFrame:
     parts = parts + F.when(schooled, w[3] * cost).otherwise(0.0) + F.when(likes, w[4] * F.coalesce(F.col("curriculum_ok"), F.lit(False)).cast("double")).otherwise(0.0)
     total = F.lit(float(sum(w[:3]))) + F.when(schooled, float(w[3])).otherwise(0.0) + F.when(likes, float(w[4])).otherwise(0.0)
     score = F.when(~unranked & (total > 0), rounded(100 * parts / total, 2))
-    notes = F.array_compact(F.array(F.when(schooled & F.col("first_year").isNull(), "first-year cost unknown"), F.when(unranked, "not ranked: school data missing")))
+    told = lambda c: F.col(c) if c in plans.columns else F.lit(None).cast("boolean")
+    notes = F.array_compact(F.array(
+        F.when(told("suggested"), "holds a suggested session that no facility has confirmed"), F.when(schooled & F.col("first_year").isNull(), "first-year cost unknown"),
+        F.when(schooled & ~told("documented"), "school year or source of the costs missing: verify"), F.when(unranked, "not ranked: school data missing"),
+    ))
     scored = rows.withColumns({"score": score, "notes": notes})
     order = [F.desc_nulls_last("score"), F.col("minutes"), F.col("slots"), F.col("school")]
     turn = scored.withColumn("turn", F.row_number().over(Window.partitionBy("school").orderBy(*order)))

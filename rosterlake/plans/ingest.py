@@ -29,7 +29,7 @@ def resolve(raw: DataFrame, facilities: DataFrame) -> DataFrame:
     plain = raw.withColumns({"branch": nfkc("branch"), "raw_name": nfkc("raw_name")})
     ok = plain.filter(is_specialist(F.concat_ws(", ", "raw_name", "credentials")))
     names = ok.filter("branch IS NOT NULL").select(F.col("branch").alias("key"), F.col("branch").alias("raw"), F.lit(None).cast("string").alias("grp")).distinct()
-    found = fuzzy_best(names, facilities).select(F.col("key").alias("branch"), F.col("id").alias("facility"))
+    found = fuzzy_best(names, facilities.withColumn("name", nfkc("name"))).select(F.col("key").alias("branch"), F.col("id").alias("facility"))
     return ok.join(found, "branch", "left")
 
 

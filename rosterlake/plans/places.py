@@ -315,7 +315,7 @@ _LONG = f"""{supply._LABELLED}, v AS (SELECT facility, status, quality, 'practit
  part_ AS (SELECT * FROM v WHERE value IS NOT NULL AND quality NOT IN ('unknown', 'confirmed_zero') AND (quality <> 'partial' OR metric = 'practitioners')),
  sc AS (SELECT metric, count(*) AS n, CASE WHEN metric = 'practitioners' THEN 0 ELSE min(value) END AS least, CASE WHEN metric = 'practitioners' THEN 999 ELSE max(value) END AS most,
    CASE WHEN metric = 'practitioners' THEN 3 ELSE quantile_cont(value, 1.0::DOUBLE / 3) END AS lower, CASE WHEN metric = 'practitioners' THEN 5 ELSE quantile_cont(value, 2.0::DOUBLE / 3) END AS upper FROM part_ GROUP BY 1)"""
-_R6 = "round_even({}, 6)"
+_R6 = "decimals({}, 6)"
 
 #: The planner's rules over the same week, as plain SQL: v is 1 with the school and 0 without.
 _PLANS = """ses AS (SELECT id AS slot, id % 4 AS facility, (id % 5)::INTEGER AS day, 540 + 90 * (id % 3) AS start, 660 + 90 * (id % 3) AS fin, id = 0 AS locked, 1 + id % 5 AS priority FROM range(10) r(id)),
@@ -337,7 +337,7 @@ _PLANS = """ses AS (SELECT id AS slot, id % 4 AS facility, (id % 5)::INTEGER AS
  plans AS (SELECT mask, school, hours, priority, slots, first_year, curriculum_ok, w.minutes, w.minutes - b.minutes AS extra, CASE WHEN NOT level_ok THEN 'level' WHEN first_year IS NULL THEN 'budget unknown' WHEN first_year > 3500 THEN 'over budget' WHEN km > 20 THEN 'too far'
    WHEN n_days > 3 OR hours > 10 THEN 'days or hours' WHEN clash THEN 'overlap' WHEN NOT w.ok THEN 'travel' WHEN NOT b.ok THEN 'baseline' END AS reason
    FROM facts CROSS JOIN sch JOIN (SELECT * FROM weeks WHERE v = 1) w USING (mask, school) JOIN (SELECT * FROM weeks WHERE v = 0) b USING (mask, school) LEFT JOIN clash USING (mask, school)),
- ranked AS (SELECT *, round_even(100 * (40 * (1 - minutes / max(minutes) OVER ()) + 30 * priority + 10 * least(hours / 10, 1) + 10 * (1 - first_year / max(first_year) OVER ()) + 10 * curriculum_ok::INTEGER) / 100, 2) AS score FROM plans WHERE reason IS NULL),
+ ranked AS (SELECT *, decimals(100 * (40 * (1 - minutes / max(minutes) OVER ()) + 30 * priority + 10 * least(hours / 10, 1) + 10 * (1 - first_year / max(first_year) OVER ()) + 10 * curriculum_ok::INTEGER) / 100, 2) AS score FROM plans WHERE reason IS NULL),
  turns AS (SELECT *, row_number() OVER (PARTITION BY school ORDER BY score DESC, minutes, slots) > 1 AS later FROM ranked)"""
 _KEYED = "regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')"
 _MAP_ROWS = """mapped AS (SELECT *, CASE WHEN id % 13 <> 0 THEN lat END AS lat_, id % 13 <> 0 AS placed FROM facility WHERE id % 5 <> 0)"""
@@ -345,7 +345,7 @@ _MAP_ROWS = """mapped AS (SELECT *, CASE WHEN id % 13 <> 0 THEN lat END AS lat_,
 ORACLES = {
     "d06_radius_join": sql(f"SELECT km, anchor, id, {_R6.format('distance')} AS distance FROM (SELECT a.id AS anchor, b.id, {_D} AS distance FROM facility a JOIN facility b ON a.id % 10 = 3 AND a.id <> b.id), (VALUES (3.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) r(km) WHERE distance <= km"),
     "e11_neighbourhood": sql(f"""SELECT * FROM (WITH {_PAIRS}, {supply._METRICS}, near AS (SELECT p.anchor, p.id, m.status, m.weekly_hours FROM pairs p JOIN metrics m ON m.facility = p.id),
-      flat AS (SELECT anchor, count(*) AS total, count(*) FILTER (status <> 'unknown') AS known, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'has_doctors') AS has, count(*) FILTER (status = 'confirmed_zero') AS zero, round_even(sum(coalesce(weekly_hours, 0)), 2) AS hours FROM near GROUP BY 1),
+      flat AS (SELECT anchor, count(*) AS total, count(*) FILTER (status <> 'unknown') AS known, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'has_doctors') AS has, count(*) FILTER (status = 'confirmed_zero') AS zero, decimals(sum(coalesce(weekly_hours, 0)), 2) AS hours FROM near GROUP BY 1),
       who AS (SELECT anchor, count(DISTINCT coalesce(CASE WHEN practitioner % 4 <> 0 THEN 'p' || (practitioner % 40) END, 'doctor-id:' || practitioner)) AS people FROM near JOIN roster ON roster.facility = near.id WHERE status = 'has_doctors' GROUP BY 1),
       r AS (SELECT *, {supply._R4.format('known::DOUBLE / total')} AS ratio FROM flat LEFT JOIN who USING (anchor))
       SELECT anchor, total, known, unknown, has, zero, coalesce(people, 0) AS people, hours, ratio, CASE WHEN ratio = 0 THEN 'unknown' WHEN ratio >= 0.8 THEN 'high' WHEN ratio >= 0.5 THEN 'medium' ELSE 'low' END AS quality FROM r)"""),
@@ -355,14 +355,14 @@ ORACLES = {
     "e16_spatial_audit": f"WITH {_POINTS} SELECT id, CASE WHEN lat IS NULL OR lon IS NULL THEN 'unknown' WHEN NOT (lat BETWEEN -6.8 AND -5.9 AND lon BETWEEN 106.3 AND 107.3) THEN 'low' WHEN count(*) OVER (PARTITION BY lat, lon) > 1 THEN 'medium' ELSE coalesce(confidence, 'medium') END AS confidence FROM points",
     "c04_in_region": f"WITH {_POINTS} SELECT id FROM points WHERE lat BETWEEN -6.8 AND -5.9 AND lon BETWEEN 106.3 AND 107.3",
     "c13_point_lookup": sql("SELECT id AS key, id FROM facility WHERE id % 4 <> 0 AND id % 6 <> 0"),
-    "g06_nearest": sql("SELECT id, round_even(off, 8) AS off FROM (SELECT id, pow(lat + 6.2::DOUBLE, 2) + pow(lon - 106.8::DOUBLE, 2) AS off FROM facility ORDER BY off, id LIMIT 40)"),
+    "g06_nearest": sql("SELECT id, decimals(off, 8) AS off FROM (SELECT id, pow(lat + 6.2::DOUBLE, 2) + pow(lon - 106.8::DOUBLE, 2) AS off FROM facility ORDER BY off, id LIMIT 40)"),
     "c12_groups": sql("SELECT id, CASE WHEN contains(lower(name || ' ' || city), 'kota 1') THEN 'kota 1' WHEN contains(lower(name || ' ' || city), 'kota 3') THEN 'KOTA 3' WHEN contains(name, '00007') THEN '00007' END AS grp FROM facility"),
     "c11_ownership": "SELECT c_custkey AS id, CASE WHEN c_custkey % 6 IN (0, 1) THEN 'swasta' WHEN c_custkey % 6 IN (2, 3, 4) THEN 'pemerintah' END AS ownership FROM customer",
     "c15_address": """SELECT c_custkey AS id, nullif(concat_ws(', ', coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'Jl. A 1' END, nullif(concat_ws(' ', CASE WHEN c_custkey % 3 = 1 THEN 'Jl. B' END, CASE WHEN c_custkey % 2 = 0 THEN '7' END), '')), CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END), '') AS address,
       CASE WHEN c_custkey % 4 = 0 THEN c_name || ' (a.k.a. alias)' ELSE c_name END AS shown FROM customer""",
     "c06_facility_only": "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 IN (0, 1) OR (p_partkey % 4 = 3 AND p_partkey % 7 = 0)",
     "c07_in_region_hints": "SELECT p_partkey AS id FROM part WHERE NOT contains(p_name, 'bolt') AND (contains(p_name, 'red') OR contains(p_name, 'hot') OR contains(p_name, 'gear'))",
-    "d05_person_overlap": sql("SELECT * FROM (WITH o AS (SELECT person, count(*) - 1 AS other FROM person_link GROUP BY 1) SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, round_even(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0), 2) AS mean_other FROM person_link JOIN o USING (person) GROUP BY 1)"),
+    "d05_person_overlap": sql("SELECT * FROM (WITH o AS (SELECT person, count(*) - 1 AS other FROM person_link GROUP BY 1) SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, decimals(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0), 2) AS mean_other FROM person_link JOIN o USING (person) GROUP BY 1)"),
     "d10_overrides": sql("SELECT a.id AS key, a.id AS source_id, b.id AS target_id FROM facility a JOIN facility b ON b.id = a.id + 1 WHERE a.id % 5 <> 0"),
     "d13_practitioner_details": sql("SELECT DISTINCT facility, practitioner, day, start_min FROM roster LEFT JOIN session USING (facility, practitioner)"),
     "e23_scales": sql(f"SELECT * FROM (WITH {_LONG} SELECT metric, n, {_R6.format('least')} AS least, {_R6.format('most')} AS most, {_R6.format('lower')} AS lower, {_R6.format('upper')} AS upper FROM sc)"),

@@ -91,11 +91,11 @@ def e01_status_counts(spark, d):
     return s.agg(*[F.count_if(F.col("status") == k).alias(k) for k in (scoring.HAS, scoring.ZERO, scoring.UNKNOWN, "no_derm_service")]).unpivot([], [scoring.HAS, scoring.ZERO, scoring.UNKNOWN, "no_derm_service"], "status", "n")
 
 
-_R4 = "round_even({}, 4)"
+_R4 = "decimals({}, 4)"
 _RATIO = f"coverage AS (SELECT facility, {_R4.format('count(DISTINCT day * 28 + slot) / 196.0::DOUBLE')} AS coverage_ratio FROM cells GROUP BY 1)"
 _SUPPLY = """supply AS (SELECT facility, count(DISTINCT practitioner) AS scheduled, count(*) AS sessions,
-  round_even(coalesce(sum(CASE WHEN end_min - start_min > 0 THEN end_min - start_min END), 0)::DOUBLE / 60, 2) AS weekly_hours FROM usable GROUP BY 1)"""
-_PRIME_HOURS = """prime_hours AS (SELECT facility, round_even(sum(CASE
+  decimals(coalesce(sum(CASE WHEN end_min - start_min > 0 THEN end_min - start_min END), 0)::DOUBLE / 60, 2) AS weekly_hours FROM usable GROUP BY 1)"""
+_PRIME_HOURS = """prime_hours AS (SELECT facility, decimals(sum(CASE
     WHEN day <= 4 THEN greatest(0, least(end_min, 1260) - greatest(start_min, 1020))
     WHEN day = 5 THEN greatest(0, least(end_min, 840) - greatest(start_min, 480)) ELSE 0 END)::DOUBLE / 60, 2) AS prime_hours
   FROM usable WHERE end_min IS NOT NULL GROUP BY 1)"""
@@ -120,8 +120,8 @@ _STATUS = """counted AS (SELECT f.id, f.grp, coalesce(r.n, 0) AS n FROM facility
 status AS (SELECT id, n, CASE WHEN n > 0 THEN 'has_doctors' WHEN grp = 'NATION_1' THEN 'unknown'
     WHEN grp IN (SELECT grp FROM counted WHERE n > 0 AND grp IS NOT NULL) THEN 'confirmed_zero' ELSE 'unknown' END AS status FROM counted)"""
 _OVERLAP = """others AS (SELECT person, count(*) - 1 AS other FROM person_link GROUP BY 1),
-overlapping AS (SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, round_even(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0), 2) AS mean_other FROM person_link JOIN others USING (person) GROUP BY 1),
-weekend_hours AS (SELECT facility, round_even(sum(CASE WHEN day >= 5 THEN greatest(0, least(end_min, 1260) - greatest(start_min, 420)) ELSE 0 END)::DOUBLE / 60, 2) AS weekend_hours FROM usable WHERE end_min IS NOT NULL GROUP BY 1)"""
+overlapping AS (SELECT facility, nullif(count(*) FILTER (other > 0), 0) AS shared_people, decimals(sum(other)::DOUBLE / nullif(count(*) FILTER (other > 0), 0), 2) AS mean_other FROM person_link JOIN others USING (person) GROUP BY 1),
+weekend_hours AS (SELECT facility, decimals(sum(CASE WHEN day >= 5 THEN greatest(0, least(end_min, 1260) - greatest(start_min, 420)) ELSE 0 END)::DOUBLE / 60, 2) AS weekend_hours FROM usable WHERE end_min IS NOT NULL GROUP BY 1)"""
 _METRICS = f"""{_RATIO}, {_SUPPLY}, {_PRIME_HOURS}, {_OVERLAP}, {_gaps('pg', 'prime', 'prime')}, {_gaps('wg', 'weekend', 'weekend')}, {_COMPLETE}, {_STATUS},
 metrics AS (SELECT f.id AS facility, f.name, f.grp, f.ownership, f.preferred, f.duplicate_of, f.city, f.lat, f.lon, s.status,
   CASE WHEN s.status <> 'unknown' THEN s.n END AS practitioners, CASE WHEN s.status <> 'unknown' THEN coalesce(u.sessions, 0) END AS sessions,
@@ -146,7 +146,7 @@ def _scored(universe: str, where: str) -> str:
   {u}_n AS (SELECT *, {norm('raw_count')} AS norm_count, {norm('raw_hours')} AS norm_hours, {norm('raw_prime')} AS norm_prime, {norm('raw_weekend')} AS norm_weekend FROM {u}_w),
   {u}_s AS (SELECT *, {_R4.format('(0.0::DOUBLE + 0.2::DOUBLE * norm_count + 0.3::DOUBLE * norm_hours + 0.35::DOUBLE * norm_prime + 0.15::DOUBLE * norm_weekend)')} AS score FROM {u}_n),
   {u} AS (SELECT e.facility, s.* EXCLUDE (facility), CASE WHEN ok THEN NULL WHEN status = 'unknown' THEN 'practitioner count unknown' WHEN completeness IS NULL THEN 'no schedule'
-    ELSE 'schedule ' || round_even(completeness * 100, 0)::BIGINT || '% complete' END AS reason FROM {u}_e e LEFT JOIN {u}_s s USING (facility))"""
+    ELSE 'schedule ' || decimals(completeness * 100, 0)::BIGINT || '% complete' END AS reason FROM {u}_e e LEFT JOIN {u}_s s USING (facility))"""
 
 
 _ALL = f"{_METRICS}, {_scored('all_hospitals', 'true')}"

@@ -187,7 +187,7 @@ ORACLES = {
       lcs(id, k, x, y, i, r) AS (SELECT id, k, x, y, 0, list_transform(range(length(y)), lambda j: 0::BIGINT) FROM u
         UNION ALL SELECT id, k, x, y, i + 1, list_transform(range(1, length(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda q: CASE WHEN x[i + 1] = y[q] THEN (CASE WHEN q = 1 THEN 0 ELSE r[q - 1] END) + 1 ELSE r[q] END))) FROM lcs WHERE i < length(x)),
       f AS (SELECT id, k, 200.0::DOUBLE * r[-1] / (length(x) + length(y)) AS s FROM lcs WHERE i = length(x))
-      SELECT id, round_even(max(CASE WHEN k = 0 THEN s END), 4) AS ratio, round_even(min(s), 4) AS score FROM f GROUP BY 1""",
+      SELECT id, decimals(max(CASE WHEN k = 0 THEN s END), 4) AS ratio, decimals(min(s), 4) AS score FROM f GROUP BY 1""",
     "t01_days": f"WITH {_TEXTS} SELECT event_id, day FROM texts",
     "t03_time_ranges": f"WITH {_TEXTS} SELECT event_id, n, start_time, end_time, confidence FROM ranges",
     "t06_structured": """WITH e AS (SELECT event_id, hour(ts) AS h, CASE WHEN event_id % 9 <> 0 THEN minute(ts) ELSE 0 END AS m, CASE WHEN event_id % 8 BETWEEN 1 AND 6 THEN (event_id % 8 - 1)::INTEGER END AS day FROM events),

@@ -79,3 +79,15 @@ weekend AS (SELECT * FROM grid WHERE day >= 5)
 def sql(body: str) -> str:
     """A statement over the domain tables."""
     return f"WITH {VIEWS} {body}"
+
+
+def with_decimals(statement: str) -> str:
+    """decimals(x, n) in a statement, as the exact decimal text of the binary value, cut to n places and read again."""
+    while (at := statement.find("decimals(")) >= 0:
+        depth, end = 1, at + len("decimals(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(statement[end], 0)
+            end += 1
+        x, n = statement[at + len("decimals(") : end - 1].rsplit(",", 1)
+        statement = f"{statement[:at]}format('{{:.{int(n)}f}}', ({x})::DOUBLE)::DOUBLE{statement[end:]}"
+    return statement

@@ -71,6 +71,11 @@ def _json(df: DataFrame, schema: str, field: str = "data") -> DataFrame:
     return df.select(F.explode(F.from_json("payload", f"{field} array<{schema}>")[field]).alias("d")).select("d.*")
 
 
+def _names(x: Column | str) -> Column:
+    """Names that are not empty, each once."""
+    return F.array_distinct(F.filter(x, lambda n: n.isNotNull() & (n != "")))
+
+
 def near(source: Source, branch: Column, address: Column | None = None) -> Column:
     """Whether a branch is in scope: not outside by name, no hint against it, then any hint for it."""
     low = F.lower(F.trim(F.coalesce(branch, F.lit(""))))
@@ -83,11 +88,15 @@ def near(source: Source, branch: Column, address: Column | None = None) -> Colum
 
 
 def siloam(listing: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Records with several branches share all their sessions; a record stays if any branch is near."""
+    """Records with several branches share all their sessions; a record stays if any branch is near, with or without
+    sessions. Whose schedule a payload is follows from a column doctor_id of schedules, else from the payload's doctor, else from
+    its sessions."""
     s = SOURCES["siloam"]
     people = _json(listing, "struct<doctor_id:string,name:string,specialization_name:string>").filter("doctor_id IS NOT NULL")
-    kind = "data struct<availability:array<struct<hospital_name:string,hospital_address:string>>,schedule:array<struct<doctor_id:string,day:int,from_time:string,to_time:string>>>"
-    plans = schedules.select(F.from_json("payload", kind)["data"].alias("d")).select("d.*").withColumn("doctor_id", F.get("schedule", 0)["doctor_id"])
+    kind = "data struct<doctor:struct<doctor_id:string>,availability:array<struct<hospital_name:string,hospital_address:string>>,schedule:array<struct<doctor_id:string,day:int,from_time:string,to_time:string>>>"
+    told = F.col("doctor_id") if "doctor_id" in schedules.columns else F.lit(None).cast("string")
+    plans = schedules.select(told.cast("string").alias("told"), F.from_json("payload", kind)["data"].alias("d")).select("told", "d.*")
+    plans = plans.withColumn("doctor_id", F.coalesce("told", "doctor.doctor_id", F.get("schedule", 0)["doctor_id"])).drop("doctor")
     keep = F.exists("availability", lambda a: near(s, a["hospital_name"], a["hospital_address"]))
     rows = people.join(plans.filter(keep), "doctor_id").select("doctor_id", "name", "specialization_name", "schedule", F.explode(F.array_distinct(F.transform("availability", lambda a: a["hospital_name"]))).alias("branch"))
     rows = rows.select("*", F.explode_outer("schedule").alias("t"))
@@ -103,15 +112,16 @@ def mitra_keluarga(listing: DataFrame) -> DataFrame:
 
 
 def hermina(listing: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Sessions by branch and clinic; a record stays if any of its locations is near. schedules has slug."""
+    """Sessions by branch and clinic; a record stays if any of its locations is near. schedules has slug. A record without
+    a schedule keeps all its locations."""
     s = SOURCES["hermina"]
     d = _json(listing, "struct<attributes:struct<full_name:string,slug:string,speciality:string,practic_locations:array<string>>>").select("attributes.*")
     kept = d.filter(F.col("slug").isNotNull() & F.exists("practic_locations", lambda x: near(s, x)))
     kind = "data map<string,map<string,array<struct<day:string,from_time:string,to_time:string>>>>"
     a = schedules.select("slug", F.explode(F.from_json("payload", kind)["data"]).alias("branch", "clinics"))
     b = a.select("slug", "branch", F.explode("clinics").alias("clinic", "sessions")).select("slug", "branch", F.explode("sessions").alias("t"))
-    rows = kept.join(b, "slug", "left")
-    return _raw(rows, s.name, record=F.col("slug"), raw_name=F.col("full_name"), credentials=F.col("speciality"), branch=F.coalesce("branch", F.get("practic_locations", 0)), day_text=F.col("t.day"), start_text=F.col("t.from_time"), end_text=F.col("t.to_time"))
+    rows = kept.join(b, "slug", "left").withColumn("branch", F.explode_outer(F.when(F.col("branch").isNotNull(), F.array("branch")).otherwise(_names("practic_locations"))))
+    return _raw(rows, s.name, record=F.col("slug"), raw_name=F.col("full_name"), credentials=F.col("speciality"), branch=F.col("branch"), day_text=F.col("t.day"), start_text=F.col("t.from_time"), end_text=F.col("t.to_time"))
 
 
 def rs_pondok_indah(listing: DataFrame) -> DataFrame:
@@ -135,16 +145,17 @@ def brawijaya(branches: DataFrame, schedules: DataFrame) -> DataFrame:
 
 
 def sentra_medika(listing: DataFrame, schedules: DataFrame) -> DataFrame:
-    """listing has spec and page; the last listing of an id wins; schedules has slug."""
+    """listing has spec and page; the last listing of an id wins; schedules has slug. A record without a schedule keeps
+    all its hospitals."""
     s = SOURCES["sentra_medika"]
     kind = "struct<id:long,slug:string,full_name:string,specializations:array<struct<name:string>>,hospitals:array<struct<name:string>>>"
     d = listing.select("spec", "page", F.posexplode(F.from_json("payload", f"data array<{kind}>")["data"]).alias("pos", "d")).select("spec", "page", "pos", "d.*")
     one = last_write_wins(d, "id", ["spec", "page", "pos"]).filter(F.col("slug").isNotNull() & F.exists("hospitals", lambda h: near(s, h["name"])))
     plan = "data array<struct<polyclinic_name:string,hospitals:array<struct<hospital_name:string,schedules:array<struct<day:string,shifts:array<struct<start_time:string,end_time:string>>>>>>>>"
     a = schedules.select("slug", F.explode(F.from_json("payload", plan)["data"]).alias("c")).select("slug", F.explode("c.hospitals").alias("h")).select("slug", F.col("h.hospital_name").alias("branch"), F.explode("h.schedules").alias("x")).select("slug", "branch", F.col("x.day").alias("day"), F.explode("x.shifts").alias("t")).distinct()
-    rows = one.join(a, "slug", "left")
+    rows = one.join(a, "slug", "left").withColumn("branch", F.explode_outer(F.when(F.col("branch").isNotNull(), F.array("branch")).otherwise(_names(F.transform("hospitals", lambda h: h["name"])))))
     named = F.concat_ws(" ", "full_name", F.array_join(F.transform("specializations", lambda x: x["name"]), " "))
-    return _raw(rows, s.name, record=F.col("id"), raw_name=F.col("full_name"), credentials=named, branch=F.coalesce("branch", F.get("hospitals", 0)["name"]), day_text=F.col("day"), start_text=F.col("t.start_time"), end_text=F.col("t.end_time"))
+    return _raw(rows, s.name, record=F.col("id"), raw_name=F.col("full_name"), credentials=named, branch=F.col("branch"), day_text=F.col("day"), start_text=F.col("t.start_time"), end_text=F.col("t.end_time"))
 
 
 def _sessions(cards: DataFrame, name: str, record: Column, specialist: Column | None = None) -> DataFrame:
@@ -161,21 +172,43 @@ def _sessions(cards: DataFrame, name: str, record: Column, specialist: Column |
     )
 
 
-def pages_of(name: str, html: DataFrame) -> DataFrame:
-    """Sources whose listing holds everything. html: url, html. A record is a source's own id where its
-    pages have one, else the person's name."""
+def pages_of(name: str, html: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """Sources whose listing names the branch. html: url, html. A record is a source's own id where its pages have one, else
+    the person's name. details (record, html), where a source has them, hold the times by branch: their branches stand in
+    place of the listing's, which stay for records without times."""
     by_page = name in ("primaya", "sari_asih", "mayapada")
     checks = {"radjak": (F.col("credentials") != "") & is_specialist(F.col("name")), "sari_asih": is_specialist(F.col("name"))}
-    return _sessions(cards.read(html, name), name, F.col("record") if by_page else F.lower(collapse(F.col("name"))), checks.get(name))
+    found = cards.read(html, name)
+    if details is not None:
+        found = _with_times(found, details, name).withColumn("entries", F.coalesce("own", "entries"))
+    return _sessions(found, name, F.col("record") if by_page else F.lower(collapse(F.col("name"))), checks.get(name))
+
+
+def _with_times(found: DataFrame, details: DataFrame, name: str) -> DataFrame:
+    """Cards plus what their page of their own says: own (entries), own_branch, own_special."""
+    page = cards.read(details.withColumnRenamed("record", "of"), f"{name}_detail")
+    return found.join(page.select("of", F.col("entries").alias("own"), F.col("branch").alias("own_branch"), F.col("credentials").alias("own_special")), F.col("record") == F.col("of"), "left")
+
+
+#: What the pages of doctors call the branches of the listing.
+CALLED = {"RSCA BSD": "RS Columbia Asia BSD", "RSCA Pulomas": "RS Columbia Asia Pulomas"}
 
 
 def detailed(name: str, listing: DataFrame, details: DataFrame) -> DataFrame:
-    """Sources whose times stand on a page of their own. listing: url, html, branch; details: record, html."""
+    """Sources whose times stand on a page of their own. listing: url, html, branch; details: record, html.
+
+    A page of columbia_asia that names another branch or another specialty than the listing gives no times; the record
+    stays without them.
+    """
     found = cards.read(listing.withColumnRenamed("branch", "told"), name).withColumn("branch", F.col("told"))
-    times = cards.read(details.withColumnRenamed("record", "of"), f"{name}_detail").select("of", F.col("entries").alias("own"))
-    joined = found.join(times, F.col("record") == F.col("of"), "left").withColumn("entries", F.coalesce("own", "entries"))
-    special = F.col("credentials") if name == "columbia_asia" else F.col("name")
-    return _sessions(joined, name, F.col("record"), is_specialist(special))
+    joined = _with_times(found, details, name)
+    special = F.col("name")
+    if name == "columbia_asia":
+        special = F.col("credentials")
+        called = F.try_element_at(F.create_map(*[F.lit(x) for kv in CALLED.items() for x in kv]), F.col("own_branch"))
+        fits = (F.lower(called) == F.lower("branch")) & is_specialist(F.col("own_special"))
+        joined = joined.withColumn("own", F.when(F.col("of").isNull() | fits, F.col("own")).otherwise(F.array().cast(joined.schema["own"].dataType)))
+    return _sessions(joined.withColumn("entries", F.coalesce("own", "entries")), name, F.col("record"), is_specialist(special))
 
 
 #: name -> function of its frames.

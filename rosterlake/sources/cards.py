@@ -80,6 +80,18 @@ def mayapada(page: Node) -> Iterator[Card]:
         yield Card(url, name, next((x[1] for x in cells if len(x) > 1 and "hospital" in x[0].lower()), ""), "", url)
 
 
+def mayapada_detail(page: Node) -> Iterator[Card]:
+    """Times of every table of the page, a table for each branch. The listing's card names the record's branch."""
+    card = Card("", "")
+    for table in page.all("table"):
+        head = table.one("thead th")
+        for row in table.all("tbody tr") if head else ():
+            cells = [x.text("") for x in row.all("th")]
+            if len(cells) >= 2 and all(cells[:2]):
+                card.entries.append({"branch": None, "day": cells[0], "time": cells[1]})
+    yield card
+
+
 def radjak(page: Node) -> Iterator[Card]:
     branches = list(options(page, 'select[name="unit"]', "all").values())
     for n, c in enumerate(page.all(".col-md-4.mb-4")):
@@ -122,6 +134,17 @@ def primaya(page: Node) -> Iterator[Card]:
             yield Card(post, c.said(".doctor-card-name"), c.said(".doctor-card-location"), "", c.said(".doctor-card-name a", "href"))
 
 
+def primaya_detail(page: Node) -> Iterator[Card]:
+    """A branch for each block of times; a block without times still names its branch."""
+    card = Card("", "")
+    for block in page.all(".schedule-item"):
+        branch = block.said(".schedule-hospital")
+        rows = [(r.said(".schedule-day-label"), r.said(".schedule-day-time").split("(")[0].strip()) for r in block.all(".schedule-day-row")]
+        for day, time in (rows or [(None, None)]) if branch else ():
+            card.entries.append({"branch": branch, "day": day, "time": time})
+    yield card
+
+
 def bethsaida(page: Node) -> Iterator[Card]:
     for n, c in enumerate(page.all(".doctor-list-schedule")):
         name = c.said(".media-content b")
@@ -174,7 +197,7 @@ def eka(page: Node) -> Iterator[Card]:
         yield card
 
 
-READERS: dict[str, Callable[[Node], Iterator[Card]]] = {f.__name__: f for f in (columbia_asia, columbia_asia_detail, mayapada, radjak, sari_asih, primaya, bethsaida, emc, rs_premier, rs_premier_detail, eka)}
+READERS: dict[str, Callable[[Node], Iterator[Card]]] = {f.__name__: f for f in (columbia_asia, columbia_asia_detail, mayapada, mayapada_detail, radjak, sari_asih, primaya, primaya_detail, bethsaida, emc, rs_premier, rs_premier_detail, eka)}
 
 
 def read(pages: DataFrame, reader: str, html: str = "html") -> DataFrame:
