@@ -225,6 +225,7 @@ def truncated(budget: int, text: str = "text", counts: str = "counts") -> Column
 
 def pieces(docs: DataFrame, budget: int, text: str = "text", counts: str = "counts", into: str = "piece") -> DataFrame:
     """A row per piece of a text (numbered from 0): as many whole chunks as have at most budget tokens together.
+    The columns of the text and of its counts are left out, as every piece would carry them whole.
 
     A piece's count is the difference of the stored counts at its ends, and equals what the library
     gives for the piece alone, as no unit reaches across a cut. A chunk over the budget is a piece by itself.
@@ -232,7 +233,7 @@ def pieces(docs: DataFrame, budget: int, text: str = "text", counts: str = "coun
     """
     from pyspark.sql import types as T
 
-    kept = [c for c in docs.columns if c not in (into, "piece_tokens", "piece_number")]
+    kept = [c for c in docs.columns if c not in (into, "piece_tokens", "piece_number", text, counts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(parts(w, w.num_columns - 2, AT_ONCE) for w in batches):
@@ -245,8 +246,8 @@ def pieces(docs: DataFrame, budget: int, text: str = "text", counts: str = "coun
                     number.append(n)
                     said.append(t[lo:hi])
                     size.append(tokens)
-            took = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*took.columns[:-2], pa.array(number, pa.int32()), pa.array(said, pa.string()), pa.array(size, pa.int64())], [*kept, "piece_number", into, "piece_tokens"])
+            own = [c.take(pa.array(rows, pa.int64())) for c in b.columns[:-2]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), pa.array(said, pa.string()), pa.array(size, pa.int64())], [*kept, "piece_number", into, "piece_tokens"])
 
     frame = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"), docs[counts].alias("__counts"))
     new = [T.StructField("piece_number", T.IntegerType()), T.StructField(into, T.StringType()), T.StructField("piece_tokens", T.LongType())]
