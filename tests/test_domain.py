@@ -132,8 +132,10 @@ def test_rounding_and_strict_times(spark):
 
 def test_display_alias_and_group_override(spark):
     f = spark.createDataFrame([(1, "RS A", -6.2, 106.8, "g"), (2, "RS B", -6.3, 106.8, None), (3, "RS B", -6.3, 106.8, None)], "id long, name string, lat double, lon double, grp string")
-    a = spark.createDataFrame([("RS A", -6.2001, 106.8, "first"), ("RS B", -6.3, 106.8, "two rows"), ("RS C", 0.0, 0.0, "none")], "name string, lat double, lon double, alias string")
-    assert {r["id"]: r["display_alias"] for r in matching.display_alias(f, a).collect()} == {1: "first", 2: None, 3: None}
+    rows = [(2, "RS A", -6.2001, 106.8, "last"), (1, "RS A", -6.2, 106.8, "zz before"), (3, "RS B", -6.3, 106.8, "two rows"), (4, "RS C", 0.0, 0.0, "none"), (5, "RS A", -6.2, 106.9, "elsewhere")]
+    a = spark.createDataFrame(rows, "position int, name string, lat double, lon double, alias string")
+    # the last alias of a facility holds; of several facilities of a name at a place the smallest id has it
+    assert {r["id"]: r["display_alias"] for r in matching.display_alias(f, a).collect()} == {1: "last", 2: "two rows", 3: None}
     o = spark.createDataFrame([("rsud a", "new")], "name string, grp string")
     assert {r["id"]: r["grp"] for r in matching.group_override(f, o).collect()} == {1: "new", 2: None, 3: None}
 
