@@ -26,8 +26,10 @@ arrays; an empty table gives an empty result; a column that has the name of the
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import sub
 
 import ahocorasick
 import numpy as np
@@ -39,8 +41,8 @@ from rosterlake.llm._chunks import CUT, ChunkEncoder, latin
 from rosterlake.llm._common import held, load, parts, ship
 from rosterlake.llm.token_records import _AS_TEXT
 
-#: Known chunks and pairs of a worker; bytes of text handled at once.
-CHUNKS, PAIRS, AT_ONCE = 150_000, 400_000, 2_000_000
+#: Known chunks, pairs and units of a worker; bytes of text handled at once.
+CHUNKS, PAIRS, UNITS, AT_ONCE = 150_000, 400_000, 100_000, 2_000_000
 STEP = np.dtype("<i2")
 
 
@@ -72,6 +74,7 @@ class PrefixCounter:
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.known: dict[str, list[int]] = {}
         self.steps = ChunkEncoder(self._chunk, most=CHUNKS)
 
     def _stays(self, a: int, b: int) -> bool:
@@ -92,12 +95,29 @@ class PrefixCounter:
         return got
 
     def unit(self, shown: str) -> list[int]:
-        """Counts after 0, 1, 2 ... bytes of one unit, which is written in the vocabulary's letters."""
+        """Counts after 0, 1, 2 ... bytes of one unit, which is written in the vocabulary's letters. Not to be changed."""
+        found = self.known.get(shown)
+        if found is not None:
+            return found
         last, count = [-1] * (len(shown) + 1), [0] * (len(shown) + 1)
+        pairs = self.pairs
         for end, (size, token) in self.ends.iter(shown):
-            at, since = end + 1, end + 1 - size
-            if last[at] < 0 and (self._stays(last[since], token) if since else self._alone(token)):
+            at = end + 1
+            if last[at] >= 0:
+                continue
+            since = at - size
+            if since:
+                fits = pairs.get(last[since] << 32 | token)
+                if fits is None:
+                    fits = self._stays(last[since], token)
+            else:
+                fits = self._alone(token)
+            if fits:
                 last[at], count[at] = token, count[since] + 1
+        if len(shown) <= 32:
+            if len(self.known) > UNITS:
+                self.known.clear()
+            self.known[shown] = count
         return count
 
     def _total(self, text: str) -> int:
@@ -141,7 +161,8 @@ class PrefixCounter:
         """Steps from count to count, character by character."""
         if not chunk:
             return b""
-        return np.diff(np.array(self._counts(chunk)), prepend=0).astype(STEP).tobytes()
+        counts = self._counts(chunk)
+        return array("h", map(sub, counts, chain((0,), counts))).tobytes()
 
     def counts(self, text: str | None) -> np.ndarray:
         """Counts after 0, 1, 2 ... characters of a text."""
