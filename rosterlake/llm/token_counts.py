@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._chunks import CUT, ChunkEncoder, latin
+from rosterlake.llm._chunks import CUT, STOPS, ChunkEncoder, latin
 from rosterlake.llm._common import held, load, parts, ship
 from rosterlake.llm.token_records import _AS_TEXT
 
@@ -100,7 +100,7 @@ class PrefixCounter:
         if found is not None:
             return found
         last, count = [-1] * (len(shown) + 1), [0] * (len(shown) + 1)
-        pairs = self.pairs
+        pairs, whole = self.pairs, self.whole
         for end, (size, token) in self.ends.iter(shown):
             at = end + 1
             if last[at] >= 0:
@@ -111,7 +111,9 @@ class PrefixCounter:
                 if fits is None:
                     fits = self._stays(last[since], token)
             else:
-                fits = self._alone(token)
+                fits = whole.get(token)
+                if fits is None:
+                    fits = self._alone(token)
             if fits:
                 last[at], count[at] = token, count[since] + 1
         if len(shown) <= 32:
@@ -161,6 +163,10 @@ class PrefixCounter:
         """Steps from count to count, character by character."""
         if not chunk:
             return b""
+        word, stop = (chunk[1:-1], chunk[-1]) if chunk[-1] in STOPS else (chunk[1:], "")
+        if chunk[0] == " " and word.isascii() and word.isalpha():  # one unit, and a stop is another
+            count = self.unit(_AS_TEXT[32] + word)
+            return array("h", [*map(sub, count[1:], count), *self.unit(stop)[1:]]).tobytes()
         counts = self._counts(chunk)
         return array("h", map(sub, counts, chain((0,), counts))).tobytes()
 
