@@ -145,13 +145,13 @@ def _first_array(text: str | None, key: str) -> str | None:
     """JSON of the first array under a key of a document, depth first, in the document's order; null if there is none."""
     try:
         open_ = [json.loads(text)] if text else []
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     while open_:
         x = open_.pop()
         if isinstance(x, dict):
             if isinstance(x.get(key), list):
-                return json.dumps(x[key], ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(x[key], separators=(",", ":"))
             open_ += reversed(x.values())
         elif isinstance(x, list):
             open_ += reversed(x)
@@ -159,8 +159,9 @@ def _first_array(text: str | None, key: str) -> str | None:
 
 
 def array_under(x: Column, key: str) -> Column:
-    """The first array that stands under a key anywhere in a JSON text, as JSON; an object's own key goes before what is
-    inside it. Null for null, broken documents and documents without one. Arrow batches: a path's depth is not known."""
+    """The first array that stands under a key anywhere in a JSON text, as JSON in ASCII; an object's own key goes before what
+    is inside it. Null for null, for documents that are broken or nested too deeply for a parser (about a thousand levels), and for
+    documents without such an array. Arrow batches: a path's depth is not known."""
 
     @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:

@@ -67,8 +67,10 @@ def fuzzy_best(names: DataFrame, facilities: DataFrame, threshold: float = MATCH
     scope = F.when(F.col("grp").isNull(), ANY).otherwise(F.concat(F.lit("="), "grp"))
     asked = names.select("raw", "grp").distinct().select("raw", "grp", scope.alias("scope"), facility_name(F.col("raw")).alias("n")).filter("n <> ''")
     known = facilities.select("id", "grp", facility_name(F.col("name")).alias("n")).filter("n <> ''")
-    scopes = F.array_compact(F.array(F.lit(ANY), F.when(F.col("grp").isNotNull(), F.concat(F.lit("="), "grp"))))
-    known = known.withColumn("scope", F.explode(scopes)).groupBy("scope", "n").agg(F.min("id").alias("id"))
+    # a name is known to everyone, and within its group where it has one (no array to explode: where every group is
+    # a null constant, the optimizer loses a column of the joins below it)
+    within = known.filter("grp IS NOT NULL").withColumn("scope", F.concat(F.lit("="), "grp"))
+    known = known.withColumn("scope", F.lit(ANY)).unionByName(within).groupBy("scope", "n").agg(F.min("id").alias("id"))
     exact = asked.join(known, ["scope", "n"]).select("raw", "grp", "id", F.lit(100.0).alias("score"))
     open_ = asked.join(known, ["scope", "n"], "left_anti")
     near = similar_names(open_, known, threshold).join(known.select("scope", F.col("n").alias("other"), "id"), ["scope", "other"])

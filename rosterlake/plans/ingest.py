@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rosterlake.functions import timeparse
 from rosterlake.functions.text import is_specialist, nfkc, person_key
 from rosterlake.operators.matching import fuzzy_best, weekly_pattern
 from rosterlake.sources.adapters import SOURCES
+from rosterlake.sources.staging import stored
+
+NOT_SPECIALIST, UNMATCHED, LOADED = "not specialist", "unmatched", "loaded"
 
 
 def sessions(raw: DataFrame) -> DataFrame:
@@ -50,7 +53,10 @@ def practitioners(resolved: DataFrame) -> DataFrame:
 
 def load(raw: DataFrame, facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(practitioners, sessions): branch by branch; dated sources collapse to weekly sessions."""
-    resolved = resolve(raw, facilities)
+    return _tables(resolve(raw, facilities))
+
+
+def _tables(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     people = practitioners(resolved)
     times = sessions(first_seen(resolved)).withColumns({"record": F.concat_ws("|", "source", "record", F.col("facility").cast("string"))})
     times = times.withColumn("position", F.xxhash64(*times.columns))
@@ -59,10 +65,49 @@ def load(raw: DataFrame, facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return people, times.filter(~F.col("source").isin(*dated)).unionByName(weekly).select("source", F.col("record").alias("practitioner"), "facility", "day", "start_time", "end_time", "confidence")
 
 
+def outcomes(raw: DataFrame, resolved: DataFrame) -> DataFrame:
+    """What became of every record: source, record, outcome (not specialist, unmatched or loaded), unmatched_names.
+
+    A record with several branches is loaded if any of them resolves; the names of the others are told all the same. A
+    record that names no branch is told by its person's name. Null records of a source count as one.
+    """
+    per = resolved.groupBy("source", "record").agg(
+        F.bool_or(F.col("facility").isNotNull()).alias("hit"),
+        F.array_sort(F.collect_set(F.when(F.col("facility").isNull(), F.coalesce(F.col("branch"), F.concat(F.coalesce("raw_name", F.lit("?")), F.lit(" (no branch named)")))))).alias("unmatched_names"),
+    )
+    per = per.withColumnsRenamed({"source": "__source", "record": "__record"})
+    every = raw.select("source", "record").distinct()
+    joined = every.join(per, F.col("source").eqNullSafe(F.col("__source")) & F.col("record").eqNullSafe(F.col("__record")), "left")
+    outcome = F.when(F.col("hit").isNull(), NOT_SPECIALIST).when(F.col("hit"), LOADED).otherwise(UNMATCHED)
+    return joined.select("source", "record", outcome.alias("outcome"), F.coalesce("unmatched_names", F.array().cast("array<string>")).alias("unmatched_names"))
+
+
+def _of(outcome: str) -> Column:
+    return F.count_if(F.col("outcome") == outcome)
+
+
 def summary(raw: DataFrame, resolved: DataFrame) -> DataFrame:
-    """source, records, not specialist, unmatched records, names of every unmatched branch."""
-    records = raw.groupBy("source").agg(F.countDistinct("record").alias("records"))
-    good = resolved.groupBy("source", "record").agg(F.max(F.col("facility").isNotNull()).alias("hit"))
-    per = good.groupBy("source").agg(F.count("*").alias("specialists"), F.count_if(~F.col("hit")).alias("unmatched"))
-    names = resolved.filter("facility IS NULL").groupBy("source").agg(F.array_sort(F.collect_set("branch")).alias("unmatched_names"))
-    return records.join(per, "source", "left").join(names, "source", "left").select("source", "records", (F.col("records") - F.coalesce("specialists", F.lit(0))).alias("not_specialist"), F.coalesce("unmatched", F.lit(0)).alias("unmatched"), "unmatched_names")
+    """source, records, not specialist, unmatched records, names of every unmatched branch (null: none)."""
+    told = outcomes(raw, resolved).groupBy("source").agg(F.count("*").alias("records"), _of(NOT_SPECIALIST).alias("not_specialist"), _of(UNMATCHED).alias("unmatched"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("unmatched_names")))).alias("names"))
+    return told.select("source", "records", "not_specialist", "unmatched", F.when(F.size("names") > 0, F.col("names")).alias("unmatched_names"))
+
+
+def write(raw: DataFrame, facilities: DataFrame, path: str) -> dict[str, int]:
+    """Write records (outcomes), practitioners and sessions as Parquet below path, and return the load's counters.
+
+    The counters are observed in the jobs that write, so nothing is scanned again for them. Names are resolved once, into a
+    stored table that all three read. An empty load gives empty tables and zeros.
+    """
+    resolved = stored(resolve(raw, facilities))
+    people, times = _tables(resolved)
+    counts = {
+        "records": (outcomes(raw, resolved), {"records": F.count("*"), "not_specialist": _of(NOT_SPECIALIST), "unmatched": _of(UNMATCHED)}),
+        "practitioners": (people, {"practitioners": F.count("*")}),
+        "sessions": (times, {"sessions": F.count("*")}),
+    }
+    seen: dict[str, int] = {}
+    for name, (df, asked) in counts.items():
+        watch = Observation(name)
+        df.observe(watch, *[c.cast("long").alias(k) for k, c in asked.items()]).write.mode("overwrite").parquet(f"{path}/{name}")
+        seen.update(watch.get)
+    return seen
