@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import geo
 from rosterlake.functions import text as tx
 from rosterlake.functions.rounding import rounded
-from rosterlake.operators import classify, geo_supply, matching, planning, registry, scoring
+from rosterlake.operators import classify, coverage, geo_supply, matching, planning, registry, scoring
 from rosterlake.plans import supply
 from rosterlake.sources.staging import stored
 from rosterlake.plans.views import facility, person_link, read, roster, session, sql
@@ -166,9 +166,8 @@ def m12_classes(spark, d):
 
 def p08_free_gaps(spark, d):
     s = session(spark, d)
-    spots = facility(spark, d).filter("id % 7 = 1").select("id", F.row_number().over(Window.partitionBy("city").orderBy("id")).alias("r"), "city")
-    spots = spots.filter("r = 1").select("id", F.col("id").alias("position"))
-    return planning.free_gaps(s, spots, minutes=120)
+    known = coverage.completeness(s, roster(spark, d))
+    return planning.free_gaps(s, facility(spark, d).select("id", F.col("id").alias("position")), known, minutes=120)
 
 
 def _plan_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -368,7 +367,7 @@ ORACLES = {
     "e23_scales": sql(f"SELECT * FROM (WITH {_LONG} SELECT metric, n, {_R6.format('least')} AS least, {_R6.format('most')} AS most, {_R6.format('lower')} AS lower, {_R6.format('upper')} AS upper FROM sc)"),
     "m12_classes": sql(f"""SELECT * FROM (WITH {_LONG} SELECT facility, metric, CASE WHEN quality = 'confirmed_zero' THEN 'green' WHEN value IS NULL OR quality = 'unknown' THEN 'gray' WHEN quality = 'partial' AND metric <> 'practitioners' THEN 'gray'
       WHEN most IS NULL OR most <= least THEN 'orange' WHEN value <= lower THEN CASE WHEN metric = 'score' THEN 'red' ELSE 'green' END WHEN value <= upper THEN 'orange' ELSE CASE WHEN metric = 'score' THEN 'green' ELSE 'red' END END AS colour FROM v LEFT JOIN sc USING (metric))"""),
-    "p08_free_gaps": sql("""SELECT facility, day, start, start + 120 AS "end", turn FROM (WITH s AS (SELECT * FROM session), spots AS (SELECT min(id) AS id FROM facility WHERE id % 7 = 1 GROUP BY city),
+    "p08_free_gaps": sql(f"""SELECT facility, day, start, start + 120 AS "end", turn FROM (WITH {supply._COMPLETE}, s AS (SELECT * FROM usable), spots AS (SELECT facility AS id FROM complete WHERE completeness >= 0.8::DOUBLE AND facility IN (SELECT facility FROM usable)),
       c AS (SELECT id AS facility, d::INTEGER AS day, t::INTEGER AS start FROM spots, range(6) a(d), range(480, 1141, 120) b(t)),
       f AS (SELECT facility, day, min(start) AS start FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.facility = c.facility AND s.day = c.day AND (s.end_min IS NULL OR (c.start < s.end_min AND s.start_min < c.start + 120))) GROUP BY 1, 2)
       SELECT *, row_number() OVER (PARTITION BY facility ORDER BY day) AS turn FROM f ORDER BY turn, facility LIMIT 16)"""),
