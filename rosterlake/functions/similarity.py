@@ -45,17 +45,6 @@ def ceiling(a: Column, b: Column) -> Column:
     return F.lit(200.0) * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
 
 
-def bag(x: Column) -> Column:
-    """The characters of a text, each with how often it came before: a common subsequence is in both bags."""
-    letters = F.array_sort(F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>")))
-    return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))
-
-
-def least_common(a: Column, b: Column, threshold: float) -> Column:
-    """How long the common subsequence of texts of lengths a and b is at least, at this ratio."""
-    return F.ceil((a + b) * F.lit(threshold / 200) - F.lit(1e-9)).cast("int")
-
-
 def subsequences(a: list[str], b: list[str]) -> np.ndarray:
     """Lengths of the longest common subsequences of pairs, by bit vectors over all pairs at once."""
     out = np.zeros(len(a), np.int64)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions import geo, similarity
+from rosterlake.functions import alike, geo, similarity
 from rosterlake.functions.geo import haversine_km
 from rosterlake.functions.rounding import rounded
 from rosterlake.functions.text import facility_name
@@ -15,54 +16,71 @@ from rosterlake.sources.staging import stored
 
 MATCH, DUPLICATE, REVIEW, NEAR_KM = 80.0, 85.0, 70.0, 1.5
 
-
 ANY = "any"
+#: Names of a block of the asked and of the known side: a task holds one of each.
+ASKED_BLOCK, KNOWN_BLOCK = 8_000, 50_000
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(scope, n, other, score) of the pairs of names n of left and right, within a scope, that score the threshold or more.
+def _met(asked: DataFrame, known: DataFrame, result: Callable, schema: str) -> DataFrame:
+    """result of asked (scope, n, floor, whole) and known (scope, n, ...) names, a block of each side of a scope at a time.
 
-    Both sides have scope and n, and repeats among them meet once. At a ratio of threshold, names of lengths a and b have
-    least_common(a, b) characters in common; so of each name's characters, rarest first, the first
-    (length - least_common + 1) hold one that both have. A name lists just these, for each length of the other side that the
-    threshold allows, and pairs meet on scope, both lengths and such a character. Then the whole bags of
-    characters are compared, and only pairs that pass are scored.
+    Names are dealt to blocks by their hash, so no scope or name makes a block large, and each block of the one side meets
+    each of the other.
     """
+
+    def counted(side: DataFrame, size: int, name: str) -> DataFrame:
+        return side.groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    grid = counted(asked, ASKED_BLOCK, "across").join(counted(known, KNOWN_BLOCK, "down"), "scope")
+
+    def dealt(side: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        placed = side.withColumn("tokens", similarity.sorted_tokens(F.col("n"))).join(grid, "scope").withColumn(own, F.pmod(F.xxhash64("n"), F.col(own_blocks)).cast("int"))
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1))).drop("across", "down")
+        return placed.toDF(*placed.columns)  # columns of its own, for a side that meets itself
+
+    left, right = dealt(asked, "column", "across", "row", "down"), dealt(known, "row", "down", "column", "across")
+    return left.groupBy("scope", "row", "column").cogroup(right.groupBy("scope", "row", "column")).applyInPandas(result, schema)
+
+
+def _checked(threshold: float) -> float:
     if not 0 < threshold <= 100:
         raise ValueError("a threshold lies above 0, up to 100")
-    a = left.select("scope", "n").filter("n <> ''").distinct().withColumn("size", F.length("n"))
-    b = right.select("scope", "n").filter("n <> ''").distinct().withColumn("size", F.length("n"))
-    letters = b.select(F.explode(similarity.bag(F.col("n"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("times"))
-
-    def rarest_first(side: DataFrame) -> DataFrame:
-        each = side.select("n", "size").distinct().withColumn("letter", F.explode(similarity.bag(F.col("n")))).join(letters, "letter", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "letter")))
-        return side.join(each.groupBy("n").agg(F.transform(order, lambda x: x["letter"]).alias("letters")), "n")
-
-    # lengths that can meet: 2 * shorter / both >= threshold / 100
-    most = F.floor(F.col("size") * F.lit((200 - threshold) / threshold) + F.lit(1e-9)).cast("int")
-    least = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(threshold / (200 - threshold)) - F.lit(1e-9)).cast("int"))
-    there = b.select(F.col("size").alias("other_size")).distinct()
-    meets = a.select("size").distinct().select("size", F.explode(F.sequence(least, most)).alias("other_size")).join(there, "other_size")
-    meets = meets.withColumn("need", similarity.least_common(F.col("size"), F.col("other_size"), threshold))
-
-    def listed(side: DataFrame, own: str, other: str) -> DataFrame:
-        sized = rarest_first(side).withColumnRenamed("size", own).join(meets, own)
-        first = F.slice("letters", F.lit(1), F.col(own) - F.col("need") + 1)
-        return sized.select("scope", "n", own, other, "need", F.explode(first).alias("letter"))
-
-    asked = listed(a, "size", "other_size")
-    known = listed(b, "other_size", "size").select("scope", "size", "other_size", "letter", F.col("n").alias("other"))
-    met = asked.join(known, ["scope", "size", "other_size", "letter"]).select("n", "other", "need", "scope").distinct()
-    alike = met.filter(F.size(F.array_intersect(similarity.bag(F.col("n")), similarity.bag(F.col("other")))) >= F.col("need"))
-    return alike.withColumn("score", similarity.many_scores(F.col("n"), F.col("other"))).filter(F.col("score") >= threshold).select("scope", "n", "other", "score")
+    return float(threshold)
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(scope, n, other, score) of the pairs of names n of left and right, within a scope, that score the threshold or more.
+
+    Both sides have scope and n, and repeats among them meet once. Within a block, the names of one length are walked
+    by their prefixes, and a name leaves a prefix that cannot come to the common subsequence that the threshold asks for.
+    """
+    asked = left.select("scope", "n").filter("n <> ''").distinct().withColumns({"floor": F.lit(_checked(threshold)), "whole": F.lit(False)})
+    return _met(asked, right.select("scope", "n").filter("n <> ''").distinct(), alike.all_pairs, "scope string, n string, other string, score double")
+
+
+def best_names(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(scope, n, score, id) of the best known name (distinct scope and n, id) of each asked one (scope, n), at the threshold or above.
+
+    The names that hold the asked one whole, or that it holds, come first: few pairs, and their best score is a floor
+    for the second walk, which looks at all names. Equal scores go to the smaller id.
+    """
+    threshold = _checked(threshold)
+    asked = asked.select("scope", "n").filter("n <> ''").distinct()
+
+    def walked(floors: DataFrame) -> DataFrame:
+        met = _met(floors, known, alike.best_pairs, "scope string, n string, score double, id long")
+        best = met.groupBy("scope", "n").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b"))
+        return best.select("scope", "n", F.col("b.score").alias("score"), (-F.col("b.minus")).alias("id"))
+
+    first = walked(asked.withColumns({"floor": F.lit(threshold), "whole": F.lit(True)})).select("scope", "n", F.col("score").alias("floor"))
+    return walked(asked.join(first, ["scope", "n"], "left").withColumns({"floor": F.coalesce("floor", F.lit(threshold)), "whole": F.lit(False)}))
 
 
 def fuzzy_best(names: DataFrame, facilities: DataFrame, threshold: float = MATCH) -> DataFrame:
     """names (key, raw, grp) with the best facility of the group (any, if grp is null), its score.
 
     Distinct (raw, grp) are matched once. Equal normalised names score 100 and are settled by an equi-join; the others
-    go through similar_names, where a group is a scope. Equal scores go to the smaller id.
+    go through best_names, where a group is a scope. Equal scores go to the smaller id.
     """
     scope = F.when(F.col("grp").isNull(), ANY).otherwise(F.concat(F.lit("="), "grp"))
     asked = names.select("raw", "grp").distinct().select("raw", "grp", scope.alias("scope"), facility_name(F.col("raw")).alias("n")).filter("n <> ''")
@@ -70,12 +88,10 @@ def fuzzy_best(names: DataFrame, facilities: DataFrame, threshold: float = MATCH
     # a name is known to everyone, and within its group where it has one (no array to explode: where every group is
     # a null constant, the optimizer loses a column of the joins below it)
     within = known.filter("grp IS NOT NULL").withColumn("scope", F.concat(F.lit("="), "grp"))
-    known = known.withColumn("scope", F.lit(ANY)).unionByName(within).groupBy("scope", "n").agg(F.min("id").alias("id"))
+    known = known.withColumn("scope", F.lit(ANY)).unionByName(within).groupBy("scope", "n").agg(F.min("id").cast("long").alias("id"))
     exact = asked.join(known, ["scope", "n"]).select("raw", "grp", "id", F.lit(100.0).alias("score"))
     open_ = asked.join(known, ["scope", "n"], "left_anti")
-    near = similar_names(open_, known, threshold).join(known.select("scope", F.col("n").alias("other"), "id"), ["scope", "other"])
-    best = near.groupBy("scope", "n").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b"))
-    found = open_.join(best, ["scope", "n"]).select("raw", "grp", (-F.col("b.minus")).alias("id"), F.col("b.score").alias("score"))
+    found = open_.join(best_names(open_, known, threshold), ["scope", "n"]).select("raw", "grp", "id", "score")
     found = exact.unionByName(found).select(F.col("raw").alias("b_raw"), F.col("grp").alias("b_grp"), "id", rounded(F.col("score"), 4).alias("score"))
     return names.join(found, (F.col("raw") == F.col("b_raw")) & F.col("grp").eqNullSafe(F.col("b_grp")), "left").select("key", "raw", "grp", "id", "score")
 
