@@ -108,3 +108,22 @@ def test_load_summary_of_many_like_names(spark, many_suppliers):
         # of names without zeros those with less than three digits stay below the threshold
         open_ = {k: short(k) if k % 4 == 1 else "Quite Another Place" for k in range(source, 20_000, 3) if k % 4 == 3 or (k % 4 == 1 and len(str(k).replace("0", "")) < 3)}
         assert got[f"s{source}"] == (len(range(source, 20_000, 3)), len(open_), "|".join(sorted(set(open_.values()))))
+
+
+def test_cascade_of_many_like_names(spark, many_suppliers):
+    began = time.monotonic()
+    got = {r["key"]: (r["id"], r["how"]) for r in QUERIES["d08_cascade"](spark, many_suppliers).collect()}
+    assert time.monotonic() - began < 60
+    assert len(got) == 20_000
+    aliased = {short(k) for k in range(1, 20_000, 8)}
+    for k, found in got.items():
+        if k % 4 == 3:
+            assert found == (5, "point alias")
+        elif k % 4 == 1 and short(k) in aliased:
+            assert found == (9, "name alias")
+        elif k % 4 == 1 and len(str(k).replace("0", "")) < 3:
+            assert found == (None, "none")
+        elif k % 4 == 1:
+            assert found[0] <= k and found[1] == "fuzzy"
+        else:
+            assert found == (k, "fuzzy")
