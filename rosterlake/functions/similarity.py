@@ -96,10 +96,11 @@ def many_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def _scores(a: pd.Series, b: pd.Series, sorted_a: pd.Series, sorted_b: pd.Series) -> pd.Series:
+def scores(a: pd.Series, b: pd.Series, sorted_a: pd.Series, sorted_b: pd.Series) -> pd.Series:
+    """many_scores of strings whose sorted tokens are given."""
     return pd.Series(np.minimum(_of_pairs(a, b), _of_pairs(sorted_a, sorted_b)))
 
 
 def many_scores(a: Column, b: Column) -> Column:
     """conservative(a, b) of strings that are not null, an Arrow batch at a time."""
-    return _scores(a, b, sorted_tokens(a), sorted_tokens(b))
+    return scores(a, b, sorted_tokens(a), sorted_tokens(b))

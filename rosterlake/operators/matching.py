@@ -19,6 +19,8 @@ MATCH, DUPLICATE, REVIEW, NEAR_KM = 80.0, 85.0, 70.0, 1.5
 ANY = "any"
 #: Names of a block of the asked and of the known side: a task holds one of each.
 ASKED_BLOCK, KNOWN_BLOCK = 8_000, 50_000
+#: Facilities of the first batch of a greedy pass.
+BATCH = 25_000
 
 
 def _met(asked: DataFrame, known: DataFrame, result: Callable, schema: str) -> DataFrame:
@@ -124,53 +126,85 @@ def external_facilities(links: DataFrame) -> DataFrame:
     return per.select("facility", n.alias("shared_people"), rounded(F.col("total") / n, 2).alias("mean_other"))
 
 
-def candidate_pairs(facilities: DataFrame, floor: float = REVIEW, km: float = NEAR_KM) -> DataFrame:
-    """(a, b, score), a before b, that could decide a greedy pass: alike in name and not far apart.
+def candidate_pairs(later: DataFrame, earlier: DataFrame, floor: float = REVIEW, km: float = NEAR_KM, off_map: bool = True) -> DataFrame:
+    """(b, a, score) of later and earlier facilities, a before b, that score the floor or more and are not far apart.
 
-    Facilities on the map meet in grid cells at least km wide (own and neighbouring cells); the ones
-    off the map meet all of like names, by similar_names.
+    Both sides have ordinal, lat, lon, n, tokens (n with its words in order). Facilities on the map meet in grid cells at
+    least km wide (own and neighbouring cells); the ones off the map (off_map: there may be some) meet all of like names,
+    by similar_names.
     """
-    f = facilities.select("ordinal", "lat", "lon", facility_name(F.col("name")).alias("n")).filter("n IS NOT NULL AND n <> ''")
-    mapped = f.filter("lat IS NOT NULL AND lon IS NOT NULL")
-    other = mapped.select(*[F.col(x).alias(f"b_{x}") for x in ("ordinal", "lat", "lon", "n")])
-    near = geo.meet(mapped, other, "lat", "lon", "b_lat", "b_lon", km).filter((F.col("ordinal") < F.col("b_ordinal")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= km)).select("ordinal", "b_ordinal", "n", "b_n")
-    off = f.filter("lat IS NULL OR lon IS NULL")
-    # the ones off the map meet everyone of a like name
-    by_name = f.select(F.lit(ANY).alias("scope"), "n")
-    alike = similar_names(off.select(F.lit(ANY).alias("scope"), "n"), by_name, floor).select("n", "other", "score")
-    ends = off.select(F.col("ordinal").alias("x"), "n").join(alike, "n").join(f.select(F.col("ordinal").alias("y"), F.col("n").alias("other")), "other").filter("x <> y")
-    loose = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
-    scored = near.filter(similarity.ceiling(F.col("n"), F.col("b_n")) >= floor).withColumn("score", similarity.many_scores(F.col("n"), F.col("b_n"))).filter(F.col("score") >= floor)
-    return scored.select(F.col("ordinal").alias("a"), F.col("b_ordinal").alias("b"), "score").unionByName(loose)
+    other = earlier.select(*[F.col(x).alias(f"a_{x}") for x in ("ordinal", "lat", "lon", "n", "tokens")])
+    mapped, near = F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("a_lat").isNotNull() & F.col("a_lon").isNotNull()
+    met = geo.meet(later.filter(mapped), other.filter(near), "lat", "lon", "a_lat", "a_lon", km).filter(F.col("a_ordinal") < F.col("ordinal"))
+    met = met.filter(similarity.ceiling(F.col("n"), F.col("a_n")) >= floor).withColumn("score", similarity.scores(F.col("n"), F.col("a_n"), F.col("tokens"), F.col("a_tokens"))).filter(F.col("score") >= floor)
+    found = met.select(F.col("ordinal").alias("b"), F.col("a_ordinal").alias("a"), "score")
+    if not off_map:
+        return found
+
+    def loose(left: DataFrame, right: DataFrame) -> DataFrame:
+        names = similar_names(left.select(F.lit(ANY).alias("scope"), "n"), right.select(F.lit(ANY).alias("scope"), F.col("a_n").alias("n")), floor).select("n", "other", "score")
+        ends = left.select(F.col("ordinal").alias("b"), "n").join(names, "n").join(right.select(F.col("a_ordinal").alias("a"), F.col("a_n").alias("other")), "other")
+        return ends.filter("a < b").select("b", "a", "score")
+
+    return found.unionByName(loose(later.filter(~mapped), other)).unionByName(loose(later.filter(mapped), other.filter(~near)))
+
+
+def _last_ordinals(f: DataFrame) -> list[int | None]:
+    """The last ordinal of each batch of a greedy pass: the first BATCH facilities, then as many as came before."""
+    n, cuts = f.count(), []
+    while n > BATCH << len(cuts):
+        cuts.append((BATCH << len(cuts)) / n)
+    return [*sorted(set(f.select(F.percentile_approx("ordinal", cuts, 10_000)).first()[0])), None] if cuts else [None]
 
 
 def greedy_dedup(facilities: DataFrame, floor: float = REVIEW, threshold: float = DUPLICATE, km: float = NEAR_KM) -> DataFrame:
     """ordinal, kept ordinal it merged into (itself if kept), review ordinal (a kept one just below).
 
     In input order each facility joins the best kept one at or above the threshold, else it is kept;
-    a best score from floor on is a review note. Only candidate pairs matter: each round decides the
-    facilities whose smaller candidates are all decided, until none is open. The smallest open one
-    always is, so the rounds end by themselves.
+    a best score from floor on is a review note. A repeated ordinal is one facility of several names or places.
+
+    A facility meets kept ones only: the pass goes in batches, each as large as all before it. What meets a kept one of an
+    earlier batch at the threshold is not kept. Among the others of the batch, rounds keep each whose smaller ones at the
+    threshold are all not kept; the smallest open one always is, so the rounds end by themselves.
     """
-    cut = stored  # each round is a written table, so lineage stays short and lost executors cost nothing
-
-    pairs = cut(candidate_pairs(facilities, floor, km))
-    # a line per open facility and smaller candidate, and one without candidate; kept is null while the candidate is open
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    work = pairs.select(F.col("b").alias("node"), "a", "score", F.lit(None).cast("boolean").alias("kept")).unionByName(ends.withColumn("kept", F.lit(False)), allowMissingColumns=True)
-    rounds = []
-    while not rounds or work.limit(1).count():
-        told = work.groupBy("node").agg(F.bool_or(F.col("kept").isNull()).alias("waits"), F.max(F.when(F.col("kept"), F.struct("score", (-F.col("a")).alias("minus")))).alias("best"))
-        merges = F.coalesce(F.col("best.score") >= threshold, F.lit(False))
-        ready = told.filter("NOT waits").select(F.col("node").alias("ordinal"), F.when(merges, -F.col("best.minus")).otherwise(F.col("node")).alias("into"), F.when(~merges, -F.col("best.minus")).alias("review"))
-        ready = cut(ready)
-        rounds.append(ready)
-        left = work.join(ready.select(F.col("ordinal").alias("node")), "node", "left_anti")
-        news = ready.select(F.col("ordinal").alias("a"), (F.col("into") == F.col("ordinal")).alias("news"))
-        work = cut(left.join(news, "a", "left").select("node", "a", "score", F.coalesce("kept", "news").alias("kept")))
-    settled = reduce(DataFrame.unionByName, rounds)
-    alone = facilities.select("ordinal").join(settled.select("ordinal"), "ordinal", "left_anti").select("ordinal", F.col("ordinal").alias("into"), F.lit(None).cast("long").alias("review"))
-    return settled.unionByName(alone)
+    cut = stored  # each step is a written table, so lineage stays short and lost executors cost nothing
+
+    name = facility_name(F.col("name"))
+    f = cut(facilities.select("ordinal", "lat", "lon", name.alias("n"), similarity.sorted_tokens(name).alias("tokens")).filter("n <> ''"))
+    off_map = not f.filter("lat IS NULL OR lon IS NULL").isEmpty()
+    parts = 3 * f.sparkSession.sparkContext.defaultParallelism
+
+    def met(later: DataFrame, earlier: DataFrame, least: float) -> DataFrame:
+        return candidate_pairs(later.repartition(parts, "ordinal"), earlier, least, km, off_map)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("minus"))).alias("best"))
+
+    kept: DataFrame | None = None
+    bests, before = [], None
+    for last in _last_ordinals(f):
+        batch = f
+        if before is not None:
+            batch = batch.filter(F.col("ordinal") > before)
+        if last is not None:
+            batch = batch.filter(F.col("ordinal") <= last)
+        before, open_ = last, batch
+        if kept is not None:
+            bests.append(cut(best(met(batch, kept, floor))))
+            open_ = cut(batch.join(bests[-1].filter(F.col("best.score") >= threshold).select(F.col("b").alias("ordinal")), "ordinal", "left_anti"))
+        pairs = cut(met(open_, open_, threshold).select("a", "b"))
+        while not pairs.isEmpty():
+            first = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+            gone = cut(pairs.join(first, "a").select("b").distinct())
+            open_ = open_.join(gone.withColumnRenamed("b", "ordinal"), "ordinal", "left_anti")
+            pairs = cut(pairs.join(first, "a", "left_anti").join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"))
+        open_ = cut(open_)
+        bests.append(cut(best(met(batch, open_, floor))))
+        kept = open_ if kept is None else kept.unionByName(open_)
+    found = reduce(DataFrame.unionByName, bests).groupBy(F.col("b").alias("ordinal")).agg(F.max("best").alias("best"))
+    merges = F.coalesce(F.col("best.score") >= threshold, F.lit(False))
+    told = facilities.select("ordinal").distinct().join(found, "ordinal", "left")
+    return told.select("ordinal", F.when(merges, -F.col("best.minus")).otherwise(F.col("ordinal")).alias("into"), F.when(~merges, -F.col("best.minus")).alias("review"))
 
 
 def group_match(name: Column, groups: list[str]) -> Column:

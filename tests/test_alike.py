@@ -127,3 +127,39 @@ def test_cascade_of_many_like_names(spark, many_suppliers):
             assert found[0] <= k and found[1] == "fuzzy"
         else:
             assert found == (k, "fuzzy")
+
+
+def greedy_in_order(rows, near):
+    """(ordinal, kept, review) by one pass in input order; rows: ordinal, name, lat."""
+    kept, want = [], {}
+    for r in rows:
+        score, minus = max(((conservative(r[1], k[1]), -k[0]) for k in kept if near(r, k)), default=(0, 0))
+        want[r[0]] = (-minus, None) if score >= 85 else (r[0], -minus if score >= 70 else None)
+        if score < 85:
+            kept.append(r)
+    return want
+
+
+@pytest.mark.parametrize("off_map", [0.0, 0.2])
+def test_greedy_batches_against_one_pass(spark, monkeypatch, off_map):
+    """Many batches, a crowd within reach of each other, merges and review notes."""
+    monkeypatch.setattr(matching, "BATCH", 7)
+    r = random.Random(12)
+    rows = [(i * 3, f"place {r.randrange(400):03d} {r.choice('ab')}", r.choice([-6.2, -6.21, -6.23]) if r.random() >= off_map else None) for i in range(120)]
+    # 0.01 degrees are 1.1 km, 0.02 are 2.2 km
+    want = greedy_in_order(rows, lambda x, y: x[2] is None or y[2] is None or abs(x[2] - y[2]) < 0.0134)
+    df = spark.createDataFrame([(o, n, lat, None if lat is None else 106.8) for o, n, lat in rows] + [(999, "", -6.2, 106.8), (1000, None, None, None)], "ordinal long, name string, lat double, lon double").repartition(5)
+    got = {x["ordinal"]: (x["into"], x["review"]) for x in matching.greedy_dedup(df).collect()}
+    assert got == want | {999: (999, None), 1000: (1000, None)}
+    assert sum(o != into for o, (into, _) in want.items()) > 20 and sum(review is not None for _, review in want.values()) > 20
+
+
+def test_greedy_meets_kept_ones_only(spark, monkeypatch):
+    """1 200 copies at one place: the pairs that are scored stay far below all 719 400."""
+    monkeypatch.setattr(matching, "BATCH", 50)
+    seen = []
+    pairs = matching.candidate_pairs
+    monkeypatch.setattr(matching, "candidate_pairs", lambda *a: seen.append(pairs(*a)) or seen[-1])
+    df = spark.range(1200).select(F.col("id").alias("ordinal"), F.lit("mitra keluarga").alias("name"), F.lit(-6.2).alias("lat"), F.lit(106.8).alias("lon"))
+    assert {(x["into"], x["review"]) for x in matching.greedy_dedup(df).collect()} == {(0, None)}
+    assert sum(p.count() for p in seen) < 5 * 1200
