@@ -32,11 +32,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm._chunks import STOPS, ChunkEncoder, latin
+from rosterlake.llm._chunks import ChunkEncoder, latin
 from rosterlake.llm._common import fresh_dir, load, ship
 
 #: Fixed value: added to the rotated checksum.
 MASK = 0xA282EAD8
+#: Marks that are neither letters, digits nor white space, and in no special string or contraction.
+MARKS = ".,;:!?#$%&*"
 MANIFEST = "file string, part int, bytes long, records long, ids long"
 PER_FILE = 8_000_000  # characters a file holds, about
 
@@ -78,39 +80,52 @@ _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
 _AS_TEXT = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
-def byte_bpe(path: str):
+def byte_bpe(path: str, known: ChunkEncoder | None = None):
     """Chunk to little-endian unsigned 32-bit ids, by the tokenizers library.
 
-    A chunk of letters is one unit of the tokenizer's pattern and goes straight to its model; one
-    final stop is a unit of its own; everything else takes the library's whole way.
+    A chunk of letters is one unit of the tokenizer's pattern and goes straight to its model; marks
+    behind it are a unit of their own, and so is a single line end between others; everything else takes the
+    library's whole way. Words before marks or a line end are looked up in known, which keeps them.
     """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     model, alone = t.model, {}
 
-    def ids(chunk: str) -> list[int]:
+    def part(chunk: str) -> bytes:
+        word = chunk[1:]
+        return known[word] if known is not None and chunk[0] == " " and word and not (word[0].isspace() or word[-1].isspace()) else ids(chunk)
+
+    def short(chunk: str) -> bytes:
+        got = alone.get(chunk)
+        if got is None:
+            got = array("I", t.encode(chunk, add_special_tokens=False).ids).tobytes()
+            if len(chunk) <= 3:
+                alone[chunk] = got
+        return got
+
+    def ids(chunk: str) -> bytes:
         word = chunk[1:] if chunk[:1] == " " else chunk
         if latin(word):
-            return [x.id for x in model.tokenize(chunk.encode().decode("latin-1").translate(_AS_TEXT))]
-        if word[-1:] in STOPS and latin(word[:-1]):
-            return ids(chunk[:-1]) + ids(word[-1])
+            return array("I", [x.id for x in model.tokenize(chunk.encode().decode("latin-1").translate(_AS_TEXT))]).tobytes()
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and latin(stem):
+            at = len(chunk) - len(word) + len(stem)
+            return part(chunk[:at]) + short(chunk[at:])
         head, line, tail = chunk.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return ids(head) + ids("\n") + ids(tail)
-        if len(chunk) > 1:
-            return t.encode(chunk, add_special_tokens=False).ids
-        if chunk not in alone:
-            alone[chunk] = t.encode(chunk, add_special_tokens=False).ids
-        return alone[chunk]
+            return part(head) + short("\n") + ids(tail)
+        return short(chunk)
 
-    return lambda chunk: array("I", ids(chunk)).tobytes()
+    return ids
 
 
 @lru_cache(2)
 def _encoder(path: str) -> ChunkEncoder:
     """One per worker process, so that later tasks find known chunks."""
-    return ChunkEncoder(byte_bpe(path))
+    known = ChunkEncoder(bytes)
+    known.encode = byte_bpe(path, known)
+    return known
 
 
 def write(docs: DataFrame, tokenizer: str, into: str, end_id: int = 0, key: str = "doc_id", text: str = "text", per_file: int = PER_FILE) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Chunks of the record writer: words before marks are looked up, and ids stay those of the library."""
+
+from __future__ import annotations
+
+import random
+from array import array
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from rosterlake.llm import token_records
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_words_before_marks_are_looked_up():
+    known = token_records.ChunkEncoder(bytes)
+    known.encode = token_records.byte_bpe(PATH, known)
+    known["alpha"] = b"KNOWN"
+    for text in ("x alpha.", "x alpha***", "x alpha\nbeta", "x alpha?!\n\nbeta"[:9]):
+        assert b"KNOWN" in known(text), text
+
+
+def test_ids_of_the_library():
+    encode, library, r = token_records._encoder(PATH), Tokenizer.from_file(PATH), random.Random(1)
+    pieces = ["a", "Bc", " ", " ", "é", "\n", "\t", ".", "***", "$$", "'s", "'", "#", "7", "<|endoftext|>", "<|", "日", "?!", ",$"]
+    for _ in range(3000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(12)))
+        assert encode(text) == array("I", library.encode(text, add_special_tokens=False).ids).tobytes(), text
