@@ -74,7 +74,7 @@ def best_names(asked: DataFrame, known: DataFrame, threshold: float) -> DataFram
         best = met.groupBy("scope", "n").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b"))
         return best.select("scope", "n", F.col("b.score").alias("score"), (-F.col("b.minus")).alias("id"))
 
-    first = walked(asked.withColumns({"floor": F.lit(threshold), "whole": F.lit(True)})).select("scope", "n", F.col("score").alias("floor"))
+    first = stored(walked(asked.withColumns({"floor": F.lit(threshold), "whole": F.lit(True)})).select("scope", "n", F.col("score").alias("floor")))
     return walked(asked.join(first, ["scope", "n"], "left").withColumns({"floor": F.coalesce("floor", F.lit(threshold)), "whole": F.lit(False)}))
 
 
@@ -91,8 +91,11 @@ def fuzzy_best(names: DataFrame, facilities: DataFrame, threshold: float = MATCH
     # a null constant, the optimizer loses a column of the joins below it)
     within = known.filter("grp IS NOT NULL").withColumn("scope", F.concat(F.lit("="), "grp"))
     known = known.withColumn("scope", F.lit(ANY)).unionByName(within).groupBy("scope", "n").agg(F.min("id").cast("long").alias("id"))
-    exact = asked.join(known, ["scope", "n"]).select("raw", "grp", "id", F.lit(100.0).alias("score"))
-    open_ = asked.join(known, ["scope", "n"], "left_anti")
+    # written once: the walks below read both sides many times
+    known = stored(known)
+    asked = stored(asked.join(known, ["scope", "n"], "left"))
+    exact = asked.filter("id IS NOT NULL").select("raw", "grp", "id", F.lit(100.0).alias("score"))
+    open_ = asked.filter("id IS NULL").drop("id")
     found = open_.join(best_names(open_, known, threshold), ["scope", "n"]).select("raw", "grp", "id", "score")
     found = exact.unionByName(found).select(F.col("raw").alias("b_raw"), F.col("grp").alias("b_grp"), "id", rounded(F.col("score"), 4).alias("score"))
     return names.join(found, (F.col("raw") == F.col("b_raw")) & F.col("grp").eqNullSafe(F.col("b_grp")), "left").select("key", "raw", "grp", "id", "score")

@@ -110,6 +110,15 @@ def test_load_summary_of_many_like_names(spark, many_suppliers):
         assert got[f"s{source}"] == (len(range(source, 20_000, 3)), len(open_), "|".join(sorted(set(open_.values()))))
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("[s_suppkey#")
+
+
+def test_load_summary_reads_its_names_once(spark):
+    """The plan of the walks held the whole way of both sides again and again: 59 scans of the suppliers."""
+    assert scans(QUERIES["e18_load_summary"](spark, DATA)) <= 4
+
+
 def test_cascade_of_many_like_names(spark, many_suppliers):
     began = time.monotonic()
     got = {r["key"]: (r["id"], r["how"]) for r in QUERIES["d08_cascade"](spark, many_suppliers).collect()}
