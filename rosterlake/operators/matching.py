@@ -112,7 +112,7 @@ def cascade(names: DataFrame, facilities: DataFrame, point_alias: DataFrame, nam
     f = facilities.select("id", facility_name(F.col("name")).alias("f_n"))
     hits = name_alias.withColumn("n", facility_name(F.col("target"))).join(f, F.col("n") == F.col("f_n"), "left")
     by_name = hits.groupBy("raw").agg(F.count("id").alias("hits"), F.min("id").alias("name_id"), F.first("target").alias("target"))
-    told = names.join(by_point, "raw", "left").join(by_name, "raw", "left")
+    told = stored(names.join(by_point, "raw", "left").join(by_name, "raw", "left"))  # read four times
     settled = told.filter(F.col("point_id").isNotNull() | (F.coalesce("hits", F.lit(0)) >= 1))
     done = settled.select("key", "raw", "grp", F.coalesce("point_id", F.when(F.col("hits") == 1, F.col("name_id"))).alias("id"), F.when(F.col("point_id").isNotNull(), "point alias").when(F.col("hits") == 1, "name alias").otherwise("ambiguous").alias("how"))
     open_ = told.filter(F.col("point_id").isNull() & (F.coalesce("hits", F.lit(0)) == 0)).select("key", F.coalesce("target", "raw").alias("raw"), "grp", F.col("raw").alias("own"))

@@ -138,6 +138,11 @@ def test_cascade_of_many_like_names(spark, many_suppliers):
             assert found == (k, "fuzzy")
 
 
+def test_cascade_reads_its_names_once(spark):
+    """Settled and open names held the aliases' joins each time they were read: 197 scans of the suppliers."""
+    assert scans(QUERIES["d08_cascade"](spark, DATA)) <= 4
+
+
 def greedy_in_order(rows, near):
     """(ordinal, kept, review) by one pass in input order; rows: ordinal, name, lat."""
     kept, want = [], {}
