@@ -7,7 +7,7 @@ BPE model the merges that the scores imply, and byte fallback.
 
 Where no piece has the marker behind another character, texts are cut at single spaces between
 non-space characters, and each distinct chunk is encoded once: the chunks of a batch that were not met
-before go through the library's multithreaded batch call together. Their ids are compared with the
+before go through the library's batch call together, on one thread (Spark's tasks fill the cores). Their ids are compared with the
 sentencepiece library's (parity of a document: that of all its chunks). The round trip is of whole
 documents: the ids of every text are decoded in batches and compared with the text (for models that
 normalise: with the normalised text). Models that cannot be cut encode whole texts in batches.
@@ -24,7 +24,6 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from rosterlake.llm._common import held, load, parts, ship
 
 MARK = "▁"
 #: Known chunks of a worker (two generations of so many), characters of a batch, threads of a batch call.
-CACHE, AT_ONCE, THREADS = 100_000, 600_000, 2
+CACHE, AT_ONCE, THREADS = 100_000, 600_000, 1
 #: Field numbers and enumerations of the model protobuf.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNIGRAM, BPE = 1, 2
@@ -115,7 +114,7 @@ def build(spec: Spec):
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unknown, spec.byte_fallback)
     elif spec.kind == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
-        model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[spec.unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+        model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[spec.unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)  # Codec keeps known chunks itself
     else:
         raise ValueError(f"model kind {spec.kind} is not rebuilt")
     t = Tokenizer(model)
@@ -123,7 +122,8 @@ def build(spec: Spec):
     if spec.squeeze:
         steps += [normalizers.Replace(Regex(" {2,}"), " ")]
     t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+    # the marker becomes a space by a plain exchange of characters; Replace runs a pattern on every token
+    t.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse()])
     t.add_tokens([AddedToken(p, normalized=False) for p, _, k in spec.pieces if k == USER])
     return t
 
@@ -156,38 +156,40 @@ class Codec:
         """Ids of chunks that were not met before, and whether the other library has the same."""
         for lo in range(0, len(new), 2048):
             some = new[lo : lo + 2048]
-            got = [e.ids for e in self.tokenizer.encode_batch([self._full(c) for c in some], add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([self._full(c) for c in some], add_special_tokens=False)]  # no offsets
             self.known.update(zip(some, (array("I", ids).tobytes() for ids in got), strict=True))
             if self.reference is not None:
-                bare = [self._bare(c) for c in some]
-                self.unlike.update(c for c, mine, other in zip(some, got, self.reference.encode(bare, num_threads=1), strict=True) if mine != other)
+                other = self.reference.encode([self._bare(c) for c in some], num_threads=1)
+                if got != other:
+                    self.unlike.update(c for c, mine, its in zip(some, got, other, strict=True) if mine != its)
 
     def _full(self, chunk: str) -> str:
         """A chunk that is a word stands for the word behind its space."""
         return " " + chunk if self.spec.dummy_prefix and chunk[:1] != " " else chunk
 
-    def _cut(self, text: str, took: str) -> list[str]:
-        """Chunks of a text: its words, where each space is a place to cut (known words are such)."""
-        if not took:
-            return []
-        if not self.cuttable:
-            return [took]
-        if self.spec.dummy_prefix:
-            words = text.split(" ")
-            known = self.known
-            if all(w and not w[0].isspace() and not w[-1].isspace() for w in words if w not in known):
-                return words
-        return chunks(took)
+    def _cut(self, texts: list[str], took: list[str]) -> tuple[list[list[str]], set[str]]:
+        """Chunks of texts (their words, where each space is a place to cut), and the different ones that are not known."""
+        if self.cuttable and self.spec.dummy_prefix:
+            cut = [t.split(" ") if t else [] for t in texts]
+            new = set().union(*cut).difference(self.known)
+            # each different word is looked at once; known ones are none of these
+            odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+            if not odd:
+                return cut, new
+            cut = [c if odd.isdisjoint(c) else chunks(w) for c, w in zip(cut, took, strict=True)]
+        else:
+            cut = [(chunks(w) if self.cuttable else [w]) if w else [] for w in took]
+        return cut, set().union(*cut).difference(self.known)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text."""
         took = [self.whole(t or "") for t in texts]
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        cut = [self._cut(t or "", w) for t, w in zip(texts, took, strict=True)]
-        wanted = dict.fromkeys(c for c in chain.from_iterable(cut) if c not in self.known)
-        self.known.update((c, self.old[c]) for c in wanted if c in self.old)
-        self._learn([c for c in wanted if c not in self.known])
+        cut, wanted = self._cut([t or "" for t in texts], took)
+        again = wanted.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        self._learn(list(wanted - again))
         ids = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]
         if not self.cuttable:
             self.known.clear()  # whole texts seldom come again
