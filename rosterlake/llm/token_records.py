@@ -92,7 +92,9 @@ def byte_bpe(path: str):
     def ids(chunk: str) -> list[int]:
         word = chunk[1:] if chunk[:1] == " " else chunk
         if latin(word):
-            return [x.id for x in model.tokenize(chunk.encode().decode("latin-1").translate(_AS_TEXT))]
+            # ASCII letters are written as they are
+            shown = chunk.replace(" ", _AS_TEXT[32]) if word.isascii() else chunk.encode().decode("latin-1").translate(_AS_TEXT)
+            return [x.id for x in model.tokenize(shown)]
         if word[-1:] in STOPS and latin(word[:-1]):
             return ids(chunk[:-1]) + ids(word[-1])
         head, line, tail = chunk.partition("\n")
