@@ -216,6 +216,34 @@ def test_gradients_and_trainer_agrees_with_scorer():
     assert first[-1] < first[0]
 
 
+def test_training_and_scoring_keep_their_arrays():
+    import tracemalloc
+
+    m, rng = small_model(4), np.random.default_rng(5)
+    leaves, counts = rng.integers(0, lm_score.NODES, 512 * lm_score.STEP), np.array([512 * lm_score.STEP])
+    x, target = lm_score.Windows(leaves, counts)(0, 512)
+    t, s = lm_score.Trainer(m), lm_score.Scorer(m)
+    for run in (lambda: t.batch(x, leaves[target], 0.0), lambda: s(leaves, counts)):
+        run()
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # an array of attention weights or logits is 1.5 MB or more, and each one made anew is mapped and cleared anew
+        assert peak < 4e6, peak
+
+
+def test_later_ids_are_out_of_sight_whatever_their_keys():
+    m, rng = small_model(6), np.random.default_rng(7)
+    m.emb[5], m.wq[:], m.wk[:] = 0, 0, 0
+    m.emb[:5, 0], m.wq[0, 0], m.wk[0, 0] = 1, 1, 1
+    m.emb[5, 0] = 400
+    a = rng.integers(0, 5, 20)
+    b = np.append(a[:10], np.full(10, 5))
+    s = lm_score.Scorer(m)
+    assert np.allclose(s(a, np.array([20]))[:9], s(b, np.array([20]))[:9], atol=1e-4)
+
+
 # --- language identification ---------------------------------------------------------------------
 
 
